@@ -93,30 +93,30 @@ def shift_positions(
     return spread.withColumns(out).filter(F.col("_blk") == own).drop("_blk")
 
 
-def running_total(
-    df: DataFrame, value: Column, name: str, pos: str = "_pos", block: int = BLOCK
+def running_totals(
+    df: DataFrame, values: dict[str, Column], pos: str = "_pos", block: int = BLOCK
 ) -> DataFrame:
-    """Add the sum of ``value`` over all earlier positions (exclusive)."""
-    own = F.floor(F.col(pos) / block).cast("long")
-    df = df.withColumn("_blk", own).withColumn("_val", value)
-    parts = df.groupBy("_blk").agg(F.sum("_val").alias("s")).collect()
-    starts, total = [], 0
-    for blk, s in sorted(parts):
-        starts.append((blk, total))
-        total += s or 0
-    kind = df.schema["_val"].dataType.simpleString()
-    if kind in ("int", "smallint", "tinyint"):
-        kind = "bigint"
+    """Add, per name, the sum of a whole-number value over all earlier positions."""
+    names = list(values)
+    sums = [F.sum(f"_v{i}").alias(f"_s{i}") for i in range(len(names))]
+    df = df.withColumn("_blk", F.floor(F.col(pos) / block).cast("long")).withColumns(
+        {f"_v{i}": values[n].cast("long") for i, n in enumerate(names)}
+    )
+    starts, total = [], [0] * len(names)
+    for blk, *parts in sorted(df.groupBy("_blk").agg(*sums).collect()):
+        starts.append((blk, *total))
+        total = [t + (p or 0) for t, p in zip(total, parts)]
+    schema = "_blk long, " + ", ".join(f"_t{i} long" for i in range(len(names)))
     # One row per block of positions.
-    table = df.sparkSession.createDataFrame(starts, f"_blk long, _start {kind}")
+    table = df.sparkSession.createDataFrame(starts, schema)
     w = Window.partitionBy("_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.coalesce(F.sum("_val").over(w), F.lit(0))
-    return (
-        df.withColumn("_in", inside)
-        .join(F.broadcast(table), "_blk")
-        .withColumn(name, F.col("_start") + F.col("_in"))
-        .drop("_blk", "_val", "_in", "_start")
+    df = df.withColumns(
+        {f"_s{i}": F.coalesce(F.sum(f"_v{i}").over(w), F.lit(0)) for i in range(len(names))}
+    )
+    df = df.join(F.broadcast(table), "_blk").withColumns(
+        {n: F.col(f"_t{i}") + F.col(f"_s{i}") for i, n in enumerate(names)}
     )
+    return df.drop("_blk", *[f"_{k}{i}" for k in "vst" for i in range(len(names))])
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:

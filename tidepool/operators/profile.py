@@ -463,6 +463,14 @@ def insights(df: DataFrame, exact: bool = True) -> DataFrame:
     return rows_from(df.agg(*wide), rules).filter(F.col("rule").isNotNull())
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation over complete pairs; missing where either side is constant
+    (the built-in divides by zero there)."""
+    sx = F.stddev_pop(F.when(y.isNotNull(), x))
+    sy = F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.covar_pop(x, y) / F.nullif(sx * sy, F.lit(0.0))
+
+
 def correlations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson matrix in long form; each pair uses rows complete in that pair."""
     cols = _numeric(df, cols)
@@ -470,8 +478,7 @@ def correlations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     for i, a in enumerate(cols):
         for j in range(i, len(cols)):
             b = cols[j]
-            r = F.nanvl(F.corr(_number(a), _number(b)), F.lit(None).cast("double"))
-            wide.append(r.alias(f"r{i}_{j}"))
+            wide.append(pearson(_number(a), _number(b)).alias(f"r{i}_{j}"))
             records.append({"a": F.lit(a), "b": F.lit(b), "r": F.col(f"r{i}_{j}")})
             if i != j:
                 records.append({"a": F.lit(b), "b": F.lit(a), "r": F.col(f"r{i}_{j}")})

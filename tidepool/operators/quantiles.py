@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepool.columns import col
 from tidepool.operators.lookup import attach
-from tidepool.operators.ordering import running_total, with_position
+from tidepool.operators.ordering import running_totals, with_position
 from tidepool.session import PERCENTILE_DISTINCT, limit_of
 
 
@@ -26,7 +26,7 @@ def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     placed = with_position(counts, [*by, value])
-    placed = running_total(placed, F.col("n"), "_cum").drop("_pos")
+    placed = running_totals(placed, {"_cum": F.col("n")}).drop("_pos")
     if not by:
         size = placed.agg(F.sum("n")).first()[0] or 0
         return placed.withColumnRenamed("_cum", "before").withColumn(
