@@ -28,15 +28,23 @@ def feature(name: str, kind: str, unicode: bool = False) -> Column:
         return F.length(text)
     if kind == "char_count":
         return F.length(F.replace(text, F.lit(" "), F.lit("")))
-    patterns = {
-        "word_count": flag + r"\S+",
-        "uppercase_count": "[A-Z]",
-        "digit_count": flag + r"\d",
-        "special_char_count": flag + r"[^a-zA-Z0-9\s]",
+    if kind == "word_count":
+        # Splitting also yields an empty piece at each blank end.
+        blank = flag + r"\s"
+        ends = sum(
+            (F.substring(text, at, 1).rlike(blank).cast("int") for at in (1, -1)), F.lit(0)
+        )
+        words = F.size(F.split(text, blank + "+")) - ends
+        return F.when(text == "", F.lit(0)).otherwise(words)
+    # What is left after removing all other characters, in whole runs.
+    others = {
+        "uppercase_count": "[^A-Z]+",
+        "digit_count": flag + r"\D+",
+        "special_char_count": flag + r"[a-zA-Z0-9\s]+",
     }
-    if kind not in patterns:
+    if kind not in others:
         raise ValueError(f"Unknown text feature '{kind}'")
-    return F.regexp_count(text, F.lit(patterns[kind]))
+    return F.length(F.regexp_replace(text, others[kind], ""))
 
 
 def add_features(

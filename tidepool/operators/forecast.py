@@ -75,24 +75,57 @@ def seconds(when: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", start, when.cast("timestamp_ntz")) / F.lit(1e6)
 
 
-def design(when: Column, first: Column, last: Column, layout: Layout) -> Column:
-    """The design row: intercept, slope, hinges, and sine and cosine pairs."""
-    s = seconds(when)
-    t = (s - first) / F.nullif(last - first, F.lit(0.0))
-    cells = [F.lit(1.0), t]
+def terms(layout: Layout) -> list[tuple[str, float]]:
+    """The design row as (kind, number): level, slope, hinges, sines, cosines."""
+    out = [("level", 0.0), ("slope", 0.0)]
     for i in range(layout.changepoints):
-        at = CHANGEPOINT_RANGE * (i + 1) / (layout.changepoints + 1)
-        cells.append(F.greatest(t - F.lit(at), F.lit(0.0)))
+        out.append(("hinge", CHANGEPOINT_RANGE * (i + 1) / (layout.changepoints + 1)))
     for name in layout.seasons:
         period, order = SEASONS[name]
         for n in range(1, order + 1):
-            angle = s * F.lit(2 * math.pi * n / (period * DAY))
-            cells += [F.sin(angle), F.cos(angle)]
-    return F.array(*cells)
+            turn = 2 * math.pi * n / (period * DAY)
+            out += [("sin", turn), ("cos", turn)]
+    return out
+
+
+# Each term for arrays inside tasks: ``s`` is the time in seconds, ``t`` the
+# place within the fitted history.
+_ON_ARRAYS = {
+    "level": lambda s, t, x: np.ones(len(s)),
+    "slope": lambda s, t, x: t,
+    "hinge": lambda s, t, x: np.maximum(t - x, 0.0),
+    "sin": lambda s, t, x: np.sin(s * x),
+    "cos": lambda s, t, x: np.cos(s * x),
+}
+
+
+def segments(weights: np.ndarray, layout: Layout) -> tuple[np.ndarray, np.ndarray]:
+    """The trend as one (level, slope) per stretch between changepoints."""
+    at = np.array([x for kind, x in terms(layout) if kind == "hinge"])
+    bends = weights[2 : layout.trend]
+    slopes = weights[1] + np.concatenate([[0.0], np.cumsum(bends)])
+    levels = weights[0] - np.concatenate([[0.0], np.cumsum(bends * at)])
+    return levels, slopes
+
+
+def _part(layout: Layout, name: str) -> Column:
+    """One component in the series' own scale. The trend looks up its stretch,
+    which keeps the expression, and so the compiled code, small."""
+    if name == "trend":
+        n = layout.changepoints
+        step = (n + 1) / CHANGEPOINT_RANGE
+        k = f"cast(least(greatest(floor(_t * {step!r}D), 0), {n}) as int)"
+        return F.expr(f"scale * (get(levels, {k}) + get(slopes, {k}) * _t)")
+    start, length = layout.span(name)
+    cells = [
+        f"get(weights, {start + i}) * {kind}(_s * {x!r}D)"
+        for i, (kind, x) in enumerate(terms(layout)[start : start + length])
+    ]
+    return F.expr(f"scale * ({' + '.join(cells)})")
 
 
 def _sums(layout: Layout):
-    width = layout.width
+    width, row = layout.width, terms(layout)
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
@@ -105,8 +138,11 @@ def _sums(layout: Layout):
         for batch in batches:
             if not len(batch):
                 continue
-            rows = np.stack(batch["_x"].to_numpy()).astype(float)
-            rows = np.column_stack([rows, batch["_y"].to_numpy(dtype=float)])
+            s, first, last, y = (
+                batch[c].to_numpy(dtype=float) for c in ("_s", "first", "last", "_y")
+            )
+            t = (s - first) / (last - first)
+            rows = np.column_stack([*[_ON_ARRAYS[k](s, t, x) for k, x in row], y])
             for key, places in batch.groupby("_series").indices.items():
                 part = rows[places]
                 got = part.T @ part
@@ -123,19 +159,19 @@ def _sums(layout: Layout):
             total += np.asarray(s).reshape(width + 1, width + 1)
         left = total[:width, :width] + np.diag(layout.penalties())
         weights = np.linalg.solve(left, total[:width, width])
-        return pd.DataFrame({"_series": [group["_series"].iloc[0]], "weights": [weights]})
+        levels, slopes = segments(weights, layout)
+        return pd.DataFrame(
+            {
+                "_series": [group["_series"].iloc[0]],
+                "weights": [weights],
+                "levels": [levels],
+                "slopes": [slopes],
+            }
+        )
 
     return add, solve
 
 
-def _dot(start: int, length: int) -> Column:
-    """Part of weights · design row."""
-    terms = F.zip_with(
-        F.slice("weights", start + 1, length), F.slice("_x", start + 1, length), lambda a, b: a * b
-    )
-    return F.aggregate(terms, F.lit(0.0), lambda acc, v: acc + v)
-
-
 @dataclass
 class Forecaster:
     """Fitted series: one row per series with weights, scale and error bounds."""
@@ -147,12 +183,10 @@ class Forecaster:
         """Add yhat, yhat_lower, yhat_upper to (series, ds, …), and the parts."""
         counts = rows.groupBy("series").agg(F.count(F.lit(1)).alias("_rows"))
         both = attach(rows, self.fitted.join(counts, "series"), ["series"], rows="_rows")
-        both = both.withColumn(
-            "_x", design(F.col("ds"), F.col("first"), F.col("last"), self.layout)
+        both = both.withColumn("_s", seconds(F.col("ds"))).withColumn(
+            "_t", (F.col("_s") - F.col("first")) / (F.col("last") - F.col("first"))
         )
-        parts = {}
-        for name in ("trend", *self.layout.seasons):
-            parts[name] = _dot(*self.layout.span(name)) * F.col("scale")
+        parts = {name: _part(self.layout, name) for name in ("trend", *self.layout.seasons)}
         both = both.withColumns(parts)
         yhat = sum((F.col(p) for p in parts), F.lit(0.0))
         both = both.withColumn("yhat", yhat).withColumns(
@@ -194,7 +228,10 @@ def fit(
     facts = checkpoint(
         rows.groupBy("series").agg(
             F.min(seconds(F.col("ds"))).alias("first"),
-            F.max(seconds(F.col("ds"))).alias("last"),
+            # A series on a single date still needs a length.
+            F.greatest(F.max(seconds(F.col("ds"))), F.min(seconds(F.col("ds"))) + 1.0).alias(
+                "last"
+            ),
             F.coalesce(F.nullif(F.max(F.abs("y")), F.lit(0.0)), F.lit(1.0)).alias("scale"),
             F.count(F.lit(1)).alias("_rows"),
         )
@@ -204,15 +241,17 @@ def fit(
         name = "the table" if short is None else f"series '{short['series']}'"
         raise ValueError(f"At least {MIN_ROWS} rows are needed, {name} has fewer")
     both = attach(rows, facts, ["series"], rows="_rows")
-    x = design(F.col("ds"), F.col("first"), F.col("last"), layout)
-    # One moment gives no slope; a series on a single date is its level.
-    x = F.transform(x, lambda v: F.coalesce(v, F.lit(0.0)))
     add, solve = _sums(layout)
     sums = both.select(
-        F.col("series").alias("_series"), x.alias("_x"), (F.col("y") / F.col("scale")).alias("_y")
+        F.col("series").alias("_series"),
+        seconds(F.col("ds")).alias("_s"),
+        "first",
+        "last",
+        (F.col("y") / F.col("scale")).alias("_y"),
     ).mapInPandas(add, "_series string, _sums array<double>")
     weights = sums.groupBy("_series").applyInPandas(
-        solve, "_series string, weights array<double>"
+        solve,
+        "_series string, weights array<double>, levels array<double>, slopes array<double>",
     )
     fitted = checkpoint(
         facts.join(weights.withColumnRenamed("_series", "series"), "series").drop("_rows")

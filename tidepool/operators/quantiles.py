@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +14,10 @@ from tidepool.operators.lookup import attach
 from tidepool.operators.ordering import running_totals, with_position
 from tidepool.session import PERCENTILE_DISTINCT, limit_of
 
+ACCURACY = 10_000
+# A bracket of this many values is read as it is.
+BRACKET_ROWS = 20_000
+
 
 def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """One row per (group, value): count ``n``, rows ``before`` it in its group,
@@ -70,36 +76,125 @@ def _ranked(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]
     return got.select(*[col(b) for b in by], F.array(*cells).alias("q"))
 
 
+@dataclass
+class _Target:
+    """One wanted rank pair of a column, and the value bracket that holds it."""
+
+    column: str
+    prob: float
+    low_rank: int
+    high_rank: int
+    total: int
+    size: int
+    low: float | None = None
+    high: float | None = None
+    below: int = 0
+
+    def inside(self, x: Column) -> Column:
+        return x.isNotNull() if self.low is None else x.between(self.low, self.high)
+
+    def value(self, first: float, second: float) -> float:
+        at = self.prob * (self.total - 1)
+        return first + (second - first) * (at - self.low_rank)
+
+
+def _number(name: str) -> Column:
+    """The column as a double, NaN counting as missing."""
+    x = col(name).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def _narrow(df: DataFrame, targets: list[_Target]) -> None:
+    """Shrink brackets by sketch quantiles, then count what they really hold.
+
+    The sketch only proposes a bracket; the counts decide. A bracket that
+    misses its ranks stays as it was and is marked by ``size`` −1.
+    """
+    groups: dict[tuple, list[_Target]] = {}
+    for t in targets:
+        groups.setdefault((t.column, t.low, t.high), []).append(t)
+    sketches = []
+    for held in groups.values():
+        marks = []
+        for t in held:
+            span = max(t.size - 1, 1)
+            marks.append(max(0.0, (t.low_rank - t.below) / span - 2 / ACCURACY))
+            marks.append(min(1.0, (t.high_rank - t.below) / span + 2 / ACCURACY))
+        x = _number(held[0].column)
+        sketches.append(F.percentile_approx(F.when(held[0].inside(x), x), marks, ACCURACY))
+    proposed = df.agg(*sketches).first()
+    trials = []
+    for held, values in zip(groups.values(), proposed):
+        trials += [(t, values[2 * i], values[2 * i + 1]) for i, t in enumerate(held)]
+    counts = []
+    for t, a, b in trials:
+        x = _number(t.column)
+        counts += [F.count_if(x < F.lit(a)), F.count_if(x.between(a, b))]
+    row = df.agg(*counts).first()
+    for i, (t, a, b) in enumerate(trials):
+        below, size = row[2 * i], row[2 * i + 1]
+        if below <= t.low_rank and t.high_rank < below + size and size < t.size:
+            t.low, t.high, t.below, t.size = a, b, below, size
+        else:
+            t.size = -1
+
+
 def quantiles(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float], exact: bool = True
 ) -> dict[str, list[float | None]]:
     """Quantiles of whole columns, as numbers.
 
-    The built-in exact percentile keeps every distinct value in one task, so
-    it serves only columns with few enough of them; others are ranked by a
-    distributed sort of their value counts.
+    Exact ones are found by narrowing: a sketch gives a bracket around each
+    wanted rank, a scan counts it, and this repeats until the bracket holds few
+    enough values to read. Each pass is one aggregation with a tiny result, so
+    nothing is sorted or shuffled. A bracket that cannot shrink (copies of few
+    values) is settled by a distributed ranking of its value counts.
     """
     cols = list(dict.fromkeys(cols))
     if not cols:
         return {}
-    marks = F.array(*[F.lit(float(p)) for p in probs])
     if not exact:
         row = df.agg(
-            *[F.percentile_approx(col(c).cast("double"), list(probs), 10_000) for c in cols]
+            *[F.percentile_approx(_number(c), list(probs), ACCURACY) for c in cols]
         ).first()
         return {c: list(row[i]) if row[i] else [None] * len(probs) for i, c in enumerate(cols)}
-    bound = limit_of(df.sparkSession, "percentileDistinct", PERCENTILE_DISTINCT)
-    seen = df.agg(*[F.approx_count_distinct(col(c)) for c in cols]).first()
-    small = [c for c, n in zip(cols, seen) if n <= bound]
-    found: dict[str, list[float | None]] = {}
-    if small:
-        row = df.agg(*[F.percentile(col(c).cast("double"), marks) for c in small]).first()
-        for i, c in enumerate(small):
-            found[c] = list(row[i]) if row[i] is not None else [None] * len(probs)
-    for c in cols:
-        if c not in found:
-            got = _ranked(df.select(col(c)), (), c, probs).first()
-            found[c] = list(got["q"])
+    df = df.select(*[col(c) for c in cols])
+    sizes = df.agg(*[F.count(_number(c)) for c in cols]).first()
+    found: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
+    every: list[tuple[int, _Target]] = []
+    for c, n in zip(cols, sizes):
+        for i, p in enumerate(probs):
+            if n:
+                at = p * (n - 1)
+                every.append((i, _Target(c, p, math.floor(at), math.ceil(at), n, n)))
+    few = limit_of(df.sparkSession, "bracketRows", BRACKET_ROWS)
+    while True:
+        wide = [t for _, t in every if t.size > few and (t.low is None or t.low < t.high)]
+        if not wide:
+            break
+        _narrow(df, wide)
+    stuck = [(i, t) for i, t in every if t.size < 0]
+    easy = [(i, t) for i, t in every if t.size >= 0 and t.low is not None and t.low == t.high]
+    for i, t in easy:
+        found[t.column][i] = t.low
+    rest = [(i, t) for i, t in every if t.size >= 0 and not (t.low is not None and t.low == t.high)]
+    if rest:
+        cells = {}
+        for _, t in rest:
+            x = _number(t.column)
+            cells[(t.column, t.low, t.high)] = F.sort_array(F.collect_list(F.when(t.inside(x), x)))
+        row = dict(zip(cells, df.agg(*cells.values()).first()))
+        for i, t in rest:
+            held = row[(t.column, t.low, t.high)]
+            found[t.column][i] = t.value(
+                held[t.low_rank - t.below], held[t.high_rank - t.below]
+            )
+    for c in dict.fromkeys(t.column for _, t in stuck):
+        mine = [(i, t) for i, t in stuck if t.column == c]
+        clean = df.select(_number(c).alias("v"))
+        got = _ranked(clean, (), "v", [t.prob for _, t in mine]).first()["q"]
+        for (i, _), v in zip(mine, got):
+            found[c][i] = v
     return found
 
 

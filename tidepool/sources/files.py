@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepool.operators.ordering import with_position
@@ -18,8 +19,13 @@ def read_csv(
     schema: T.StructType | str | None = None,
     encoding: str = "utf-8",
 ) -> DataFrame:
-    """CSV with a header. Give a schema where it is known: inference reads twice."""
-    reader = spark.read.option("header", True).option("encoding", _ENCODINGS[encoding])
+    """CSV with a header. Give a schema where it is known: inference reads twice.
+
+    UTF-16 lines cannot be found without decoding, so such files are not split.
+    """
+    reader = spark.read.options(
+        header=True, encoding=_ENCODINGS[encoding], escape='"', multiLine=encoding == "utf-16"
+    )
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(paths if isinstance(paths, str) else list(paths))
 
@@ -50,18 +56,11 @@ def write_csv(
         df = with_position(df, order_by, row_number).select(row_number, *names)
     elif order_by:
         df = df.orderBy(*order_by)
-    (
-        df.write.mode(mode)
-        .option("header", True)
-        .option("encoding", _ENCODINGS[encoding])
-        .csv(path)
-    )
+    df.write.mode(mode).options(header=True, encoding=_ENCODINGS[encoding], escape='"').csv(path)
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """Write any result table. CSV holds arrays as text joined by ``, ``."""
-    from pyspark.sql import functions as F
-
     if fmt == "csv":
         flat = [
             F.array_join(F.col(f"`{f.name}`").cast("array<string>"), ", ").alias(f.name)
