@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.columns import col, require
+from tidepool.session import in_parallel
 from tidepool.sources.files import check_features
 
 
@@ -29,13 +31,13 @@ def fit_kmeans(
     require(df, features, "numeric")
     rows = _vectors(df.na.drop(subset=list(features)), features).select("_features").persist()
     try:
-        best: tuple[float, KMeansModel] | None = None
-        for i in range(starts):
-            model = KMeans(k=k, seed=seed + i, featuresCol="_features").fit(rows)
-            cost = model.summary.trainingCost
-            if best is None or cost < best[0]:
-                best = (cost, model)
-        return [list(map(float, c)) for c in best[1].clusterCenters()], best[0]
+        def one(start: int) -> KMeansModel:
+            return KMeans(k=k, seed=seed + start, featuresCol="_features").fit(rows)
+
+        rows.count()
+        found = in_parallel(df.sparkSession, [partial(one, i) for i in range(starts)])
+        best = min(found, key=lambda m: m.summary.trainingCost)
+        return [list(map(float, c)) for c in best.clusterCenters()], best.summary.trainingCost
     finally:
         rows.unpersist()
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import partial
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from tidepool.columns import classify, col
 from tidepool.operators import metrics, models, prepare, sampling
 from tidepool.operators.models import PREDICTION, Trained
 from tidepool.operators.profile import correlations, high_correlations, rows_from
-from tidepool.session import checkpoint
+from tidepool.session import checkpoint, in_parallel
 
 
 def _weights(n: int, weights: Sequence[float] | None) -> list[float]:
@@ -166,13 +167,13 @@ def bagging(
     names = list(dict.fromkeys([*keys, target, *features]))
     rows = df.select(*[col(c) for c in names]).persist()
     try:
-        members = [
-            models.fit(
+        def one(i: int) -> Trained:
+            return models.fit(
                 sampling.bootstrap(rows, keys, fraction, replace, seed + i),
                 target, features, algorithm, problem=problem, keys=keys, seed=seed + i, **options,
             )
-            for i in range(n)
-        ]
+
+        members = in_parallel(df.sparkSession, [partial(one, i) for i in range(n)])
     finally:
         rows.unpersist()
     return Ensemble(members, "soft", [1.0] * n)
@@ -328,13 +329,19 @@ def out_of_fold(
     rows = sampling.folds(df.select(*[col(c) for c in names]), k, keys, seed, name="_fold")
     rows = rows.na.drop(subset=[target, *features]).persist()
     try:
+        def one(f: int, base: Base) -> Trained:
+            seen = rows.filter(F.col("_fold") != f)
+            return models.fit(
+                seen, target, features, base[0], problem, base[1], keys=keys, seed=seed
+            )
+
+        jobs = [partial(one, f, base) for f in range(k) for base in bases]
+        fitted = in_parallel(df.sparkSession, jobs)
         parts = None
         for f in range(k):
-            seen, held = rows.filter(F.col("_fold") != f), rows.filter(F.col("_fold") == f)
-            for i, (algorithm, params) in enumerate(bases):
-                m = models.fit(
-                    seen, target, features, algorithm, problem, params, keys=keys, seed=seed
-                )
+            held = rows.filter(F.col("_fold") == f)
+            for i in range(len(bases)):
+                m = fitted[f * len(bases) + i]
                 held = _meta_columns(m.score(held), i, m.classes, probabilities)
             parts = held if parts is None else parts.unionByName(held)
         return checkpoint(parts.drop("_fold"))

@@ -48,11 +48,6 @@ def onehot_pairs(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def baskets(found: DataFrame) -> DataFrame:
-    """One sorted array of items per transaction; a basket holds each item once."""
-    return found.groupBy("tx").agg(F.array_sort(F.collect_set("item")).alias("items"))
-
-
 def frequent_items(found: DataFrame, min_count: int) -> DataFrame:
     return (
         found.groupBy("item")
@@ -61,14 +56,17 @@ def frequent_items(found: DataFrame, min_count: int) -> DataFrame:
     )
 
 
-def _frequent_baskets(found: DataFrame, min_count: int) -> DataFrame:
-    """Baskets of frequent items only.
+def baskets(found: DataFrame, min_count: int) -> DataFrame:
+    """One sorted array of items per transaction, of items in ``min_count``
+    transactions or more.
 
-    At most (pairs / min_count) items can be frequent, which bounds both the
-    table that is looked up and the longest basket, however hot a transaction.
+    At most (pairs / min_count) items can be that frequent, which bounds both
+    the table that is looked up and the longest basket, however hot a
+    transaction is. Whole baskets stay in the long form of ``pairs``.
     """
     kept = attach(found, frequent_items(found, min_count), ["item"], rows="count")
-    return baskets(kept.filter(F.col("count").isNotNull()).select("tx", "item"))
+    kept = kept.filter(F.col("count").isNotNull())
+    return kept.groupBy("tx").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
 def least_count(min_support: float, n: int) -> int:
@@ -98,7 +96,7 @@ def frequent_itemsets(
             [], "items array<string>, length int, count long, support double"
         )
     least = least_count(min_support, n)
-    kept = checkpoint(_frequent_baskets(found, least))
+    kept = checkpoint(baskets(found, least))
     held = kept.count()
     if not held:
         return found.sparkSession.createDataFrame(

@@ -13,6 +13,7 @@ import time
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import partial
 from typing import Any
 
 import numpy as np
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from tidepool.columns import col, require
 from tidepool.operators import metrics, prepare, sampling
 from tidepool.operators.neighbors import NeighborModel
+from tidepool.session import in_parallel
 from tidepool.sources.files import check_features
 
 LABEL, FEATURES, PREDICTION = "_label", "_features", "_prediction"
@@ -456,15 +458,15 @@ def cross_validate(
     data = sampling.folds(df.select(*[col(c) for c in cols]), k, keys, seed, name="_fold")
     data = data.persist()
     try:
-        out = []
-        for i in range(k):
+        def one(i: int) -> float:
             trained = fit(
                 data.filter(F.col("_fold") != i), target, features, algorithm,
                 problem=problem, keys=keys, seed=seed, **options,
             )
             scores = evaluate(trained, data.filter(F.col("_fold") == i))
-            out.append(main_score(problem, scores))
-        return out
+            return main_score(problem, scores)
+
+        return in_parallel(df.sparkSession, [partial(one, i) for i in range(k)])
     finally:
         data.unpersist()
 
@@ -587,7 +589,7 @@ class Registry:
 
     SCHEMA = (
         "model_id string, algorithm string, problem string, target string, "
-        "features array<string>, saved_at double, metadata string"
+        "features array<string>, saved_at double, size_bytes long, metadata string"
     )
 
     def __init__(self, spark: SparkSession, path: str):
@@ -612,7 +614,7 @@ class Registry:
         row = [
             (
                 trained.model_id, trained.algorithm, trained.problem, trained.target,
-                trained.features, time.time(), json.dumps(extra, default=str),
+                trained.features, time.time(), self._size(folder), json.dumps(extra, default=str),
             )
         ]
         self.spark.createDataFrame(row, self.SCHEMA).coalesce(1).write.mode("overwrite").parquet(
@@ -649,13 +651,20 @@ class Registry:
             model_id, extra["info"],
         )
 
+    def _files(self, folder: str):
+        """The folder and its file system, as the cluster sees them."""
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        return path, path.getFileSystem(context._jsc.hadoopConfiguration())
+
+    def _size(self, folder: str) -> int:
+        path, files = self._files(folder)
+        return int(files.getContentSummary(path).getLength())
+
     def delete(self, model_id: str) -> None:
-        """Remove a saved model through the cluster's file system."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for folder in (self._folder(model_id), f"{self.path}/metadata/{model_id}"):
-            target = jvm.org.apache.hadoop.fs.Path(folder)
-            target.getFileSystem(conf).delete(target, True)
+            path, files = self._files(folder)
+            files.delete(path, True)
 
 
 def select_features(

@@ -43,14 +43,20 @@ def _itemsets(spark, d):
     return mining.frequent_itemsets(_types(spark, d), 0.05)
 
 
+@query("t1_baskets", "select distinct l_orderkey as tx, l_suppkey::varchar as item from lineitem")
+def _(spark, d):
+    return mining.pairs(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey")
+
+
 @query(
-    "t1_baskets",
-    """select l_orderkey as tx, array_to_string(list_sort(list(distinct l_suppkey::varchar)), ',') as items
-       from lineitem group by 1""",
+    "t1_frequent_baskets",
+    """with p as (select distinct l_orderkey as tx, p_type as item from lineitem join part on l_partkey = p_partkey),
+            f as (select item from p group by 1 having count(*) >= 100)
+       select tx, array_to_string(list_sort(list(item)), ',') as items from p join f using (item) group by 1""",
 )
 def _(spark, d):
-    found = mining.pairs(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey")
-    return mining.baskets(found).select("tx", F.array_join("items", ",").alias("items"))
+    found = mining.baskets(_types(spark, d), 100)
+    return found.select("tx", F.array_join("items", ",").alias("items"))
 
 
 @query(

@@ -7,7 +7,11 @@ Each has another, fully distributed way beyond it.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +48,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def in_parallel(spark: SparkSession, jobs: Sequence[Callable[[], Any]], most: int = 4) -> list[Any]:
+    """Run independent jobs from a few driver threads, results in order.
+
+    One small fit cannot keep a cluster busy; several at once do. The session
+    may set ``tidepool.parallelism``.
+    """
+    most = min(limit_of(spark, "parallelism", most), len(jobs))
+    if most < 2:
+        return [job() for job in jobs]
+    with ThreadPool(most) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda job: job()), jobs, chunksize=1)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
