@@ -190,6 +190,71 @@ def _(spark, d):
     return models.predict(model, rows).select("o_orderkey", "Predicted_o_orderstatus")
 
 
+# With one yes-or-no feature, these models have closed forms: group shares,
+# group majorities and group means.
+def _flagged(spark, d):
+    return table(spark, d, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_extendedprice",
+        "l_returnflag",
+        (F.col("l_linestatus") == "F").cast("int").alias("final"),
+        (F.col("l_returnflag") == "R").cast("int").alias("returned"),
+    )
+
+
+@query(
+    "m5_logistic_shares",
+    """select l_orderkey, l_linenumber, (share > 0.5)::int as "Predicted_returned", round(1 - share, 3) as "Probability_0", round(share, 3) as "Probability_1"
+       from lineitem join (select l_linestatus, avg((l_returnflag = 'R')::int) as share from lineitem group by 1) using (l_linestatus)""",
+)
+def _(spark, d):
+    rows = _flagged(spark, d)
+    model = models.fit(rows, "returned", ["final"], "Logistic Regression", params={"C": 1e6})
+    got = models.predict(model, rows.drop("returned"))
+    names = ["Probability_0", "Probability_1"]
+    return _rounded(got.select("l_orderkey", "l_linenumber", "Predicted_returned", *names), 3, *names)
+
+
+_MAJORITY_SQL = """(select l_linestatus, arg_max(l_returnflag, (n, l_returnflag)) as guess
+                     from (select l_linestatus, l_returnflag, count(*) as n from lineitem group by 1, 2) group by 1)"""
+
+
+@query(
+    "m7_tree_majority",
+    f"""select l_orderkey, l_linenumber, guess as "Predicted_l_returnflag" from lineitem join {_MAJORITY_SQL} using (l_linestatus)""",
+)
+def _(spark, d):
+    rows = _flagged(spark, d)
+    model = models.fit(rows, "l_returnflag", ["final"], "Decision Tree", params={"max_depth": 1})
+    return models.predict(model, rows).select("l_orderkey", "l_linenumber", "Predicted_l_returnflag")
+
+
+@query(
+    "m7_tree_means",
+    """select l_orderkey, l_linenumber, round(avg(l_extendedprice) over (partition by l_linestatus), 4) as "Predicted_l_extendedprice"
+       from lineitem""",
+)
+def _(spark, d):
+    rows = _flagged(spark, d)
+    model = models.fit(rows, "l_extendedprice", ["final"], "Decision Tree", params={"max_depth": 1})
+    got = models.predict(model, rows).select("l_orderkey", "l_linenumber", "Predicted_l_extendedprice")
+    return _rounded(got, 4, "Predicted_l_extendedprice")
+
+
+@query(
+    "m12_boosted_means",
+    """select l_orderkey, l_linenumber, round(avg(l_extendedprice) over (partition by l_linestatus), 4) as "Predicted_l_extendedprice"
+       from lineitem""",
+)
+def _(spark, d):
+    rows = _flagged(spark, d)
+    params = {"n_estimators": 1, "max_depth": 1}
+    model = models.fit(rows, "l_extendedprice", ["final"], "Gradient Boosting", params=params)
+    got = models.predict(model, rows).select("l_orderkey", "l_linenumber", "Predicted_l_extendedprice")
+    return _rounded(got, 4, "Predicted_l_extendedprice")
+
+
 @query("m9_support_vector_classes")
 def _(spark, d):
     return _predicted(spark, d, "Support Vector Machine", "large", {"max_iter": 20}, "standard")
@@ -309,6 +374,19 @@ def _(spark, d):
     return spark.createDataFrame(out, "method string, feature string")
 
 
+@query(
+    "m15_best_features",
+    """with c as (select abs(corr(l_extendedprice, l_quantity)) as q, abs(corr(l_extendedprice, l_discount)) as d,
+                         abs(corr(l_extendedprice, l_tax)) as t, abs(corr(l_extendedprice, l_linenumber)) as n from lineitem)
+       select feature from (select 'l_quantity' as feature, q as r from c union all select 'l_discount', d from c
+                            union all select 'l_tax', t from c union all select 'l_linenumber', n from c) order by r desc limit 2""",
+)
+def _(spark, d):
+    names = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+    got = models.select_features(table(spark, d, "lineitem"), "l_extendedprice", names, "kbest", 2)
+    return spark.createDataFrame([(n,) for n in got], "feature string")
+
+
 @query("m15_components")
 def _(spark, d):
     rows = _order_features(spark, d)
@@ -455,6 +533,23 @@ def _(spark, d):
     return metrics.prediction_bounds(metrics.residuals(rows, "l_extendedprice", "p"))
 
 
+# Two coefficients by Cramer's rule on covariances.
+@query(
+    "m25_coefficients",
+    """with c as (select var_pop(l_quantity) as a, var_pop(l_discount) as b, covar_pop(l_quantity, l_discount) as c,
+                         covar_pop(l_quantity, l_extendedprice) as y, covar_pop(l_discount, l_extendedprice) as z from lineitem)
+       select 'l_quantity' as feature, round((y * b - z * c) / (a * b - c * c), 4) as coefficient from c
+       union all select 'l_discount', round((z * a - y * c) / (a * b - c * c), 2) from c""",
+)
+def _(spark, d):
+    rows = table(spark, d, "lineitem")
+    model = models.fit(rows, "l_extendedprice", ["l_quantity", "l_discount"], "Linear Regression")
+    places = F.when(F.col("feature") == "l_quantity", F.round("coefficient", 4))
+    return models.importances(model, spark).withColumn(
+        "coefficient", places.otherwise(F.round("coefficient", 2))
+    )
+
+
 @query("m25_importances")
 def _(spark, d):
     rows = _order_features(spark, d)
@@ -469,17 +564,34 @@ def _(spark, d):
     return models.compare([tree, bayes], test).drop("model_id")
 
 
-@query("m27_registry")
+@query(
+    "m26_compare_majorities",
+    f"""with g as (select l_returnflag = guess as hit from lineitem join {_MAJORITY_SQL} using (l_linestatus)),
+             o as (select l_returnflag, count(*) as n from lineitem group by 1)
+        select 'Decision Tree' as algorithm, round(avg(hit::int), 6) as accuracy from g
+        union all select 'Naive Bayes', round(avg(hit::int), 6) from g""",
+)
 def _(spark, d):
-    rows = _order_features(spark, d)
+    rows = _flagged(spark, d)
+    tree = models.fit(rows, "l_returnflag", ["final"], "Decision Tree", params={"max_depth": 1})
+    bayes = models.fit(rows, "l_returnflag", ["final"], "Naive Bayes")
+    return _rounded(models.compare([tree, bayes], rows).select("algorithm", "accuracy"), 6, "accuracy")
+
+
+@query(
+    "m27_registry",
+    f"""select l_orderkey, l_linenumber, guess as "Predicted_l_returnflag" from lineitem join {_MAJORITY_SQL} using (l_linestatus)""",
+)
+def _(spark, d):
+    rows = _flagged(spark, d)
     registry = models.Registry(spark, scratch(spark))
-    tree = models.fit(rows, "large", _FEATURES, "Decision Tree", params={"max_depth": 3})
-    line = models.fit(rows, "o_totalprice", _FEATURES, "Linear Regression")
+    tree = models.fit(rows, "l_returnflag", ["final"], "Decision Tree", params={"max_depth": 1})
+    line = models.fit(rows, "l_extendedprice", ["final"], "Linear Regression")
     registry.save(tree)
     registry.save(line)
     registry.delete(line.model_id)
     again = registry.load(registry.listing().first()["model_id"])
-    return models.predict(again, rows).select("o_orderkey", "Predicted_large")
+    return models.predict(again, rows).select("l_orderkey", "l_linenumber", "Predicted_l_returnflag")
 
 
 @query("m28_build_model")
@@ -626,13 +738,19 @@ def _(spark, d):
     return models.predict(bag, rows).select("o_orderkey", "large", "Predicted_large")
 
 
-@query("b5_chain")
+@query(
+    "b5_chain",
+    f"""select l_orderkey, l_linenumber, round(avg(l_extendedprice) over (partition by l_linestatus), 4) as step_1,
+               (case guess when 'A' then 0 when 'N' then 1 else 2 end)::double as step_2
+        from lineitem join {_MAJORITY_SQL} using (l_linestatus)""",
+)
 def _(spark, d):
-    rows = _order_features(spark, d)
-    first = models.fit(rows, "o_totalprice", _FEATURES, "Linear Regression")
+    rows = _flagged(spark, d)
+    first = models.fit(rows, "l_extendedprice", ["final"], "Linear Regression")
     fed = ensemble.chain(rows, [first])
-    second = models.fit(fed, "large", ["prev_prediction", "quantity"], "Decision Tree", params={"max_depth": 3})
-    return ensemble.chain(rows, [first, second]).select("o_orderkey", "step_1", "step_2")
+    second = models.fit(fed, "l_returnflag", ["prev_prediction"], "Decision Tree", params={"max_depth": 1})
+    got = ensemble.chain(rows, [first, second]).select("l_orderkey", "l_linenumber", "step_1", "step_2")
+    return _rounded(got, 4, "step_1")
 
 
 @query(
