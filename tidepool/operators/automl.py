@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidepool.columns import classify, col, kind_of
 from tidepool.operators import encoders, models, prepare, sampling
 from tidepool.operators.models import Trained
+from tidepool.session import cached
 
 QUICK = {
     "classification": ["Random Forest", "Logistic Regression", "Gradient Boosting"],
@@ -140,9 +141,8 @@ def run(
     names = list(dict.fromkeys([*keys, target, *features]))
     rows = df.select(*[col(c) for c in names]).na.drop(subset=[target, *features])
     train, test = sampling.split(rows, keys, test_size, seed)
-    train, test = train.persist(), test.persist()
     started, log, entries, fitted = time.monotonic(), [], [], []
-    try:
+    with cached(train) as train, cached(test) as test:
         if selection:
             features = models.select_features(train, target, features, selection, problem=problem)
             log.append(f"features: {', '.join(features)}")
@@ -175,9 +175,6 @@ def run(
             )
             fitted.append(model)
             log.append(f"{algorithm}, {scaling}: cv {entries[-1]['cv']:.4f}, test {score:.4f}")
-    finally:
-        train.unpersist()
-        test.unpersist()
     if not entries:
         raise ValueError("No combination could be trained: " + "; ".join(log))
     order = sorted(range(len(entries)), key=lambda i: -entries[i][select_by])
@@ -270,8 +267,7 @@ def build(
         train, test = sampling.stratified_split(whole, target, keys, test_size, seed)
     else:
         train, test = sampling.split(whole, keys, test_size, seed)
-    train, test = train.persist(), test.persist()
-    try:
+    with cached(train) as train, cached(test) as test:
         numbers = {f: v for f, v in fill.items() if f not in texts}
         extra = []
         if selection == "pca":
@@ -298,9 +294,6 @@ def build(
         steps.append(("model", algorithm, str(model.params)))
         tested = prepare.impute(test, {f: v for f, v in numbers.items() if f in names})
         scores = models.evaluate(model, tested)
-    finally:
-        train.unpersist()
-        test.unpersist()
     table = spark.createDataFrame(
         [(i + 1, *s) for i, s in enumerate(steps)], "step int, kind string, choice string, detail string"
     )

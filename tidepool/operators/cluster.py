@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.columns import col, require
-from tidepool.session import in_parallel
+from tidepool.session import cached, in_parallel
 from tidepool.sources.files import check_features
 
 
@@ -29,17 +29,14 @@ def fit_kmeans(
     if not 2 <= k <= 10:
         raise ValueError("2 to 10 clusters")
     require(df, features, "numeric")
-    rows = _vectors(df.na.drop(subset=list(features)), features).select("_features").persist()
-    try:
+    vectors = _vectors(df.na.drop(subset=list(features)), features).select("_features")
+    with cached(vectors) as rows:
         def one(start: int) -> KMeansModel:
             return KMeans(k=k, seed=seed + start, featuresCol="_features").fit(rows)
 
-        rows.count()
         found = in_parallel(df.sparkSession, [partial(one, i) for i in range(starts)])
         best = min(found, key=lambda m: m.summary.trainingCost)
         return [list(map(float, c)) for c in best.clusterCenters()], best.summary.trainingCost
-    finally:
-        rows.unpersist()
 
 
 def _distances(features: Sequence[str], centres: Sequence[Sequence[float]]) -> Column:

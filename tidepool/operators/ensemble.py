@@ -14,7 +14,7 @@ from tidepool.columns import classify, col
 from tidepool.operators import metrics, models, prepare, sampling
 from tidepool.operators.models import PREDICTION, Trained
 from tidepool.operators.profile import correlations, high_correlations, rows_from
-from tidepool.session import checkpoint, in_parallel
+from tidepool.session import cached, checkpoint, in_parallel
 
 
 def _weights(n: int, weights: Sequence[float] | None) -> list[float]:
@@ -165,8 +165,7 @@ def bagging(
         raise ValueError("fraction must be between 0.3 and 1.0")
     problem = options.pop("problem", None) or prepare.problem_type(df, target)
     names = list(dict.fromkeys([*keys, target, *features]))
-    rows = df.select(*[col(c) for c in names]).persist()
-    try:
+    with cached(df.select(*[col(c) for c in names])) as rows:
         def one(i: int) -> Trained:
             return models.fit(
                 sampling.bootstrap(rows, keys, fraction, replace, seed + i),
@@ -174,8 +173,6 @@ def bagging(
             )
 
         members = in_parallel(df.sparkSession, [partial(one, i) for i in range(n)])
-    finally:
-        rows.unpersist()
     return Ensemble(members, "soft", [1.0] * n)
 
 
@@ -327,8 +324,7 @@ def out_of_fold(
     problem = problem or prepare.problem_type(df, target)
     names = list(dict.fromkeys([*keys, target, *features]))
     rows = sampling.folds(df.select(*[col(c) for c in names]), k, keys, seed, name="_fold")
-    rows = rows.na.drop(subset=[target, *features]).persist()
-    try:
+    with cached(rows.na.drop(subset=[target, *features])) as rows:
         def one(f: int, base: Base) -> Trained:
             seen = rows.filter(F.col("_fold") != f)
             return models.fit(
@@ -345,8 +341,6 @@ def out_of_fold(
                 held = _meta_columns(m.score(held), i, m.classes, probabilities)
             parts = held if parts is None else parts.unionByName(held)
         return checkpoint(parts.drop("_fold"))
-    finally:
-        rows.unpersist()
 
 
 def stacking(

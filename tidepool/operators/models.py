@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidepool.columns import col, require
 from tidepool.operators import metrics, prepare, sampling
 from tidepool.operators.neighbors import NeighborModel
-from tidepool.session import in_parallel
+from tidepool.session import cached, in_parallel
 from tidepool.sources.files import check_features
 
 LABEL, FEATURES, PREDICTION = "_label", "_features", "_prediction"
@@ -330,14 +330,11 @@ def fit(
     needed = [target] + [f for f in features if fill.get(f) is None]
     names = list(dict.fromkeys([*keys, target, *features]))
     # Several passes follow; they all read this narrow table.
-    rows = df.select(*[col(c) for c in names]).na.drop(subset=needed).persist()
-    try:
+    with cached(df.select(*[col(c) for c in names]).na.drop(subset=needed)) as rows:
         return _fit_rows(
             rows, target, features, algorithm, problem, settings, scaling, fill, keys,
             extra_stages, fourier_size, seed,
         )
-    finally:
-        rows.unpersist()
 
 
 def _penalty(rows: DataFrame, target: str, algorithm: str, settings: dict[str, Any]) -> float:
@@ -456,8 +453,7 @@ def cross_validate(
     problem = problem or prepare.problem_type(df, target)
     cols = list(dict.fromkeys([*keys, target, *features]))
     data = sampling.folds(df.select(*[col(c) for c in cols]), k, keys, seed, name="_fold")
-    data = data.persist()
-    try:
+    with cached(data) as data:
         def one(i: int) -> float:
             trained = fit(
                 data.filter(F.col("_fold") != i), target, features, algorithm,
@@ -467,8 +463,6 @@ def cross_validate(
             return main_score(problem, scores)
 
         return in_parallel(df.sparkSession, [partial(one, i) for i in range(k)])
-    finally:
-        data.unpersist()
 
 
 def fold_table(spark: SparkSession, scores: Sequence[float]) -> DataFrame:

@@ -6,8 +6,10 @@ Each has another, fully distributed way beyond it.
 
 from __future__ import annotations
 
+import math
 import tempfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 from typing import Any
 
@@ -23,6 +25,8 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 PERCENTILE_DISTINCT = 1_000_000
 # A per-key window sorts one key's rows in one task; used up to this many.
 WINDOW_GROUP_ROWS = 1_000_000
+# A cached table is read by about one task per this many rows.
+ROWS_PER_TASK = 25_000
 
 
 def limit_of(spark: SparkSession, name: str, default: int) -> int:
@@ -61,6 +65,21 @@ def in_parallel(spark: SparkSession, jobs: Sequence[Callable[[], Any]], most: in
         return pool.map(inheritable_thread_target(spark)(lambda job: job()), jobs, chunksize=1)
 
 
+@contextmanager
+def cached(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep a table for several passes, in no more tasks than its rows need.
+
+    A small table left in many shuffle partitions would make every pass of a
+    fit pay for starting nearly empty tasks.
+    """
+    held = df.persist()
+    try:
+        tasks = max(1, math.ceil(held.count() / ROWS_PER_TASK))
+        yield held.coalesce(tasks) if tasks < held.rdd.getNumPartitions() else held
+    finally:
+        held.unpersist()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
