@@ -144,11 +144,12 @@ def quantiles(
 ) -> dict[str, list[float | None]]:
     """Quantiles of whole columns, as numbers.
 
-    Exact ones are found by narrowing: a sketch gives a bracket around each
+    A column of few distinct values takes the built-in percentile. Others are
+    found by narrowing: a sketch gives a bracket around each
     wanted rank, a scan counts it, and this repeats until the bracket holds few
     enough values to read. Each pass is one aggregation with a tiny result, so
-    nothing is sorted or shuffled. A bracket that cannot shrink (copies of few
-    values) is settled by a distributed ranking of its value counts.
+    nothing is sorted or shuffled. A bracket that cannot shrink (many copies of
+    few values) is settled by a distributed ranking of the value counts.
     """
     cols = list(dict.fromkeys(cols))
     if not cols:
@@ -159,15 +160,23 @@ def quantiles(
         ).first()
         return {c: list(row[i]) if row[i] else [None] * len(probs) for i, c in enumerate(cols)}
     df = df.select(*[col(c) for c in cols])
-    sizes = df.agg(*[F.count(_number(c)) for c in cols]).first()
+    few = limit_of(df.sparkSession, "bracketRows", BRACKET_ROWS)
+    facts = df.agg(
+        *[F.count(_number(c)) for c in cols], *[F.approx_count_distinct(_number(c)) for c in cols]
+    ).first()
     found: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
+    # The built-in percentile holds one count per distinct value.
+    plain = [c for c, values in zip(cols, facts[len(cols) :]) if 0 < values <= few]
+    if plain:
+        marks = F.array(*[F.lit(float(p)) for p in probs])
+        row = df.agg(*[F.percentile(_number(c), marks) for c in plain]).first()
+        found.update({c: list(q) for c, q in zip(plain, row)})
     every: list[tuple[int, _Target]] = []
-    for c, n in zip(cols, sizes):
-        for i, p in enumerate(probs):
+    for c, n in zip(cols, facts):
+        for i, p in enumerate(probs if c not in plain else ()):
             if n:
                 at = p * (n - 1)
                 every.append((i, _Target(c, p, math.floor(at), math.ceil(at), n, n)))
-    few = limit_of(df.sparkSession, "bracketRows", BRACKET_ROWS)
     while True:
         wide = [t for _, t in every if t.size > few and (t.low is None or t.low < t.high)]
         if not wide:
