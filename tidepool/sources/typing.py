@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,15 @@ from tidepool.columns import classify, col
 # failing cast, which raises inside for every value.
 _NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d{1,3})?|inf|infinity|nan)\s*$"
 
+_WHOLE = r"^\s*[+-]?\d{1,18}\s*$"
+_LONGEST = r"^\s*[+-]?\d{19}\s*$"
+
+
+def _whole(name: str) -> Column:
+    """Not NULL where the text is a whole number; only 19 digits may not fit."""
+    longest = F.when(col(name).rlike(_LONGEST), col(name).try_cast("bigint"))
+    return F.when(col(name).rlike(_WHOLE), F.lit(1).cast("bigint")).otherwise(longest)
+
 
 def promote_types(
     df: DataFrame, cols: Sequence[str] | None = None, numeric: bool = True
@@ -33,7 +42,7 @@ def promote_types(
             F.count(col(c)).alias(f"n{i}"),
             F.count(col(c).try_cast("timestamp_ntz")).alias(f"t{i}"),
             F.count_if(col(c).rlike(_NUMBER)).alias(f"d{i}"),
-            F.count(col(c).try_cast("bigint")).alias(f"l{i}"),
+            F.count(_whole(c)).alias(f"l{i}"),
         ]
     row = df.agg(*marks).first()
     casts = {}
