@@ -205,7 +205,9 @@ def _repaired(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         return np.frombuffer(b"".join(texts), np.uint8), W.bounds(np.array([len(t) for t in texts]))
 
 
-model = lru_cache(maxsize=2)(Model)
+@lru_cache(maxsize=2)
+def model(path: str) -> Model:
+    return Model(path)
 
 
 def _framed(m: Model, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
