@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import pieces
+from tidepool.llm import contamination, pieces, secrets
 from tidepool.llm import words as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,3 +62,66 @@ def _(spark, d):
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return table(spark, d, "documents").select("doc_id", "text").mapInArrow(run, schema)
+
+
+def sha_of(column) -> F.Column:
+    """Lowercase hex digest of a text; NULL is the empty text."""
+    return F.sha2(F.coalesce(column, F.lit("")), 256)
+
+
+@query(
+    "op9_decontamination",
+    r"""with d as (select doc_id, row_number() over () as row, regexp_extract_all(translate(coalesce(text, ''),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+               from documents),
+         b as (select coalesce(cast(item_id as varchar), '') as item_id,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+         p as (select distinct item_id, least(len(w), 10) as m,
+                 unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2),
+                                       lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) as pattern
+               from b where len(w) > 0),
+         g as (select row, m, unnest(range(1, len(w) - m + 2)) as i, w from d, (select distinct m from p) where len(w) >= m),
+         o as (select row, m, i, item_id from (select row, m, i, array_to_string(w[i:i + m - 1], ' ') as pattern from g)
+               join p using (m, pattern)),
+         h as (select row, count(distinct k) as n from (select row, unnest(range(i, i + m)) as k from o) group by row),
+         t as (select row, count(distinct item_id) as n, string_agg(distinct item_id, ',' order by item_id) as s
+               from o group by row)
+       select doc_id, cast(len(w) as bigint) as n_words, coalesce(h.n, 0) as n_hit, coalesce(t.n, 0) as n_items,
+         sha256(coalesce(t.s, '')) as items_sha256, coalesce(h.n, 0) > 0 as contaminated
+       from d left join h using (row) left join t using (row)""",
+)
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = contamination.mark(docs, table(spark, d, "benchmark")).drop("text")
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["start"])
+    return found.select(
+        "doc_id",
+        F.col("n_words").cast("long").alias("n_words"),
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        sha_of(F.array_join("items", ",")).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+@query("op3_secret_scan")
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = secrets.find(docs).drop("text")
+
+    def joined(spans):
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))),
+            ",",
+        )
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[count(k) for k in secrets.KINDS],
+        sha_of(joined(F.filter("spans", lambda s: s["kind"] != "random"))).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
