@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import contamination, pieces, secrets
+from tidepool.llm import contamination, pieces, repeats, secrets
 from tidepool.llm import words as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,3 +125,56 @@ def _(spark, d):
         sha_of(joined(F.filter("spans", lambda s: s["kind"] != "random"))).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
+
+
+def _windows_sql(length: int) -> str:
+    """Common table expressions: words of each document, and its words in repeated windows."""
+    return rf"""with d as (select doc_id, row_number() over () as row,
+                 regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+         g as (select row, i, array_to_string(w[i:i + {length - 1}], ' ') as window_text
+               from (select row, w, unnest(range(1, len(w) - {length - 2})) as i from d where len(w) >= {length})),
+         r as (select window_text from g group by window_text having count(*) > 1),
+         k as (select distinct row, unnest(range(i, i + {length})) as k from g join r using (window_text)),
+         c as (select row, list(k order by k) as ks from k group by row)"""
+
+
+@query(
+    "op4_substring_dedup",
+    _windows_sql(35)
+    + """, n as (select row, string_agg(word, ' ' order by i) as kept
+               from (select row, unnest(w) as word, generate_subscripts(w, 1) as i from d) x
+               where not exists (select 1 from k where k.row = x.row and k.k = x.i) group by row)
+       select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(ks), 0) as bigint) as n_removed,
+         sha256(coalesce(kept, '')) as kept_sha256
+       from d left join c using (row) left join n using (row)""",
+)
+def _(spark, d):
+    kept = repeats.remove(table(spark, d, "documents").select("doc_id", "text"))
+    return kept.select(
+        "doc_id",
+        F.col("n_words").cast("long").alias("n_words"),
+        F.col("n_removed").cast("long").alias("n_removed"),
+        sha_of(F.col("kept")).alias("kept_sha256"),
+    )
+
+
+@query(
+    "op7_suffix_dedup",
+    _windows_sql(50)
+    + """, s as (select row, k, k - row_number() over (partition by row order by k) as run from k),
+         p as (select row, string_agg(span, ',' order by lo) as passages
+               from (select row, min(k) as lo, (min(k) - 1) || ':' || max(k) as span from s group by row, run) group by row)
+       select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(ks), 0) as bigint) as n_repeated,
+         coalesce(passages, '') as passages
+       from d left join c using (row) left join p using (row)""",
+)
+def _(spark, d):
+    found = repeats.passages(table(spark, d, "documents").select("doc_id", "text")).drop("text")
+    size = F.aggregate("passages", F.lit(0).cast("long"), lambda n, p: n + p["end"] - p["start"])
+    spans = F.transform("passages", lambda p: F.concat_ws(":", p["start"].cast("string"), p["end"].cast("string")))
+    return found.select(
+        "doc_id",
+        F.col("n_words").cast("long").alias("n_words"),
+        size.alias("n_repeated"),
+        F.array_join(spans, ",").alias("passages"),
+    )
