@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import contamination, pieces, repeats, secrets
+from tidepool.llm import contamination, pieces, repeats, secrets, toxicity
 from tidepool.llm import words as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -178,3 +178,29 @@ def _(spark, d):
         size.alias("n_repeated"),
         F.array_join(spans, ",").alias("passages"),
     )
+
+
+def held_out(key: str = "doc_id") -> F.Column:
+    """Rows whose labels are never learned from."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))
+
+
+def toxicity_lexicon(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Lexicon:
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    return toxicity.fit(docs.where(~held_out()), labels)
+
+
+TOXIC = 0.7
+
+
+@query("op5_toxicity")
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_lexicon(spark, docs, d)).drop("text")
+    return scored.select(
+        "doc_id",
+        held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+        "matches",
+    )
