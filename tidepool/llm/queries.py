@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import contamination, pieces, repeats, secrets, toxicity
+from tidepool.llm import chat, contamination, pieces, repeats, secrets, toxicity, urls
 from tidepool.llm import words as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,3 +204,46 @@ def _(spark, d):
         (F.col("score") >= TOXIC).cast("int").alias("predicted"),
         "matches",
     )
+
+
+@query("op1_url_filter")
+def _(spark, d):
+    model = urls.fit(urls.labelled(spark))
+    judged = urls.judge(table(spark, d, "pages").select("page_id", "url"), model)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "probability")
+
+
+_ESCAPED = r"""regexp_replace(regexp_replace({}, '(<)(\\*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|</?SYS>>)', '\1\\\2\3', 'g'),
+                 '(\[)(\\*)(/?INST\])', '\1\\\2\3', 'g')"""
+
+
+@query(
+    "op10_chat_format",
+    rf"""with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+                    union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+                    union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+         e as (select *, {_ESCAPED.format("role")} as r, {_ESCAPED.format("text")} as x from c)
+       select conv_id, count(*) as n_turns,
+         sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+         cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+         sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+         cast(sum(length('<|im_start|>') + length(replace(replace(r, '\', '\\'), chr(10), '\n')) + 1 + length(x)
+             + length('<|im_end|>') + 1) as bigint) as formatted_chars
+       from e group by conv_id""",
+)
+def _(spark, d):
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    done = chat.render(chat.canonical(rows)).select("conv_id", "formatted", "loss_mask")
+    back = chat.read_back(F.col("formatted"))
+    text = F.array_join(F.transform(back, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = chat.learned(F.col("formatted"), F.col("loss_mask"))
+    return done.select(
+        "conv_id",
+        F.size(back).cast("long").alias("n_turns"),
+        F.sha2(text, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
