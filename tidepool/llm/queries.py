@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import chat, contamination, pieces, repeats, secrets, toxicity, urls
+from tidepool.llm import chat, contamination, fingerprints, pieces, repeats, secrets, toxicity, urls
 from tidepool.llm import words as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -247,3 +247,27 @@ def _(spark, d):
         F.sha2(loss, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op2_fingerprint")
+def _(spark, d):
+    def run(batches):
+        for keys, texts, samples, following, next_samples in fingerprints.in_order(batches):
+            changed = [fingerprints.edited(t, f) for t, f in zip(texts, following)]
+            other = fingerprints.signatures(pa.array(changed, pa.string()))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(keys, pa.int64()),
+                    pa.array([len(t) for t in texts], pa.int64()),
+                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed], pa.string()),
+                    fingerprints.written(samples),
+                    fingerprints.written(other),
+                    pa.array((samples == other).mean(axis=1)),
+                    pa.array((samples == next_samples).mean(axis=1)),
+                ],
+                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            )
+
+    schema = """doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string,
+                near_edited double, near_next double"""
+    return fingerprints.with_successors(table(spark, d, "documents")).mapInArrow(run, schema)
