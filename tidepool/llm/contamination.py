@@ -192,13 +192,36 @@ def mark(df: DataFrame, items: DataFrame, window: int = 10, text: str = "text",
     empty string, repeated items and ids count once. An empty ``items`` marks
     nothing. Other columns stay; those named like a new column are replaced.
     """
+    out = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("n_words", "hits", "items")])
+    schema = T.StructType([*out.schema.fields, *T.StructType.fromDDL(FIELDS).fields])
+    for held in _blocks(items, item, text):
+        out = out.mapInArrow(functools.partial(_search, items=held, window=window, text=text), schema)
+    return out
+
+
+def clean(df: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item: str = "item_id") -> DataFrame:
+    """The rows in which no pattern occurs, with all their columns as they are."""
+
+    def run(batches: Iterable[pa.RecordBatch], held: tuple) -> Iterator[pa.RecordBatch]:
+        found = _cached(tuple(t for _, t in held), window)
+        for part in W.parts(batches, text):
+            words, h = normal(part.column(part.schema.get_field_index(text)))
+            free = np.ones(part.num_rows, bool)
+            for table in found:
+                free[words.text[search(words, h, table)[0]]] = False
+            yield part.filter(pa.array(free))
+
+    out = df
+    for held in _blocks(items, item, text):
+        out = out.mapInArrow(functools.partial(run, held=held), df.schema)
+    return out
+
+
+def _blocks(items: DataFrame, item: str, text: str) -> Iterator[tuple[tuple[str | None, str | None], ...]]:
+    """(id, text) of all items, in blocks of a bounded size."""
     named = items.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
     row = named.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16).alias("bytes")).first()
     blocks = max(1, -(-(row["bytes"] or 0) // BLOCK_BYTES))
-    out = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("n_words", "hits", "items")])
-    schema = T.StructType([*out.schema.fields, *T.StructType.fromDDL(FIELDS).fields])
     for k in range(blocks):
         mine = named if blocks == 1 else named.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        held = tuple((r["item"], r["text"]) for r in mine.collect())  # at most about BLOCK_BYTES
-        out = out.mapInArrow(functools.partial(_search, items=held, window=window, text=text), schema)
-    return out
+        yield tuple((r["item"], r["text"]) for r in mine.collect())  # at most about BLOCK_BYTES

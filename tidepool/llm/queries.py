@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import chat, contamination, fingerprints, pieces, repeats, secrets, toxicity, urls
+from tidepool.llm import chat, contamination, fingerprints, order_minhash, pieces, repeats, secrets, toxicity, urls
 from tidepool.llm import words as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -271,3 +271,9 @@ def _(spark, d):
     schema = """doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string,
                 near_edited double, near_next double"""
     return fingerprints.with_successors(table(spark, d, "documents")).mapInArrow(run, schema)
+
+
+@query("op8_near_duplicates")
+def _(spark, d):
+    found = order_minhash.classes(table(spark, d, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "class_size", "n_links")

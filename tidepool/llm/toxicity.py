@@ -288,3 +288,16 @@ def score(df: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
         return step
 
     return W.add_columns(df, text, "score double, matches long, n_words long", make)
+
+
+def accept(df: DataFrame, lexicon: Lexicon, least: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows whose score is below ``least``, with all their columns as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = lexicon.automaton()
+        for part in W.parts(batches, text):
+            z = features(*measure(part.column(part.schema.get_field_index(text)), lexicon, machine))
+            score = 1 / (1 + np.exp(-np.clip(z @ np.array(lexicon.coefficients), -500, 500)))
+            yield part.filter(pa.array(score < least))
+
+    return df.mapInArrow(run, df.schema)
