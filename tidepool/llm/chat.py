@@ -125,6 +125,10 @@ def canonical(df: DataFrame, key: str = "conv_id") -> DataFrame:
     return df.select(F.col(key), LAYOUTS[found](lambda name: F.col(name)).alias("turns"))
 
 
+def _prefixed(names: Column, prefix: str) -> Column:
+    return F.transform(names, lambda k: F.concat(F.lit(prefix), k))
+
+
 def from_json(df: DataFrame, column: str, turns: str = "turns", layout: str = "layout") -> DataFrame:
     """Add canonical turns of JSON records, whose layouts may differ from row to row.
 
@@ -136,7 +140,7 @@ def from_json(df: DataFrame, column: str, turns: str = "turns", layout: str = "l
     found = keys
     for name in ("messages", "conversations"):
         inner = F.coalesce(F.json_object_keys(F.get_json_object(text, f"$.{name}[0]")), F.lit([]).cast("array<string>"))
-        found = F.concat(found, F.transform(inner, lambda k, name=name: F.concat(F.lit(name + "[]."), k)))
+        found = F.concat(found, _prefixed(inner, name + "[]."))
     told = fingerprint(found)
     out = F.lit(None).cast(TURNS)
     for names, mapping in LAYOUTS.items():

@@ -70,19 +70,16 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _slices(text: Column, n: int) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
+    return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+
+
 def ngrams(text: Column, mark: str, between: str) -> Column:
     """Buckets of the character n-grams of each part of a text; a number reads as one 0."""
     text = F.replace(F.regexp_replace(text, "[0-9]+", "0"), F.lit(between), F.lit("$^"))
     marked = F.concat(F.lit("^"), text, F.lit("$"))
-    grams = F.concat(
-        *[
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(marked) - (n - 1), F.lit(1))),
-                lambda i, n=n: F.substring(marked, i, F.lit(n)),
-            )
-            for n in SIZES
-        ]
-    )
+    grams = F.concat(*[_slices(marked, n) for n in SIZES])
     inside = F.filter(grams, lambda g: ~g.contains("$^"))
     return F.transform(inside, lambda g: F.pmod(F.xxhash64(F.lit(mark), g), F.lit(BUCKETS)).cast("int"))
 
@@ -127,7 +124,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
     return rule, verdict
 
 
-def judge(df: DataFrame, model: Model, rules: Sequence[tuple[str, str]] = RULES, url: str = "url", least: float = 0.6) -> DataFrame:
+def judge(df: DataFrame, model: Model, rules: Sequence[tuple[str, str]] = RULES, url: str = "url", least: float = 0.5) -> DataFrame:
     """Add ``host``, ``path``, ``rule``, ``probability`` and ``verdict`` to each row.
 
     A rule fits its host and all subdomains if the path starts with the rule's;
