@@ -52,6 +52,20 @@ def _(spark, d):
     return files.read_csv(spark, path)
 
 
+@query("s1_csv_texts", "select doc_id, text, lang, source, n_chars from documents")
+def _(spark, d):
+    path, rows = scratch(spark), table(spark, d, "documents")
+    files.write_csv(rows, path)
+    return files.read_csv(spark, path, rows.schema)
+
+
+@query("s1_csv_turns", "select conv_id, turn, role, text from conversations")
+def _(spark, d):
+    path, rows = scratch(spark), table(spark, d, "conversations")
+    files.write_result(rows, path, "csv")
+    return files.read_csv(spark, path, rows.schema)
+
+
 @query("s2_parquet_scan", "select n_nationkey, n_name, n_regionkey from nation")
 def _(spark, d):
     return files.read_parquet(spark, f"{d}/nation.parquet")
@@ -360,12 +374,11 @@ def _(spark, d):
     "j4_lookup",
     """select o_orderkey, o_custkey, orders_of_customer from orders
        left join (select c_custkey as o_custkey, count(*) as orders_of_customer
-                  from customer join orders on c_custkey = o_custkey
-                  where c_mktsegment = 'BUILDING' group by 1) using (o_custkey)""",
+                  from customer join orders on c_custkey = o_custkey group by 1) using (o_custkey)""",
 )
 def _(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    c = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'")
+    c = table(spark, d, "customer")
     counts = (
         o.join(c, o["o_custkey"] == c["c_custkey"], "left_semi")
         .groupBy("o_custkey")

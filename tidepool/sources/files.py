@@ -18,13 +18,17 @@ def read_csv(
     paths: str | Sequence[str],
     schema: T.StructType | str | None = None,
     encoding: str = "utf-8",
+    line_breaks: bool = True,
 ) -> DataFrame:
     """CSV with a header. Give a schema where it is known: inference reads twice.
 
-    UTF-16 lines cannot be found without decoding, so such files are not split.
+    Quoted cells may hold line breaks, so each file is read by one task; write
+    many files, as ``write_csv`` does. Files without such cells are split if
+    ``line_breaks`` is False. UTF-16 files are never split, as their lines
+    cannot be found without decoding.
     """
     reader = spark.read.options(
-        header=True, encoding=_ENCODINGS[encoding], escape='"', multiLine=encoding == "utf-16"
+        header=True, encoding=_ENCODINGS[encoding], escape='"', multiLine=line_breaks or encoding == "utf-16"
     )
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(paths if isinstance(paths, str) else list(paths))
@@ -42,7 +46,7 @@ def write_csv(
     encoding: str = "utf-8",
     mode: str = "overwrite",
 ) -> None:
-    """CSV with a header, one file per partition.
+    """CSV with a header, one file per partition. Quoted cells keep their line breaks and spaces.
 
     ``row_number`` names an extra first column 0, 1, 2, … along ``order_by``,
     which must then be a unique order.
@@ -56,7 +60,10 @@ def write_csv(
         df = with_position(df, order_by, row_number).select(row_number, *names)
     elif order_by:
         df = df.orderBy(*order_by)
-    df.write.mode(mode).options(header=True, encoding=_ENCODINGS[encoding], escape='"').csv(path)
+    df.write.mode(mode).options(
+        header=True, encoding=_ENCODINGS[encoding], escape='"',
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    ).csv(path)
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
