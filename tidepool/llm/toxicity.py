@@ -150,7 +150,11 @@ def _terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(pos: Counter, neg: Counter) -> pa.RecordBatch:
         names = list(pos.keys() | neg.keys())
         return pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array([pos[t] for t in names]), pa.array([neg[t] for t in names])],
+            [
+                pa.array(names, pa.string()),
+                pa.array([pos[t] for t in names], pa.int64()),
+                pa.array([neg[t] for t in names], pa.int64()),
+            ],
             ["term", "pos", "neg"],
         )
 
