@@ -22,7 +22,7 @@ from tidepool.operators.sampling import row_hash, uniform
 from tidepool.session import checkpoint
 from tidepool.sources.files import check_features
 
-MAX_TREES, MAX_SAMPLE = 500, 1024
+MAX_TREES = 500
 
 
 def prepared(
@@ -120,23 +120,23 @@ def _samples(
 ) -> DataFrame:
     """``size`` rows for each tree, without replacement, by row hash.
 
-    The share per tree has room for chance. While all shares together are
-    below one, each row belongs to at most one tree and is hashed once.
+    The number of trees that a row enters is drawn first, from the binomial
+    distribution, so rows that enter none are dropped before any is copied.
+    The share per tree has room for chance.
     """
     share = min(1.0, (size + 6.0 * math.sqrt(size) + 6.0) / n)
-    if share * trees < 1.0:
-        u = uniform(keys, seed)
-        drawn = rows.filter(u < F.lit(share * trees)).withColumn(
-            "_tree", F.least(F.floor(u / F.lit(share)), F.lit(trees - 1)).cast("int")
-        )
-        drawn = drawn.withColumn("_h", row_hash(keys, seed + 1))
-    else:
-        drawn = rows.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        mixed = F.xxhash64(*[col(k) for k in keys], F.lit(seed), F.col("_tree"))
-        drawn = drawn.withColumn("_h", mixed)
-        if share < 1.0:
-            steps = 1 << 30
-            drawn = drawn.filter(F.pmod("_h", F.lit(steps)) < F.lit(int(share * steps)))
+    below, cuts = 0.0, []
+    for i in range(trees):
+        log = math.lgamma(trees + 1) - math.lgamma(i + 1) - math.lgamma(trees - i + 1)
+        below += math.exp(log + i * math.log(share) + (trees - i) * math.log1p(-share)) if share < 1 else 0.0
+        cuts.append(below)
+    u = uniform(keys, seed)
+    entered = rows.withColumn("_n", F.size(F.filter(F.lit(cuts), lambda c: u >= c))).filter("_n > 0")
+    mixed = lambda t: F.struct(F.xxhash64(*[col(k) for k in keys], F.lit(seed), t).alias("h"), t.alias("t"))
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), mixed))
+    drawn = entered.withColumn("_in", F.explode(F.slice(order, 1, F.col("_n"))))
+    drawn = drawn.withColumn("_tree", F.col("_in.t").cast("int"))
+    drawn = drawn.withColumn("_h", F.xxhash64(*[col(k) for k in keys], F.lit(seed + 1), "_tree")).drop("_n", "_in")
     first = Window.partitionBy("_tree").orderBy("_h", *[col(k) for k in keys])
     return drawn.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= size)
 
@@ -152,7 +152,8 @@ def fit_isolation_forest(
     seed: int = 42,
 ) -> tuple[IsolationForest, DataFrame]:
     """(forest, scored rows). Trees see only their sample; one grows per group,
-    and the forest, at most 500 trees of 2·1024 nodes, is shared with all tasks.
+    and the forest, at most 500 trees of twice ``sample`` nodes, is shared with
+    all tasks.
     """
     if not 1 <= trees <= MAX_TREES:
         raise ValueError(f"1 to {MAX_TREES} trees")
@@ -160,7 +161,7 @@ def fit_isolation_forest(
         raise ValueError("contamination must be in (0, 0.5]")
     rows, scaling = prepared(df, features, scale)
     n = rows.count()
-    size = min(sample or 256, n, MAX_SAMPLE)
+    size = min(sample or 256, n)
     vector = vector_of(list(features), scaling)
     drawn = _samples(rows.select(*[col(k) for k in dict.fromkeys([*keys, *features])]), keys, trees, size, n, seed)
     drawn = drawn.select("_tree", "_r", vector.alias("vec"))

@@ -125,16 +125,17 @@ def run(
     time_budget: float | None = None,
     select_by: str = "cv",
     seed: int = 42,
+    draws: int | None = None,
 ) -> Experiment:
     """Try algorithms × scalings × parameters on a cached training part.
 
-    Without ``features`` the first ten numeric columns serve. The time budget
-    is checked between combinations, and a failing one is logged. The ranking
+    Without ``features`` all numeric columns serve. ``draws`` limits each grid
+    to so many random points; without it all are tried. The time budget is checked between combinations, and a failing one is logged. The ranking
     is by fold score, or by ``select_by="test"`` as an optimistic alternative.
     """
     if features is None:
         kinds = classify(df)["numeric"]
-        features = [c for c in kinds if c != target and c not in keys][:10]
+        features = [c for c in kinds if c != target and c not in keys]
     if len(features) < 1:
         raise ValueError("No numeric features")
     problem = prepare.problem_type(df, target)
@@ -157,7 +158,7 @@ def run(
             try:
                 params, tried = search(
                     train, target, features, algorithm, keys, grid,
-                    20 if thorough else 10, folds, problem, seed, scaling=scaling,
+                    draws, folds, problem, seed, scaling=scaling,
                 )
                 model = models.fit(
                     train, target, features, algorithm, problem, params, scaling,

@@ -143,6 +143,8 @@ def voting(
         raise ValueError("Models must share target and problem type")
     if kind not in ("hard", "soft", "weighted"):
         raise ValueError(f"Unknown voting '{kind}'")
+    if any(list(m.classes) != list(members[0].classes) for m in members):
+        raise ValueError("Models must know the same classes; fit them with the same ``classes``")
     return Ensemble(list(members), kind, _weights(len(members), weights))
 
 
@@ -166,6 +168,9 @@ def bagging(
     problem = options.pop("problem", None) or prepare.problem_type(df, target)
     names = list(dict.fromkeys([*keys, target, *features]))
     with cached(df.select(*[col(c) for c in names])) as rows:
+        # A sample may miss a class; all members number the classes of the whole table.
+        options.setdefault("classes", _classes(rows, target, problem))
+
         def one(i: int) -> Trained:
             return models.fit(
                 sampling.bootstrap(rows, keys, fraction, replace, seed + i),
@@ -176,6 +181,10 @@ def bagging(
     return Ensemble(members, "soft", [1.0] * n)
 
 
+def _classes(df: DataFrame, target: str, problem: str) -> list[Any] | None:
+    return models.class_values(df, target) if problem == "classification" else None
+
+
 def compatible(first: str, second: str) -> bool:
     """Whether one kind of model may feed another."""
     allowed = {
@@ -320,15 +329,22 @@ def out_of_fold(
     probabilities: bool = True,
     seed: int = 42,
 ) -> DataFrame:
-    """Every row with the predictions of models that never saw it."""
+    """Every row with the predictions of models that never saw it.
+
+    Folds hold the same share of each class, and all models number the classes
+    of the whole table, also those that their folds lack.
+    """
     problem = problem or prepare.problem_type(df, target)
     names = list(dict.fromkeys([*keys, target, *features]))
-    rows = sampling.folds(df.select(*[col(c) for c in names]), k, keys, seed, name="_fold")
-    with cached(rows.na.drop(subset=[target, *features])) as rows:
+    rows = df.select(*[col(c) for c in names]).na.drop(subset=[target, *features])
+    rows = sampling.folds(rows, k, keys, seed, target if problem == "classification" else None, "_fold")
+    with cached(rows) as rows:
+        classes = _classes(rows, target, problem)
+
         def one(f: int, base: Base) -> Trained:
             seen = rows.filter(F.col("_fold") != f)
             return models.fit(
-                seen, target, features, base[0], problem, base[1], keys=keys, seed=seed
+                seen, target, features, base[0], problem, base[1], keys=keys, seed=seed, classes=classes
             )
 
         jobs = [partial(one, f, base) for f in range(k) for base in bases]
@@ -363,11 +379,13 @@ def stacking(
     held_out = out_of_fold(df, target, features, bases, keys, k, problem, probabilities, seed)
     inputs = [c for c in held_out.columns if c.startswith("meta_")]
     inputs += list(features) if passthrough else []
+    classes = _classes(held_out, target, problem)
     learner = models.fit(
-        held_out, target, inputs, meta[0], problem, meta[1], keys=keys, seed=seed
+        held_out, target, inputs, meta[0], problem, meta[1], keys=keys, seed=seed, classes=classes
     )
     full = [
-        models.fit(df, target, features, a, problem, p, keys=keys, seed=seed) for a, p in bases
+        models.fit(df, target, features, a, problem, p, keys=keys, seed=seed, classes=classes)
+        for a, p in bases
     ]
     return Stack(full, learner, probabilities), held_out
 

@@ -58,8 +58,8 @@ REGRESSORS = (
 DEFAULTS: dict[str, dict[str, Any]] = {
     "Logistic Regression": {"max_iter": 1000, "C": 1.0},
     "Random Forest": {"n_estimators": 100, "max_depth": None, "min_samples_split": 2},
-    "Support Vector Machine": {"kernel": "rbf", "C": 1.0, "gamma": "scale", "max_iter": 50},
-    "Support Vector Regression": {"kernel": "rbf", "C": 1.0, "gamma": "scale", "max_iter": 50},
+    "Support Vector Machine": {"kernel": "rbf", "C": 1.0, "gamma": "scale", "max_iter": 1000},
+    "Support Vector Regression": {"kernel": "rbf", "C": 1.0, "gamma": "scale", "max_iter": 1000},
     "Decision Tree": {"max_depth": None, "min_samples_split": 2, "min_samples_leaf": 1},
     "K-Nearest Neighbors": {"n_neighbors": 5, "weights": "uniform"},
     "Naive Bayes": {},
@@ -142,13 +142,26 @@ class Trained:
     inputs: list[str] = field(default_factory=list)
     model_id: str = field(default_factory=lambda: uuid.uuid4().hex[:12])
     info: dict[str, Any] = field(default_factory=dict)
+    # Places in ``classes`` of those that the training rows held; empty if all.
+    seen: list[int] = field(default_factory=list)
 
     def score(self, df: DataFrame) -> DataFrame:
-        """Add the prediction (class number or value), and ``_probability`` if known."""
+        """Add the prediction (class number or value), and ``_probability`` if known.
+
+        Numbers and probabilities follow ``classes``, also for a model that saw
+        only some of them: the others have probability 0.
+        """
         check_features(df, self.features)
         out = self.model.transform(df)
         if "_vector_probability" in out.columns:
             out = out.withColumn("_probability", vector_to_array("_vector_probability"))
+        if self.seen:
+            places = F.array(*[F.lit(float(i)) for i in self.seen])
+            out = out.withColumn(PREDICTION, F.get(places, F.col(PREDICTION).cast("int")))
+            if "_probability" in out.columns:
+                at = {c: i for i, c in enumerate(self.seen)}
+                cells = [F.get("_probability", F.lit(at[i])) if i in at else F.lit(0.0) for i in range(len(self.classes))]
+                out = out.withColumn("_probability", F.array(*cells))
         keep = [*df.columns, PREDICTION]
         if "_probability" in out.columns:
             keep.append("_probability")
@@ -222,7 +235,9 @@ def _fourier_stage(
 
 
 def _depth(value: int | None) -> int:
-    return MAX_DEPTH if value is None else min(int(value), MAX_DEPTH)
+    if value is not None and int(value) > MAX_DEPTH:
+        raise ValueError(f"max_depth is at most {MAX_DEPTH}; None asks for the deepest tree")
+    return MAX_DEPTH if value is None else int(value)
 
 
 def _leaf(params: dict[str, Any]) -> int:
@@ -311,10 +326,15 @@ def fit(
     extra_stages: Sequence[MF.PCA] = (),
     fourier_size: int = 64,
     seed: int = 42,
+    classes: Sequence[Any] | None = None,
 ) -> Trained:
     """Fit one model. Rows with a missing target or feature are left out,
     unless ``fill`` replaces the missing features.
 
+    ``classes`` is the sorted list of all classes, for models that must number
+    them alike although one of them may not see every class; without it the
+    classes are those of ``df``.
+
     ``extra_stages`` (see ``components_stage``) sit before the model.
     ``keys`` identify rows; nearest neighbours need them to break ties.
     """
@@ -333,7 +353,7 @@ def fit(
     with cached(df.select(*[col(c) for c in names]).na.drop(subset=needed)) as rows:
         return _fit_rows(
             rows, target, features, algorithm, problem, settings, scaling, fill, keys,
-            extra_stages, fourier_size, seed,
+            extra_stages, fourier_size, seed, classes,
         )
 
 
@@ -358,9 +378,12 @@ def _penalty(rows: DataFrame, target: str, algorithm: str, settings: dict[str, A
 
 def _fit_rows(
     rows, target, features, algorithm, problem, settings, scaling, fill, keys, extra_stages,
-    fourier_size, seed,
+    fourier_size, seed, classes,
 ) -> Trained:
-    classes = class_values(rows, target) if problem == "classification" else []
+    own = class_values(rows, target) if problem == "classification" else []
+    every = list(classes) if own and classes is not None else own
+    seen = [] if every == own else [every.index(c) for c in own]
+    classes = own
     kernel = algorithm.startswith("Support Vector") and settings.get("kernel") == "rbf"
     filled = prepare.impute(rows, {f: fill[f] for f in features if fill.get(f) is not None})
     widths = prepare.fit_scaling(filled, features, scaling)
@@ -373,7 +396,7 @@ def _fit_rows(
             rows, features, label_column(target, problem, classes), keys, problem,
             max(len(classes), 1), int(settings["n_neighbors"]), settings["weights"], widths, fill,
         )
-        return Trained(algorithm, problem, target, features, classes, settings, model, features)
+        return Trained(algorithm, problem, target, features, every, settings, model, features, seen=seen)
     inputs, stage = _input_stage(features, fill, widths)
     stages: list[Any] = [stage]
     if kernel:
@@ -402,7 +425,10 @@ def _fit_rows(
         *[col(f) for f in dict.fromkeys(features)],
     )
     model = Pipeline(stages=stages).fit(data)
-    return Trained(algorithm, problem, target, features, classes, settings, model, inputs if not kernel else features)
+    return Trained(
+        algorithm, problem, target, features, every, settings, model,
+        inputs if not kernel else features, seen=seen,
+    )
 
 
 def predict(trained: Trained, df: DataFrame) -> DataFrame:
@@ -446,18 +472,21 @@ def cross_validate(
     problem: str | None = None,
     **options: Any,
 ) -> list[float]:
-    """Accuracy or R² per fold. Folds come from row hashes, so each fold is a
-    plain filter and nothing is shuffled to make them."""
+    """Accuracy or R² per fold. For values, folds come from row hashes, so each
+    fold is a plain filter; for classes they hold the same share of each."""
     if not 2 <= k <= 10:
         raise ValueError("2 to 10 folds")
     problem = problem or prepare.problem_type(df, target)
     cols = list(dict.fromkeys([*keys, target, *features]))
-    data = sampling.folds(df.select(*[col(c) for c in cols]), k, keys, seed, name="_fold")
+    known = df.select(*[col(c) for c in cols]).na.drop(subset=[target])
+    classed = problem == "classification"
+    data = sampling.folds(known, k, keys, seed, target if classed else None, "_fold")
+    classes = class_values(known, target) if classed else None
     with cached(data) as data:
         def one(i: int) -> float:
             trained = fit(
                 data.filter(F.col("_fold") != i), target, features, algorithm,
-                problem=problem, keys=keys, seed=seed, **options,
+                problem=problem, keys=keys, seed=seed, classes=classes, **options,
             )
             scores = evaluate(trained, data.filter(F.col("_fold") == i))
             return main_score(problem, scores)
@@ -603,6 +632,7 @@ class Registry:
         extra = summary(trained) | {
             "class_values": json.dumps(trained.classes, default=str),
             "inputs": trained.inputs,
+            "seen": trained.seen,
             "kind": "neighbors" if isinstance(trained.model, NeighborModel) else "spark",
         }
         row = [
@@ -642,7 +672,7 @@ class Registry:
         return Trained(
             row["algorithm"], row["problem"], row["target"], list(row["features"]),
             json.loads(extra["class_values"]), extra["params"], model, extra["inputs"],
-            model_id, extra["info"],
+            model_id, extra["info"], extra.get("seen", []),
         )
 
     def _files(self, folder: str):

@@ -90,9 +90,9 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = Tru
     return rows_from(df.agg(*wide), records)
 
 
-def extremes(df: DataFrame, cols: Sequence[str] | None = None, first: int = 3) -> DataFrame:
-    """Largest and smallest value of the first numeric columns."""
-    cols = _numeric(df, cols)[:first]
+def extremes(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Largest and smallest value of each numeric column."""
+    cols = _numeric(df, cols)
     wide, records = [], []
     for i, c in enumerate(cols):
         wide += [F.max(_number(c)).alias(f"hi{i}"), F.min(_number(c)).alias(f"lo{i}")]

@@ -126,9 +126,9 @@ def bootstrap(
     u = uniform(keys, seed)
     if not replace:
         return df if fraction == 1.0 else df.filter(u < F.lit(fraction))
-    times, term, below = F.lit(0), math.exp(-fraction), 0.0
-    for i in range(1, 13):
-        below += term
+    times, term, below, i = F.lit(0), math.exp(-fraction), 0.0, 0
+    while below + term < 1 - 1 / _STEPS:  # to the last step that a hash can tell apart
+        below, i = below + term, i + 1
         term *= fraction / i
         times = times + (u >= F.lit(below)).cast("int")
     copies = F.explode(F.array_repeat(F.lit(True), times))

@@ -232,7 +232,7 @@ def _(spark, d):
     rows = table(spark, d, "events").select(
         "event_id", "value", F.hour("ts").alias("hour"), F.weekday("ts").alias("day")
     )
-    _, scored = anomaly.fit_isolation_forest(rows, ["value", "hour", "day"], ["event_id"], trees=50)
+    _, scored = anomaly.fit_isolation_forest(rows, ["value", "hour", "day"], ["event_id"])
     return scored
 
 

@@ -61,9 +61,8 @@ def _order_features(spark, d):
 
 _FEATURES = ["quantity", "discount", "top_price", "month"]
 _KEY = ["o_orderkey"]
-# Small forests keep the check quick; every one still reads the whole table.
-_FOREST = {"n_estimators": 10, "max_depth": 5}
-_BOOST = {"n_estimators": 5}
+# Full size, but for the depth: an unlimited tree of random data is a copy of it.
+_FOREST = {"max_depth": 5}
 
 
 @query(
@@ -153,7 +152,7 @@ def _predicted(spark, d, algorithm, target, params=None, scaling="none", problem
 
 @query("m5_logistic_regression")
 def _(spark, d):
-    return _predicted(spark, d, "Logistic Regression", "o_orderstatus", {"max_iter": 50}, "standard")
+    return _predicted(spark, d, "Logistic Regression", "o_orderstatus", None, "standard")
 
 
 @query("m6_random_forest_classes")
@@ -257,12 +256,12 @@ def _(spark, d):
 
 @query("m9_support_vector_classes")
 def _(spark, d):
-    return _predicted(spark, d, "Support Vector Machine", "large", {"max_iter": 20}, "standard")
+    return _predicted(spark, d, "Support Vector Machine", "large", None, "standard")
 
 
 @query("m10_support_vector_values")
 def _(spark, d):
-    return _predicted(spark, d, "Support Vector Regression", "o_totalprice", {"max_iter": 20}, "standard")
+    return _predicted(spark, d, "Support Vector Regression", "o_totalprice", None, "standard")
 
 
 def _embedded(spark, d):
@@ -305,12 +304,12 @@ def _(spark, d):
 
 @query("m12_gradient_boosting_classes")
 def _(spark, d):
-    return _predicted(spark, d, "Gradient Boosting", "o_orderstatus", {**_BOOST, "n_estimators": 2})
+    return _predicted(spark, d, "Gradient Boosting", "o_orderstatus")
 
 
 @query("m12_gradient_boosting_values")
 def _(spark, d):
-    return _predicted(spark, d, "Gradient Boosting", "o_totalprice", _BOOST)
+    return _predicted(spark, d, "Gradient Boosting", "o_totalprice")
 
 
 @query(
@@ -360,7 +359,7 @@ def _(spark, d):
 @query("m14_neural_network")
 def _(spark, d):
     return _predicted(
-        spark, d, "Neural Network", "large", {"hidden": 50, "max_iter": 30}, "standard"
+        spark, d, "Neural Network", "large", None, "standard"
     )
 
 
@@ -392,7 +391,7 @@ def _(spark, d):
     rows = _order_features(spark, d)
     model = models.fit(
         rows, "large", _FEATURES, "Logistic Regression", scaling="standard",
-        params={"max_iter": 50}, extra_stages=[models.components_stage(2)],
+        extra_stages=[models.components_stage(2)],
     )
     return models.predict(model, rows).select("o_orderkey", "large", "Predicted_large")
 
@@ -400,7 +399,7 @@ def _(spark, d):
 @query("m16_train")
 def _(spark, d):
     _, scores, _ = models.train(
-        _order_features(spark, d), "large", _FEATURES, "Decision Tree", _KEY, folds=3,
+        _order_features(spark, d), "large", _FEATURES, "Decision Tree", _KEY, folds=5,
         params={"max_depth": 4},
     )
     return spark.createDataFrame([(k, float(v)) for k, v in scores.items()], "metric string, value double")
@@ -601,7 +600,7 @@ def _(spark, d):
     )
     _, scores, steps = automl.build(
         rows, "large", [*_FEATURES, "o_orderpriority"], "Logistic Regression", _KEY,
-        selection="kbest", n_features=4, params={"max_iter": 50},
+        selection="kbest", n_features=4,
     )
     return steps.withColumn("accuracy", F.lit(scores["accuracy"]))
 
@@ -610,7 +609,7 @@ def _(spark, d):
 def _(spark, d):
     _, tried = automl.search(
         _order_features(spark, d), "large", _FEATURES, "Decision Tree", _KEY,
-        {"max_depth": [2, 4]}, folds=3,
+        {"max_depth": [2, 4, 6]}, folds=5,
     )
     return automl.search_table(spark, tried)
 
@@ -620,7 +619,7 @@ def _(spark, d):
     found = automl.run(
         _order_features(spark, d).drop("month", "top_price"), "o_totalprice", _KEY,
         scalings=["none", "standard"], algorithms=["Linear Regression", "Ridge Regression"],
-        grids={"Ridge Regression": {"alpha": [1.0, 100.0]}}, folds=2,
+        grids={"Ridge Regression": {"alpha": [1.0, 100.0]}}, folds=5,
     )
     return found.leaderboard(spark)
 
@@ -628,7 +627,7 @@ def _(spark, d):
 @query("c1_kmeans")
 def _(spark, d):
     rows = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
-    return cluster.cluster(rows, ["c_acctbal", "c_nationkey"], 3, starts=3)
+    return cluster.cluster(rows, ["c_acctbal", "c_nationkey"], 3)
 
 
 _CENTRES = [[500.0, 5.0], [4500.0, 12.0], [8500.0, 20.0]]
@@ -734,7 +733,7 @@ def _(spark, d):
 @query("b4_bagging")
 def _(spark, d):
     rows = _order_features(spark, d)
-    bag = ensemble.bagging(rows, "large", _FEATURES, "Decision Tree", _KEY, 3, 0.6, params={"max_depth": 4})
+    bag = ensemble.bagging(rows, "large", _FEATURES, "Decision Tree", _KEY, params={"max_depth": 4})
     return models.predict(bag, rows).select("o_orderkey", "large", "Predicted_large")
 
 
@@ -775,14 +774,14 @@ _BASES = [("Decision Tree", {"max_depth": 3}), ("Naive Bayes", {})]
 def _(spark, d):
     rows = _order_features(spark, d)
     stack, _ = ensemble.stacking(
-        rows, "large", _FEATURES, _BASES, ("Logistic Regression", {"max_iter": 30}), _KEY, 2
+        rows, "large", _FEATURES, _BASES, ("Logistic Regression", {}), _KEY
     )
     return models.predict(stack, rows).select("o_orderkey", "large", "Predicted_large")
 
 
 @query("b8_out_of_fold")
 def _(spark, d):
-    held = ensemble.out_of_fold(_order_features(spark, d), "large", _FEATURES, _BASES, _KEY, 2)
+    held = ensemble.out_of_fold(_order_features(spark, d), "large", _FEATURES, _BASES, _KEY)
     return ensemble.meta_summary(held)
 
 
