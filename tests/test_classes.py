@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidepool.operators import anomaly, ensemble, models, sampling
+from tidepool.operators import anomaly, cluster, ensemble, models, sampling
 
 
 @pytest.fixture(scope="module")
@@ -61,3 +61,25 @@ def test_bootstrap_has_no_cap(spark):
     got = sampling.bootstrap(spark.range(200_000), ["id"])
     n = got.groupBy("id").count().agg(F.max("count"), F.sum("count")).first()
     assert 6 <= n[0] and abs(n[1] - 200_000) < 2_500
+
+
+def test_ensembles_are_saved_and_compared(spark, rows, tmp_path):
+    parts = [models.fit(rows, "y", ["x"], a, "classification") for a in ("Decision Tree", "Naive Bayes")]
+    few = models.fit(rows.filter("y <> 'b'"), "y", ["x"], "Decision Tree", "classification", classes=["a", "b", "c"])
+    vote = ensemble.voting([*parts, few], "soft", [2, 1, 1])
+    stack, _ = ensemble.stacking(rows, "y", ["x"], [("Decision Tree", {}), ("Naive Bayes", {})], ("Decision Tree", {}), ["k"], 3)
+    registry = models.Registry(spark, str(tmp_path))
+    for made in (vote, stack, few):
+        again = registry.load(registry.save(made))
+        want = models.predict(made, rows).select("k", "Predicted_y").collect()
+        assert models.predict(again, rows).select("k", "Predicted_y").collect() == want
+    got = models.compare([*parts, vote, stack], rows).collect()
+    assert [r["accuracy"] for r in got] == sorted((r["accuracy"] for r in got), reverse=True) and len(got) == 4
+
+
+def test_clusters_feed_a_model(spark, rows):
+    groups = cluster.Clusters.fit(rows, ["x"], 3)
+    numbered = groups.score(rows).withColumnRenamed("_prediction", "prev_prediction")
+    model = models.fit(numbered, "y", ["prev_prediction"], "Decision Tree", "classification")
+    done = ensemble.chain(rows, [groups, model])
+    assert {"step_1", "step_2"} <= set(done.columns) and done.count() == 300

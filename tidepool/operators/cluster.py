@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import partial
 
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -69,6 +70,30 @@ def assign(
     return placed.withColumns(new).drop("_d")
 
 
+@dataclass
+class Clusters:
+    """Fitted centres as a step of a chain: scores with the cluster's number."""
+
+    features: list[str]
+    centres: list[list[float]]
+    problem: str = "clustering"
+    algorithm: str = "K-Means"
+
+    @classmethod
+    def fit(cls, df: DataFrame, features: Sequence[str], k: int = 3, starts: int = 10, seed: int = 42) -> Clusters:
+        return cls(list(features), fit_kmeans(df, features, k, starts, seed)[0])
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """Add ``_prediction``: the nearest centre's number, NULL where a feature is NULL."""
+        check_features(df, self.features)
+        d = _distances(self.features, self.centres)
+        number = (F.array_position(d, F.array_min(d)) - 1).cast("double")
+        complete = F.lit(True)
+        for f in self.features:
+            complete = complete & col(f).isNotNull()
+        return df.withColumn("_prediction", F.when(complete, number))
+
+
 def cluster(
     df: DataFrame, features: Sequence[str], k: int = 3, starts: int = 10, seed: int = 42
 ) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import partial
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidepool.columns import classify, col
 from tidepool.operators import metrics, models, prepare, sampling
+from tidepool.operators.cluster import Clusters
 from tidepool.operators.models import PREDICTION, Trained
 from tidepool.operators.profile import correlations, high_correlations, rows_from
 from tidepool.session import cached, checkpoint, in_parallel
@@ -88,6 +90,23 @@ class Ensemble:
     kind: str
     weights: list[float]
     info: dict[str, Any] = field(default_factory=dict)
+    model_id: str = field(default_factory=lambda: uuid.uuid4().hex[:12])
+
+    @property
+    def algorithm(self) -> str:
+        return f"Ensemble ({self.kind})"
+
+    @property
+    def parts(self) -> list[Any]:
+        return self.members
+
+    @property
+    def params(self) -> dict[str, Any]:
+        return {"kind": self.kind, "weights": self.weights}
+
+    @classmethod
+    def of_parts(cls, parts: Sequence[Any], params: dict[str, Any], info: dict[str, Any], model_id: str) -> Ensemble:
+        return cls(list(parts), params["kind"], list(params["weights"]), info, model_id)
 
     @property
     def problem(self) -> str:
@@ -200,7 +219,7 @@ FLOWS = ("prediction_only", "with_original", "custom")
 
 def chain(
     df: DataFrame,
-    steps: Sequence[Trained | Ensemble],
+    steps: Sequence[Trained | Ensemble | Stack | Clusters],
     flow: str = "with_original",
     custom: Sequence[Sequence[str]] | None = None,
     positional: bool = False,
@@ -287,6 +306,20 @@ class Stack:
     meta: Trained
     probabilities: bool
     info: dict[str, Any] = field(default_factory=dict)
+    model_id: str = field(default_factory=lambda: uuid.uuid4().hex[:12])
+    algorithm: str = "Stack"
+
+    @property
+    def parts(self) -> list[Any]:
+        return [*self.bases, self.meta]
+
+    @property
+    def params(self) -> dict[str, Any]:
+        return {"probabilities": self.probabilities}
+
+    @classmethod
+    def of_parts(cls, parts: Sequence[Any], params: dict[str, Any], info: dict[str, Any], model_id: str) -> Stack:
+        return cls(list(parts[:-1]), parts[-1], params["probabilities"], info, model_id)
 
     @property
     def problem(self) -> str:
@@ -462,3 +495,7 @@ def vote_table(spark: SparkSession, scores: dict[str, float]) -> DataFrame:
         [(n, float(s), float(x)) for (n, s), x in zip(scores.items(), w)],
         "model string, score double, weight double",
     )
+
+
+# What a registry can build from saved parts.
+models.COMPOSITES.update({"ensemble": Ensemble, "stack": Stack})

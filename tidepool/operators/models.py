@@ -569,7 +569,7 @@ def importances(trained: Trained, spark: SparkSession, top: int | None = None) -
 
 
 def compare(models: Sequence[Trained], test: DataFrame) -> DataFrame:
-    """All models on the same test rows, best first by accuracy or R²."""
+    """All models, ensembles and stacks on the same test rows, best first by accuracy or R²."""
     problems = {m.problem for m in models}
     if len(problems) != 1:
         raise ValueError("Only models of one problem type can be compared")
@@ -587,9 +587,20 @@ def compare(models: Sequence[Trained], test: DataFrame) -> DataFrame:
     return out.orderBy(F.desc_nulls_last(best), "algorithm")
 
 
+# Models made of models, by kind; their module enters them here.
+COMPOSITES: dict[str, Any] = {}
+
+
+def _kind(trained: Any) -> str:
+    for kind, made in COMPOSITES.items():
+        if isinstance(trained, made):
+            return kind
+    return "neighbors" if isinstance(trained.model, NeighborModel) else "spark"
+
+
 def summary(trained: Trained) -> dict[str, Any]:
     """What a saved model is described by."""
-    last = _last(trained)
+    last = None if _kind(trained) in COMPOSITES else _last(trained)
     out = {
         "model_id": trained.model_id,
         "algorithm": trained.algorithm,
@@ -624,21 +635,27 @@ class Registry:
         return f"{self.path}/models/{model_id}"
 
     def save(self, trained: Trained) -> str:
-        folder = self._folder(trained.model_id)
-        if isinstance(trained.model, NeighborModel):
+        """Save a model, an ensemble or a stack; the parts of the latter are saved as models too."""
+        folder, kind = self._folder(trained.model_id), _kind(trained)
+        if kind in COMPOSITES:
+            parts = [self.save(p) for p in trained.parts]
+        elif kind == "neighbors":
             trained.model.save(folder)
         else:
             trained.model.write().overwrite().save(folder)
         extra = summary(trained) | {
             "class_values": json.dumps(trained.classes, default=str),
-            "inputs": trained.inputs,
-            "seen": trained.seen,
-            "kind": "neighbors" if isinstance(trained.model, NeighborModel) else "spark",
+            "kind": kind,
         }
+        if kind in COMPOSITES:
+            extra["parts"] = parts
+        else:
+            extra |= {"inputs": trained.inputs, "seen": trained.seen}
         row = [
             (
                 trained.model_id, trained.algorithm, trained.problem, trained.target,
-                trained.features, time.time(), self._size(folder), json.dumps(extra, default=str),
+                trained.features, time.time(), 0 if kind in COMPOSITES else self._size(folder),
+                json.dumps(extra, default=str),
             )
         ]
         self.spark.createDataFrame(row, self.SCHEMA).coalesce(1).write.mode("overwrite").parquet(
@@ -663,6 +680,9 @@ class Registry:
         if row is None:
             raise ValueError(f"Model '{model_id}' not found")
         extra = json.loads(row["metadata"])
+        if extra["kind"] in COMPOSITES:
+            parts = [self.load(p) for p in extra["parts"]]
+            return COMPOSITES[extra["kind"]].of_parts(parts, extra["params"], extra["info"], model_id)
         folder = self._folder(model_id)
         model = (
             NeighborModel.load(self.spark, folder)
