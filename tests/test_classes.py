@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidepool.operators import anomaly, cluster, ensemble, models, sampling
+from tidepool.operators import anomaly, automl, cluster, ensemble, models, sampling
 
 
 @pytest.fixture(scope="module")
@@ -83,3 +83,23 @@ def test_clusters_feed_a_model(spark, rows):
     model = models.fit(numbered, "y", ["prev_prediction"], "Decision Tree", "classification")
     done = ensemble.chain(rows, [groups, model])
     assert {"step_1", "step_2"} <= set(done.columns) and done.count() == 300
+
+
+@pytest.mark.parametrize("encoding", automl.ENCODINGS)
+def test_built_model_predicts_raw_rows(spark, tmp_path, encoding):
+    raw = spark.range(400).select(
+        F.col("id").alias("k"),
+        F.when(F.col("id") % 11 == 0, None).otherwise(F.col("id") % 7).cast("double").alias("n"),
+        F.when(F.col("id") % 50 == 7, None).when(F.col("id") % 3 == 0, "u").otherwise("v").alias("t"),
+        (F.col("id") % 3 == 0).cast("int").alias("y"),
+    )
+    built, scores, _ = automl.build(raw, "y", ["n", "t"], "Decision Tree", ["k"], encoding=encoding)
+    assert scores["accuracy"] > 0.9
+    new = spark.createDataFrame([(1, None, "u"), (2, 3.0, "unseen"), (3, 1.0, None)], "k int, n double, t string")
+    got = models.predict(built, new)
+    assert got.count() == 3 and {"k", "n", "t", "Predicted_y"} <= set(got.columns)
+    assert [tuple(r) for r in got.select("k", "n", "t").orderBy("k").collect()] == [(1, None, "u"), (2, 3.0, "unseen"), (3, 1.0, None)]
+    registry = models.Registry(spark, str(tmp_path))
+    again = registry.load(registry.save(built))
+    want = got.orderBy("k").select("Predicted_y").collect()
+    assert models.predict(again, new).orderBy("k").select("Predicted_y").collect() == want

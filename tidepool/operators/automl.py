@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 import time
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -15,9 +16,12 @@ from pyspark.sql import functions as F
 
 from tidepool.columns import classify, col, kind_of
 from tidepool.operators import encoders, models, prepare, sampling
+from tidepool.operators.lookup import attach
 from tidepool.operators.models import Trained
-from tidepool.session import cached
+from tidepool.session import cached, checkpoint
+from tidepool.sources.files import check_features
 
+# The algorithms that a quick and a thorough search try.
 QUICK = {
     "classification": ["Random Forest", "Logistic Regression", "Gradient Boosting"],
     "regression": ["Random Forest", "Linear Regression", "Gradient Boosting"],
@@ -188,37 +192,121 @@ def run(
 ENCODINGS = ("onehot", "label", "target", "frequency")
 
 
-def encode(
-    df: DataFrame,
-    features: Sequence[str],
-    target: str,
-    encoding: str,
-    fit_on: DataFrame | None = None,
-) -> tuple[DataFrame, list[str]]:
-    """(table, numeric feature names): text features encoded, numbers kept.
+@dataclass
+class Encoder:
+    """A text feature as numbers, fitted on training rows.
 
-    ``fit_on`` is where target means come from, usually the training part.
+    A value that training did not hold has no one-hot column, label −1,
+    frequency 0 and the mean target of all training rows.
     """
-    if encoding not in ENCODINGS:
-        raise ValueError(f"Unknown encoding '{encoding}'")
-    out, names = df, []
-    for f in features:
-        if kind_of(df.schema[f].dataType) == "numeric":
-            names.append(f)
-            continue
-        before = out.columns
+
+    feature: str
+    encoding: str
+    names: list[str]
+    values: tuple[list[Any], bool] | None = None
+    table: DataFrame | None = None
+    default: float = 0.0
+
+    @classmethod
+    def fit(cls, train: DataFrame, feature: str, target: str, encoding: str) -> Encoder:
         if encoding == "onehot":
-            out = encoders.one_hot(out, f)
-            made = [c for c in out.columns if c not in before]
-            out = out.withColumns({c: col(c).cast("double") for c in made})
-        elif encoding == "label":
-            out = encoders.label(out, f)
+            values = encoders.one_hot_values(train, feature)
+            names = [f"{feature}_{v}" for v in values[0]] + [f"{feature}_nan"] * values[1]
+            return cls(feature, encoding, names, values)
+        known = train.filter(col(feature).isNotNull())
+        if encoding == "label":
+            name, default = f"{feature}_label_encoded", -1.0
+            table = encoders.label_codes(train, feature).drop("_rows")
         elif encoding == "frequency":
-            out = encoders.frequency(out, f)
+            name, default = f"{feature}_frequency", 0.0
+            table = known.groupBy(col(feature)).agg(F.count(F.lit(1)).alias(name))
+        elif encoding == "target":
+            name = f"{feature}_target_encoded"
+            default = train.agg(F.avg(col(target))).first()[0]
+            table = known.groupBy(col(feature)).agg(F.avg(col(target)).alias(name))
         else:
-            out = encoders.target(out, f, target, fit_on)
-        names += [c for c in out.columns if c not in before]
-    return out, names
+            raise ValueError(f"Unknown encoding '{encoding}'")
+        return cls(feature, encoding, [name], None, checkpoint(table), default)
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        df = df.drop(*[n for n in self.names if n in df.columns])
+        if self.values is not None:
+            out = encoders.one_hot(df, self.feature, self.values)
+            return out.withColumns({n: col(n).cast("double") for n in self.names}) if self.names else out
+        out = attach(df, self.table, [self.feature])
+        name = self.names[0]
+        return out.withColumn(name, F.coalesce(col(name).cast("double"), F.lit(self.default)))
+
+
+@dataclass
+class Prepared:
+    """A model with all that raw rows need before it: fills and encoders."""
+
+    trained: Trained
+    features: list[str]
+    fill: dict[str, Any]
+    encoders: list[Encoder]
+    info: dict[str, Any] = field(default_factory=dict)
+    model_id: str = field(default_factory=lambda: uuid.uuid4().hex[:12])
+
+    @property
+    def algorithm(self) -> str:
+        return self.trained.algorithm
+
+    @property
+    def problem(self) -> str:
+        return self.trained.problem
+
+    @property
+    def target(self) -> str:
+        return self.trained.target
+
+    @property
+    def classes(self) -> list[Any]:
+        return self.trained.classes
+
+    @property
+    def params(self) -> dict[str, Any]:
+        kept = [{"feature": e.feature, "encoding": e.encoding, "names": e.names, "values": e.values, "default": e.default}
+                for e in self.encoders]
+        return {"features": self.features, "fill": self.fill, "encoders": kept}
+
+    @property
+    def parts(self) -> list[Any]:
+        return [self.trained]
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {f"encoder{i}": e.table for i, e in enumerate(self.encoders) if e.table is not None}
+
+    @classmethod
+    def of_parts(
+        cls, parts: Sequence[Any], params: dict[str, Any], info: dict[str, Any], model_id: str,
+        tables: dict[str, DataFrame],
+    ) -> Prepared:
+        made = [
+            Encoder(e["feature"], e["encoding"], e["names"], tuple(e["values"]) if e["values"] else None,
+                    tables.get(f"encoder{i}"), e["default"])
+            for i, e in enumerate(params["encoders"])
+        ]
+        return cls(parts[0], params["features"], params["fill"], made, info, model_id)
+
+    def filled(self, df: DataFrame) -> DataFrame:
+        return prepare.impute(df, {f: v for f, v in self.fill.items() if v is not None and f in df.columns})
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """Score raw rows; their own values of filled features are kept."""
+        check_features(df, self.features)
+        saved = {f"_raw{i}": col(f) for i, f in enumerate(self.features)}
+        out = self.filled(df.withColumns(saved))
+        for e in self.encoders:
+            out = e.apply(out)
+        out = self.trained.score(out)
+        made = [n for e in self.encoders for n in e.names if n not in df.columns]
+        back = {f: F.col(f"_raw{i}") for i, f in enumerate(self.features)}
+        return out.withColumns(back).drop(*saved, *made)
+
+
+models.COMPOSITES["prepared"] = Prepared
 
 
 def build(
@@ -238,46 +326,45 @@ def build(
     test_size: float = 0.2,
     folds: int = 5,
     seed: int = 42,
-) -> tuple[Trained, dict[str, float], DataFrame]:
+) -> tuple[Prepared, dict[str, float], DataFrame]:
     """Impute, encode, scale, select, tune and train: (model, scores, steps).
 
-    Only rows without a target are dropped. All fitted numbers come from the
-    training part. ``selection`` may be ``pca`` or a feature selection.
+    The model predicts raw rows. Only rows without a target are dropped. All
+    fitted numbers, encodings too, come from the training part. ``selection`` may be ``pca`` or a feature selection.
     """
+    if encoding not in ENCODINGS:
+        raise ValueError(f"Unknown encoding '{encoding}'")
     spark = df.sparkSession
     problem = prepare.problem_type(df, target)
     known = df.na.drop(subset=[target])
     texts = [f for f in features if kind_of(df.schema[f].dataType) != "numeric"]
     whole = known.select(*[col(c) for c in dict.fromkeys([*keys, target, *features])])
-    split = sampling.stratified_split if problem == "classification" else None
-    if split:
-        train, _ = sampling.stratified_split(whole, target, keys, test_size, seed)
-    else:
-        train, _ = sampling.split(whole, keys, test_size, seed)
-    steps = [("split", "stratified" if split else "by hash", str(test_size))]
-    fill = prepare.fit_imputation(train, list(features), imputation)
-    steps.append(("impute", imputation, str(fill)))
-    whole = prepare.impute(whole, {f: fill[f] for f in texts})
-    if texts:
-        seen = prepare.impute(train, {f: fill[f] for f in texts})
-        whole, names = encode(whole, features, target, encoding, seen)
-        steps.append(("encode", encoding, ", ".join(texts)))
-    else:
-        names = list(features)
-    if split:
+    classed = problem == "classification"
+    if classed:
         train, test = sampling.stratified_split(whole, target, keys, test_size, seed)
     else:
         train, test = sampling.split(whole, keys, test_size, seed)
+    steps = [("split", "stratified" if classed else "by hash", str(test_size))]
     with cached(train) as train, cached(test) as test:
+        fill = prepare.fit_imputation(train, list(features), imputation)
+        steps.append(("impute", imputation, str(fill)))
         numbers = {f: v for f, v in fill.items() if f not in texts}
+        ready = prepare.impute(train, {f: fill[f] for f in texts})
+        made = [Encoder.fit(ready, f, target, encoding) for f in texts]
+        for e in made:
+            ready = e.apply(ready)
+        if texts:
+            steps.append(("encode", encoding, ", ".join(texts)))
+        by_feature = {e.feature: e.names for e in made}
+        names = [n for f in features for n in by_feature.get(f, [f])]
         extra = []
         if selection == "pca":
             extra = [models.components_stage(min(n_features, len(names)))]
             steps.append(("select", "pca", str(n_features)))
         elif selection:
-            filled = prepare.impute(train, numbers)
+            chosen_from = prepare.impute(ready, numbers)
             names = models.select_features(
-                filled, target, names, selection, n_features, problem, seed
+                chosen_from, target, names, selection, n_features, problem, seed
             )
             steps.append(("select", selection, ", ".join(names)))
         steps.append(("scale", scaling, ", ".join(names)))
@@ -285,17 +372,17 @@ def build(
         chosen = dict(params or {})
         if grid:
             found, _ = search(
-                train, target, names, algorithm, keys, grid, draws, folds, problem, seed, **options
+                ready, target, names, algorithm, keys, grid, draws, folds, problem, seed, **options
             )
             chosen |= found
             steps.append(("tune", "random" if draws else "grid", str(found)))
         model = models.fit(
-            train, target, names, algorithm, problem, chosen, keys=keys, seed=seed, **options
+            ready, target, names, algorithm, problem, chosen, keys=keys, seed=seed, **options
         )
         steps.append(("model", algorithm, str(model.params)))
-        tested = prepare.impute(test, {f: v for f, v in numbers.items() if f in names})
-        scores = models.evaluate(model, tested)
+        built = Prepared(model, list(features), fill, made)
+        scores = models.evaluate(built, built.filled(test))
     table = spark.createDataFrame(
         [(i + 1, *s) for i, s in enumerate(steps)], "step int, kind string, choice string, detail string"
     )
-    return model, scores, table
+    return built, scores, table

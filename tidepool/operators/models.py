@@ -639,6 +639,9 @@ class Registry:
         folder, kind = self._folder(trained.model_id), _kind(trained)
         if kind in COMPOSITES:
             parts = [self.save(p) for p in trained.parts]
+            tables = trained.tables() if hasattr(trained, "tables") else {}
+            for name, held in tables.items():
+                held.write.mode("overwrite").parquet(f"{folder}/{name}")
         elif kind == "neighbors":
             trained.model.save(folder)
         else:
@@ -648,7 +651,7 @@ class Registry:
             "kind": kind,
         }
         if kind in COMPOSITES:
-            extra["parts"] = parts
+            extra |= {"parts": parts, "tables": list(tables)}
         else:
             extra |= {"inputs": trained.inputs, "seen": trained.seen}
         row = [
@@ -682,7 +685,9 @@ class Registry:
         extra = json.loads(row["metadata"])
         if extra["kind"] in COMPOSITES:
             parts = [self.load(p) for p in extra["parts"]]
-            return COMPOSITES[extra["kind"]].of_parts(parts, extra["params"], extra["info"], model_id)
+            tables = {t: self.spark.read.parquet(f"{self._folder(model_id)}/{t}") for t in extra["tables"]}
+            more = {"tables": tables} if tables or extra["kind"] == "prepared" else {}
+            return COMPOSITES[extra["kind"]].of_parts(parts, extra["params"], extra["info"], model_id, **more)
         folder = self._folder(model_id)
         model = (
             NeighborModel.load(self.spark, folder)
