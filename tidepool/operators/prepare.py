@@ -24,7 +24,9 @@ def problem_type(df: DataFrame, target: str, threshold: int = 10, whole_numbers:
     require(df, [target])
     if kind_of(df.schema[target].dataType) != "numeric":
         return "classification"
-    n = df.agg(F.countDistinct(col(target))).first()[0]
+    # One value more than the larger bound is enough to decide.
+    values = df.filter(col(target).isNotNull()).select(col(target)).distinct()
+    n = values.limit(max(threshold, whole_numbers) + 1).count()
     if n <= threshold:
         return "classification"
     whole = isinstance(df.schema[target].dataType, T.IntegralType)

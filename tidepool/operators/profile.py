@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tidepool.columns import classify, col, kind_of, require, type_name
 from tidepool.operators.numeric import fences
 from tidepool.operators.quantiles import group_quantiles, quantiles
+from tidepool.session import checkpoint
 
 METRICS = ("mean", "sum", "count", "median", "std", "min", "max")
 _LONG_TEXT = 64
@@ -283,12 +284,11 @@ def numeric_summary(df: DataFrame, name: str, exact: bool = True) -> DataFrame:
 def value_counts(df: DataFrame, name: str, top: int = 10, share: bool = True) -> DataFrame:
     """The most frequent values; NULL is not counted, but is in the share's base.
 
-    The count of all rows and of distinct values rides on the grouped table,
-    so the base is scanned once.
+    The grouped table is kept, so the base is scanned once; it also gives the
+    count of all rows and of distinct values.
     """
     require(df, [name])
-    counts = df.groupBy(col(name)).agg(F.count(F.lit(1)).alias("count"))
-    # One row per distinct value; a second, small aggregation gives totals.
+    counts = checkpoint(df.groupBy(col(name)).agg(F.count(F.lit(1)).alias("count")))
     totals = counts.agg(F.sum("count").alias("_rows"), F.count(col(name)).alias("_distinct"))
     n, distinct = totals.first()
     got = (

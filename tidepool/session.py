@@ -92,7 +92,11 @@ def _width(field: T.StructField) -> Column:
         inner = field.dataType.elementType
         if isinstance(inner, T.StringType):
             return F.coalesce(F.octet_length(F.array_join(c, ",")), F.lit(0)).cast("long")
+        if isinstance(inner, (T.ArrayType, T.StructType, T.MapType, T.BinaryType)):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)).cast("long")
         return F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long") * 8
+    if isinstance(field.dataType, (T.StructType, T.MapType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)).cast("long")
     return F.lit(8).cast("long")
 
 

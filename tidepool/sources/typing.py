@@ -56,7 +56,8 @@ def promote_types(
         elif numeric and row[f"l{i}"] == n:
             casts[c] = col(c).cast("bigint")
         elif numeric and row[f"d{i}"] == n:
-            casts[c] = col(c).cast("double")
+            # The text nan is missing, like NULL.
+            casts[c] = F.nanvl(col(c).cast("double"), F.lit(None).cast("double"))
     return df.withColumns(casts) if casts else df
 
 
