@@ -124,6 +124,10 @@ def _part(layout: Layout, name: str) -> Column:
     return F.expr(f"scale * ({' + '.join(cells)})")
 
 
+# Places where the partial sums of a series are added before the last addition.
+PLACES = 64
+
+
 def _sums(layout: Layout):
     width, row = layout.width, terms(layout)
 
@@ -249,6 +253,14 @@ def fit(
         "last",
         (F.col("y") / F.col("scale")).alias("_y"),
     ).mapInPandas(add, "_series string, _sums array<double>")
+    # One series may have a sum from every task: add them up in several places first.
+    place = F.pmod(F.spark_partition_id(), F.lit(PLACES)).alias("_place")
+    sums = sums.select("*", place).groupBy("_series", "_place").applyInPandas(
+        lambda group: pd.DataFrame(
+            {"_series": [group["_series"].iloc[0]], "_sums": [sum(np.asarray(s) for s in group["_sums"])]}
+        ),
+        "_series string, _sums array<double>",
+    )
     weights = sums.groupBy("_series").applyInPandas(
         solve,
         "_series string, weights array<double>, levels array<double>, slopes array<double>",

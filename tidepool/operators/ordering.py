@@ -96,27 +96,32 @@ def shift_positions(
 def running_totals(
     df: DataFrame, values: dict[str, Column], pos: str = "_pos", block: int = BLOCK
 ) -> DataFrame:
-    """Add, per name, the sum of a whole-number value over all earlier positions."""
+    """Add, per name, the sum of a whole-number value over all earlier positions.
+
+    Sums within a block of positions come from a window; the sums of all
+    earlier blocks come from the same function over one row per block, so no
+    table of blocks ever reaches the driver.
+    """
     names = list(values)
-    sums = [F.sum(f"_v{i}").alias(f"_s{i}") for i in range(len(names))]
     df = df.withColumn("_blk", F.floor(F.col(pos) / block).cast("long")).withColumns(
-        {f"_v{i}": values[n].cast("long") for i, n in enumerate(names)}
+        {f"_v{i}": F.coalesce(values[n].cast("long"), F.lit(0)) for i, n in enumerate(names)}
     )
-    starts, total = [], [0] * len(names)
-    for blk, *parts in sorted(df.groupBy("_blk").agg(*sums).collect()):
-        starts.append((blk, *total))
-        total = [t + (p or 0) for t, p in zip(total, parts)]
-    schema = "_blk long, " + ", ".join(f"_t{i} long" for i in range(len(names)))
-    # One row per block of positions.
-    table = df.sparkSession.createDataFrame(starts, schema)
     w = Window.partitionBy("_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumns(
+    inside = df.withColumns(
         {f"_s{i}": F.coalesce(F.sum(f"_v{i}").over(w), F.lit(0)) for i in range(len(names))}
     )
-    df = df.join(F.broadcast(table), "_blk").withColumns(
-        {n: F.col(f"_t{i}") + F.col(f"_s{i}") for i, n in enumerate(names)}
-    )
-    return df.drop("_blk", *[f"_{k}{i}" for k in "vst" for i in range(len(names))])
+    last = df.agg(F.max("_blk")).first()[0]
+    if last:
+        sums = [F.sum(f"_v{i}").alias(f"_b{i}") for i in range(len(names))]
+        blocks = checkpoint(df.groupBy(F.col("_blk").alias("_at")).agg(*sums))
+        earlier = {f"_before_{n}": F.col(f"_b{i}") for i, n in enumerate(names)}
+        starts = running_totals(blocks, earlier, "_at", block).withColumnRenamed("_at", "_blk")
+        inside = inside.join(starts.select("_blk", *earlier), "_blk")
+        inside = inside.withColumns({n: F.col(f"_before_{n}") + F.col(f"_s{i}") for i, n in enumerate(names)})
+        inside = inside.drop(*earlier)
+    else:
+        inside = inside.withColumns({n: F.col(f"_s{i}") for i, n in enumerate(names)})
+    return inside.drop("_blk", *[f"_{k}{i}" for k in "vs" for i in range(len(names))])
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
