@@ -300,15 +300,8 @@ def links(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     return storage.written(found.distinct())
 
 
-def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
-    """One row per row of ``df``: (key, text_key, class, class_id, class_size, n_links).
-
-    A class holds equal texts and texts connected by links; ``class`` is its
-    least text key, ``class_id`` its least key (NULL if it has no other), and ``n_links`` counts the verified
-    links of the row's text to different texts. NULL and empty texts are equal
-    and link to nothing else; texts without a word likewise. Repeated rows are
-    members like any other. Other columns are not looked at.
-    """
+def _classed(df: DataFrame, key: str, text: str, least: float) -> DataFrame:
+    """(id, key, class, n_links) of each row, written to the shared folder."""
     docs = df.select(F.col(key).alias("id"), text_key(text).alias("key"), F.col(text).alias("text"))
     found = links(docs.select("key", "text"), least)
     roots = components(found.select(F.col("key").alias("a"), F.col("rep").alias("b")))
@@ -316,11 +309,24 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float
     degree = ends.groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     known = roots.withColumnRenamed("node", "key").join(degree, "key", "full")
     rows = docs.select("id", "key").join(known, "key", "left")
-    rows = storage.written(
+    return storage.written(
         rows.select("id", "key", F.coalesce("root", "key").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
+
+
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
+    """One row per row of ``df``: (key, text_key, class, class_id, class_size, n_links).
+
+    A class holds equal texts and texts connected by links; ``class`` is its
+    least text key, ``class_id`` its least key (NULL if it has no other), and ``n_links`` counts the verified
+    links of the row's text to different texts. NULL and empty texts are equal
+    and link to nothing else; texts without a word likewise. Repeated rows are
+    members like any other. Other columns are not looked at.
+    """
+    rows = _classed(df, key, text, least)
     total = rows.groupBy("class").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    out = rows.join(total, "class")
+    # A table of its own, so that the join can split the rows of a large class.
+    out = rows.join(storage.written(total), "class")
     return out.select(F.col("id").alias(key), F.col("key").alias("text_key"), "class", "class_id", "class_size", "n_links")
 
 
@@ -329,10 +335,10 @@ def first_of_class(df: DataFrame, key: str = "doc_id", text: str = "text", least
 
     Of rows with equal key and equal text one stays; NULL keys come last.
     """
-    found = classes(df.select(key, text), key, text, least)
-    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "text_key")
+    found = _classed(df, key, text, least)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     chosen = found.groupBy("class").agg(F.min(order).alias("first"))
-    chosen = chosen.select(F.col("first.id").alias("_id"), F.col("first.text_key").alias("_text_key"))
+    chosen = chosen.select(F.col("first.id").alias("_id"), F.col("first.key").alias("_text_key"))
     rows = df.withColumn("_text_key", text_key(text))
     kept = rows.join(chosen, rows[key].eqNullSafe(chosen["_id"]) & (rows["_text_key"] == chosen["_text_key"]), "left_semi")
     return kept.dropDuplicates([key, "_text_key"]).drop("_text_key")

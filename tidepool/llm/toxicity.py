@@ -254,9 +254,10 @@ def _sampled(sample: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarra
                 ["per", "any", "toxic"],
             )
 
-    rows = sample.mapInArrow(run, "per double, any double, toxic int").orderBy("per", "any", "toxic").collect()
-    x = np.array([(1.0, r["per"], r["any"]) for r in rows])
-    return x, np.array([float(r["toxic"]) for r in rows])
+    rows = sample.mapInArrow(run, "per double, any double, toxic int").collect()
+    # In a fixed order, so that sums do not depend on the order of tasks.
+    rows = np.array(sorted((r["per"], r["any"], r["toxic"]) for r in rows), float)
+    return np.column_stack([np.ones(len(rows)), rows[:, :2]]), rows[:, 2]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> list[float]:
