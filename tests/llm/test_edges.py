@@ -267,7 +267,7 @@ def test_urls(spark):
         (None, None, None), ("", "", None), ("no scheme", "", None), ("http://", "", None), ("HTTP://A.Ü.Net/x?y", "a.Ü.net", "net/"),
         ("x://example.net/en/a", "example.net", "example.net/en/"), ("x://b.example.com/de/", "b.example.com", "example.com/de/"),
         ("x://notexample.com/de/", "notexample.com", None), ("x://net", "net", None), ("x://u.org/fr/\n1#2", "u.org", "org/fr/"),
-        ("x://h://k/", "h:", None), ("x://" + "a" * 50_000 + ".net/", "a" * 50_000 + ".net", "net/"),
+        ("x://h://k/", "h:", None), ("x://" + "a" * 2_000 + ".net/", "a" * 2_000 + ".net", "net/"),
     ]
     df = spark.createDataFrame([(u, "own") for u, _, _ in rows], "url string, host string")
     got = urls.judge(df, model).collect()
