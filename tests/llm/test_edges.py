@@ -331,3 +331,43 @@ def test_pipeline_keeps_columns(spark, docs, none, tmp_path):
     assert sorted(r["doc_id"] for r in rows) == [1, 3, 4, 5, 10, 11] and all(r["score"] == r["rep"] == "own" for r in rows)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0, name
+
+
+def edited(rng, words, share):
+    """A copy with ``share`` of its words replaced, at random places."""
+    out = list(words)
+    for i in rng.sample(range(len(out)), round(share * len(out))):
+        out[i] = f"e{rng.randrange(10**9)}"
+    return out
+
+
+def near_links(spark, texts):
+    """(classes of the query, verified links, links by brute force) as sets of row numbers."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = order_minhash.classes(df).collect()
+    degree = [0] * len(texts)
+    root = list(range(len(texts)))
+    words = [t.split() for t in texts]
+    used = [set(w) for w in words]  # no text repeats a word
+    for i, a in enumerate(words):
+        bits = order_minhash.places(a)
+        for j in range(i):
+            most = int(0.2 * max(len(a), len(words[j])) + 1e-9)
+            if len(used[i] & used[j]) < max(len(a), len(words[j])) - most:
+                continue
+            if order_minhash.distance(bits, len(a), words[j], most) <= most:
+                degree[i], degree[j] = degree[i] + 1, degree[j] + 1
+                if root[i] != root[j]:
+                    old, new = max(root[i], root[j]), min(root[i], root[j])
+                    root = [new if r == old else r for r in root]
+    return {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows}, root, degree
+
+
+def test_independent_edits_of_one_text(spark):
+    """Copies that are similar to their original, but not to each other."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base)] + [" ".join(edited(rng, base, 0.12)) for _ in range(1000)]
+    got, root, degree = near_links(spark, texts)
+    assert root.count(0) == 1001 and [got[i][0] for i in range(1001)] == root
+    assert all(0 < got[i][1] <= degree[i] for i in range(1001))
