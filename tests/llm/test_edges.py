@@ -371,3 +371,20 @@ def test_independent_edits_of_one_text(spark):
     got, root, degree = near_links(spark, texts)
     assert root.count(0) == 1001 and [got[i][0] for i in range(1001)] == root
     assert all(0 < got[i][1] <= degree[i] for i in range(1001))
+
+
+def test_secrets_inside_longer_runs():
+    """Values glued to a name or in the path of a URL, with their offsets."""
+    rng = random.Random(12)
+    alphabets = dict(secrets.ALPHABETS)
+    b64, b62 = alphabets["base64"], alphabets["base62"]
+    value = "".join(rng.choice(b64) for _ in range(37)) + "/a+"
+    plain = "".join(rng.choice(b62) for _ in range(36))
+    cases = [
+        (f"é AWS_SECRET_ACCESS_KEY={value} end", value), (f"SESSION={plain}", plain), (f"x?key={plain}&a", plain),
+        (f"https://x.org/hooks/a-b/T0/{plain} end", plain), (f"SESSION_A={plain}== end", plain + "=="),
+    ]
+    found = secrets.spans_of(pa.array([t for t, _ in cases]), -1.0)
+    for (text, want), spans in zip(cases, found):
+        assert [text[a:b] for a, _, b in spans] == [want]
+    assert secrets.spans_of(pa.array(["/a-b/the-same-old-plain/words=and_no_digits/of-any-kind"]), -1.0) == [[]]

@@ -1,7 +1,8 @@
 """Secrets in texts: fixed patterns, and a battery of randomness tests.
 
 The battery looks at every long token that looks like an encoded value. The
-encoding is inferred from its characters. A secret looks random: uniformity of
+encoding is inferred from its characters; a run that fits none is cut at inner
+'=', then '/', '-' and '_', and its long pieces are tested. A secret looks random: uniformity of
 the alphabet (chi-squared), runs and serial correlation must not be rejected.
 And it must not be explained by ordinary text, whose characters repeat more
 often and hold fewer digits: the chance of that is a p-value which shrinks with
@@ -144,6 +145,21 @@ def _runs(mask: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray
     return found.start[long], found.end[long]
 
 
+def _pieces(token: str, at: int = 0, marks: str = "=/-_") -> Iterator[tuple[int, str, str]]:
+    """(offset, token, alphabet) of a run without padding: itself, or its long pieces where it fits no alphabet."""
+    whole, token = len(token), token.rstrip("=")
+    if len(token) < TOKEN_LENGTH:
+        return
+    kind = encoding(token)
+    if kind:
+        yield at, token, kind[1]
+    elif marks:
+        for m in re.finditer(f"[^{marks[0]}]+", token):
+            # The last piece keeps the padding behind it.
+            tail = "=" * (whole - len(token)) if m.end() == len(token) else ""
+            yield from _pieces(m[0] + tail, at + m.start(), marks[1:])
+
+
 def _scan(column: pa.Array) -> list[list[tuple[int, int, int, float]]]:
     """Per text: (start, kind, end, weight of evidence) by start, then kind.
 
@@ -163,12 +179,14 @@ def _scan(column: pa.Array) -> list[list[tuple[int, int, int, float]]]:
     for lo, hi in zip(*_runs(HEX[data], offsets, LEAST["hex"])):
         put(int(np.searchsorted(offsets, lo, side="right")) - 1, "hex", lo, hi)
     for lo, hi in zip(*_runs(TOKEN[data], offsets, TOKEN_LENGTH)):
-        token = raw[lo:hi].decode().rstrip("=")
-        kind = encoding(token) if len(token) >= TOKEN_LENGTH else None
-        if kind and randomness(token, kind[1]) >= NOT_RANDOM:
-            p = max(ordinary(token), 1e-300)
-            row = int(np.searchsorted(offsets, lo, side="right")) - 1
-            put(row, "random", lo, hi, math.log10(p) - math.log10(len(token)))
+        run = raw[lo:hi].decode()
+        for at, token, alphabet in _pieces(run):
+            if randomness(token, alphabet) >= NOT_RANDOM:
+                p = max(ordinary(token), 1e-300)
+                row = int(np.searchsorted(offsets, lo, side="right")) - 1
+                end = at + len(token)
+                end += len(run) - len(run.rstrip("=")) if end == len(run.rstrip("=")) else 0
+                put(row, "random", lo + at, lo + end, math.log10(p) - math.log10(len(token)))
     # Texts that can match the patterns hold one of these bytes.
     for row in np.unique(np.searchsorted(offsets, np.flatnonzero((data == 0x3A) | (data == 0x3D)), side="right")) - 1:
         text = raw[offsets[row] : offsets[row + 1]].decode()
