@@ -388,3 +388,20 @@ def test_secrets_inside_longer_runs():
     for (text, want), spans in zip(cases, found):
         assert [text[a:b] for a, _, b in spans] == [want]
     assert secrets.spans_of(pa.array(["/a-b/the-same-old-plain/words=and_no_digits/of-any-kind"]), -1.0) == [[]]
+
+
+def test_sketches_meet_at_the_limit():
+    """Pairs of just 0.8, long and short, with random and with evenly spread edits: nearly all share a sketch."""
+    rng = random.Random(10)
+    pairs = []
+    for n in [5, 6, 10, 20, 35, 40, 60, 250, 1000]:
+        for i in range(100):
+            a = [f"w{n}_{i}_{k}" for k in range(n)]
+            pairs.append((a, edited(rng, a, n // 5 / n)))
+            pairs.append((a, [w if k % 5 != 2 else w + "x" for k, w in enumerate(a)]))
+            pairs.append((a, a[: n // 2] + a[n // 2 + max(1, n // 5) :]))
+    assert all(order_minhash.similarity(a, b, 0.8) for a, b in pairs)
+    text, found = order_minhash.sketches(pa.array([" ".join(t) for p in pairs for t in p]))
+    of = [{*x.tolist()} for x in np.split(found, np.searchsorted(text, np.arange(1, 2 * len(pairs))))]
+    met = sum(not x.isdisjoint(y) for x, y in zip(of[::2], of[1::2]))
+    assert met > 0.997 * len(pairs)
