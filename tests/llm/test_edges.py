@@ -405,3 +405,19 @@ def test_sketches_meet_at_the_limit():
     of = [{*x.tolist()} for x in np.split(found, np.searchsorted(text, np.arange(1, 2 * len(pairs))))]
     met = sum(not x.isdisjoint(y) for x, y in zip(of[::2], of[1::2]))
     assert met > 0.997 * len(pairs)
+
+
+def test_near_copies_among_texts_with_a_shared_passage(spark):
+    """Pairs whose own words differ in spread places, among many texts that hold one long passage."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(150)]
+    texts = []
+    for n in range(300):
+        own = [f"o{n}_{i}" for i in range(100)]
+        texts.append(" ".join(passage + own))
+        if n < 20:
+            texts.append(" ".join(passage + [w if i % 2 else f"x{n}_{i}" for i, w in enumerate(own)]))
+    rng.shuffle(texts)
+    got, root, degree = near_links(spark, texts)
+    assert [got[i][0] for i in range(320)] == root and [got[i][1] for i in range(320)] == degree
+    assert sum(degree) == 40
