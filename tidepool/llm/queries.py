@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import chat, contamination, fingerprints, order_minhash, pieces, repeats, secrets, toxicity, urls
+from tidepool.llm import chat, contamination, fingerprints, hard_negatives, order_minhash, pieces, repeats, secrets, toxicity, urls
 from tidepool.llm import words as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -277,3 +277,26 @@ def _(spark, d):
 def _(spark, d):
     found = order_minhash.classes(table(spark, d, "documents").select("doc_id", "text"))
     return found.select("doc_id", "class_id", "class_size", "n_links")
+
+
+@query(
+    "op11_hard_negatives",
+    """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                 list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
+               where label is not null and embedding is not null
+                 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+         s as (select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same,
+                 cast(list_dot_product(a.e, b.e) as bigint) as score
+               from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+         p as (select anchor_id, other as positive_id, score as positive_score from s where same
+               qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+       select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id
+                order by score desc, other) as integer) as rank, other as negative_id, positive_score, score as negative_score
+       from p join s using (anchor_id)
+       where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+       qualify rank <= 3""",
+)
+def _(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
