@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import chat, contamination, fingerprints, hard_negatives, order_minhash, pieces, repeats, secrets, toxicity, urls
+from tidepool.llm import chat, contamination, fingerprints, hard_negatives, order_minhash, phrases, pieces, repeats, secrets, toxicity, urls
 from tidepool.llm import words as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -300,3 +300,34 @@ def _(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+@query(
+    "op12_collocations",
+    r"""with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+         p as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w
+               from (select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) as piece from d)),
+         n as (select lang, cast(sum(len(w)) as bigint) as n from p group by lang),
+         g as (select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase
+               from (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i
+                     from p, (values (1), (2), (3), (4)) s(m) where len(w) >= m)),
+         c as (select lang, m, phrase, count(*) as f from g group by all having count(*) >= 30),
+         k as (select lang, phrase, m, f as a, string_split(phrase, ' ') as w, unnest(range(1, m)) as k from c where m > 1),
+         x as (select k.lang, k.phrase, k.a, k.k, l.f as l, r.f as r,
+                 (2000000 * cast(k.a as hugeint)) // (cast(l.f as hugeint) + r.f) as score
+               from k join c l on l.lang = k.lang and l.phrase = array_to_string(k.w[1:k.k], ' ')
+                      join c r on r.lang = k.lang and r.phrase = array_to_string(k.w[k.k + 1:], ' ')
+               qualify row_number() over (partition by k.lang, k.phrase order by score, k.k) = 1),
+         i as (select lang, array_to_string(w[j:j + z - 1], ' ') as phrase, f
+               from (select lang, w, f, z, unnest(range(1, m - z + 2)) as j
+                     from (select lang, m, f, string_split(phrase, ' ') as w, unnest(range(2, m)) as z from c where m > 2))),
+         o as (select lang, phrase, max(f) as longer from i group by all)
+       select x.lang, row_number() over (partition by x.lang order by score desc, a desc, x.phrase) as rank, x.phrase,
+         a, l, r, n, cast(score as bigint) as score
+       from x left join o using (lang, phrase) join n using (lang)
+       where coalesce(100 * cast(longer as hugeint) < 80 * cast(a as hugeint), true)
+       qualify rank <= 2000""",
+)
+def _(spark, d):
+    return phrases.collocations(table(spark, d, "documents").select("lang", "text"))
