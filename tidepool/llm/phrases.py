@@ -38,7 +38,7 @@ WORD[[0x20, 0x09]] = False
 # Bits of the map of survivors (32 MB), and of a hash within a share.
 MAP_BITS, KEY_BITS = 28, 32
 # N-grams that a task gathers before it sends them, and distinct ones with their texts.
-GATHERED, DISTINCT = 1 << 23, 1 << 20
+GATHERED, DISTINCT = 1 << 22, 1 << 19
 # Parts into which the phrases of a language are dealt to find the best.
 SALTS = 16
 
@@ -184,9 +184,10 @@ def _survivors(batches: Iterable[pa.RecordBatch], bits: int, capacity: int, leas
         yield pa.RecordBatch.from_arrays([pa.array([share], pa.int32()), pa.array([packed], pa.binary())], ["share", "bits"])
 
 
-def _texts(batches: Iterable[pa.RecordBatch], survivors) -> Iterator[pa.RecordBatch]:
-    """(lang, size, phrase, n) of the n-grams whose bit is set, counted in a task as far as memory allows."""
+def _texts(batches: Iterable[pa.RecordBatch], survivors, bits: int) -> Iterator[pa.RecordBatch]:
+    """The n-grams whose bit is set, with their texts, counted in a task as far as memory allows, by share."""
     bitmap = np.frombuffer(survivors.value, np.uint8)
+    edges = np.arange((1 << bits) + 1, dtype=W.U) << W.U(64 - bits)
     held: list[tuple] = []
 
     def merged(rows: list[tuple]) -> tuple:
@@ -199,7 +200,12 @@ def _texts(batches: Iterable[pa.RecordBatch], survivors) -> Iterator[pa.RecordBa
 
     def out(rows: tuple) -> Iterator[pa.RecordBatch]:
         table = rows[3].append_column("n", pa.array(rows[2], pa.int64()))
-        yield from table.combine_chunks().to_batches(max_chunksize=1 << 16)
+        edge = np.append(np.searchsorted(rows[0], edges[:-1]), len(rows[0]))
+        used = np.flatnonzero(np.diff(edge))
+        for lo in range(0, len(used), 64):
+            some = used[lo : lo + 64]
+            blobs = [_written(table.slice(edge[i], edge[i + 1] - edge[i])) for i in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["share", "rows"])
 
     for g in _parts(batches):
         other = W.mix(g.h ^ W._M1)
@@ -231,6 +237,34 @@ def _texts(batches: Iterable[pa.RecordBatch], survivors) -> Iterator[pa.RecordBa
         yield from out(merged(held))
 
 
+def _written(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _frequent(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by share: (lang, size, phrase, f) of the n-grams with a count of ``least`` or more, by their text."""
+
+    def total(tables: list[pa.Table]) -> pa.Table:
+        whole = pa.concat_tables(tables).combine_chunks()
+        return whole.group_by(["lang", "size", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "size", "phrase", "n"])
+
+    rows = (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist())
+    for _, some in itertools.groupby(rows, lambda r: r["share"]):
+        held, size = [], 0
+        for r in some:
+            held.append(pa.ipc.open_stream(r["rows"]).read_all())
+            size += held[-1].num_rows
+            if size > DISTINCT:
+                held = [total(held)]
+                size = 0
+        whole = total(held)
+        whole = whole.filter(pc.greater_equal(whole["n"], least)).rename_columns(["lang", "size", "phrase", "f"])
+        yield from whole.combine_chunks().to_batches(max_chunksize=1 << 16)
+
+
 def counts(df: DataFrame, least: int, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
     """(lang, size, phrase, f) of all n-grams of one to four words with f >= ``least``, and (lang, n) of all words."""
     spark = df.sparkSession
@@ -249,8 +283,9 @@ def counts(df: DataFrame, least: int, text: str = "text", lang: str = "lang") ->
     for share, packed in slices.toLocalIterator():  # 32 MB in all, at any size of the corpus
         bitmap[share * each : (share + 1) * each] = np.frombuffer(zlib.decompress(packed), np.uint8)
     survivors = spark.sparkContext.broadcast(bitmap.tobytes())
-    found = docs.mapInArrow(functools.partial(_texts, survivors=survivors), "lang string, size int, phrase string, n long")
-    found = found.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    found = docs.mapInArrow(functools.partial(_texts, survivors=survivors, bits=bits), "share int, rows binary")
+    found = found.repartition("share").sortWithinPartitions("share")
+    found = found.mapInArrow(functools.partial(_frequent, least=least), "lang string, size int, phrase string, f long")
     return storage.written(found), total.select("lang", "n")
 
 
