@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import chat, contamination, fingerprints, hard_negatives, order_minhash, phrases, pieces, repeats, secrets, toxicity, urls
+from tidepool.llm import chat, contamination, fingerprints, hard_negatives, jaccard_join, order_minhash, phrases, pieces, repeats, secrets, toxicity, urls
 from tidepool.llm import words as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -331,3 +331,22 @@ def _(spark, d):
 )
 def _(spark, d):
     return phrases.collocations(table(spark, d, "documents").select("lang", "text"))
+
+
+@query(
+    "op13_jaccard_join",
+    r"""with recursive d as (select row_number() over () as row, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+         s as (select distinct row, array_to_string(w[i:i + least(len(w), 4) - 1], ' ') as g
+               from (select row, w, unnest(range(1, len(w) - least(len(w), 4) + 2)) as i from d where len(w) > 0)),
+         n as (select row, count(*) as n from s group by row),
+         x as (select a.row as a, b.row as b, count(*) as shared from s a join s b on a.g = b.g and a.row <> b.row group by all),
+         e as (select a, b from x join n na on na.row = a join n nb on nb.row = b
+               where 100 * shared >= 85 * (na.n + nb.n - shared)),
+         r(row, other) as (select row, row from d union select r.row, e.b from r join e on r.other = e.a),
+         c as (select r.row, min(o.doc_id) as component_id from r join d o on o.row = r.other group by r.row)
+       select doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id
+       from d join c using (row) left join n using (row)""",
+)
+def _(spark, d):
+    return jaccard_join.join(table(spark, d, "documents").select("doc_id", "text"))
