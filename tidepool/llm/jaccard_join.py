@@ -7,13 +7,10 @@ but asks for more shared shingles before two sets are compared in full, and the
 counts of its own shingles say which is cheaper. Two documents must share as
 many prefix shingles as the smaller of their two l.
 
-Equal sets are one set. Documents that share a prefix shingle form a bucket, of
-which only keys, sizes and places are moved. First each set is compared with
-the one chosen set it shares most with, round after round, while that links
-many; so a group of thousands of near copies becomes one component at a linear
-cost. Then all pairs of a bucket that are in different components and pass the
-filters by size and by place are compared, in blocks of bounded size. No pair
-that could be similar is left out.
+Equal sets are one set. Documents that share a prefix shingle form a bucket, and
+``meetings`` links them: first each set with the one it shares most with, then
+every pair of a bucket in different components that the filters by size, place
+and parity leave. No pair that could be similar is left out.
 """
 
 from __future__ import annotations
@@ -27,16 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepool.llm import storage
+from tidepool.llm import meetings, storage
 from tidepool.llm import words as W
-from tidepool.llm.order_minhash import components
 from tidepool.llm.repeats import _pack
 
 WORDS, PERCENT = 4, 85
 # Prefixes are lengthened by at most so many shingles; a full comparison costs as much as so many meetings.
 LONGEST, FULL = 8, 16
-# Distinct shingles of a share of the counts, members of a block, shingles compared with one set in a task.
-SHARE, BLOCK, GROUP = 1 << 22, 1024, 1 << 18
+# Distinct shingles of a share of the counts, and shingles compared with one set in a task.
+SHARE, GROUP = 1 << 22, 1 << 18
 # Counts are sent as one byte: as they are below 128, by powers of 2 ** (1 / 8) beyond.
 _COUNT = np.concatenate([np.arange(128), 128 * 2 ** (np.arange(128) / 8)])
 
@@ -160,8 +156,9 @@ def _prefixes(batches: Iterable[pa.RecordBatch], size: int, bits: int, percent:
                     pa.array(l[has].astype(np.int32)),
                     W.lists_of(pa.array(x[at].view(np.int64)), per[has]),
                     W.lists_of(pa.array(place[at].astype(np.int32)), per[has]),
+                    meetings.parities(block.text, block.x, len(n)).take(pa.array(has)),
                 ],
-                ["block", "key", "n", "l", "tokens", "places"],
+                ["block", "key", "n", "l", "tokens", "places", "bits"],
             )
 
 
@@ -208,62 +205,20 @@ def _verified(pairs: DataFrame, prefixes: DataFrame, sets: DataFrame, percent: i
     total = pairs.groupBy("rep").agg(F.greatest(F.ceil(F.sum("n") / GROUP), F.lit(1)).cast("int").alias("parts"))
     members = pairs.join(total, "rep").select("key", "rep", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("member"))
     firsts = total.select(F.col("rep").alias("key"), "rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"))
-    rows = members.unionByName(firsts).join(sets, "key")
+    rows = members.unionByName(firsts).join(sets.hint("merge"), "key")
     rows = rows.repartition("rep", "part").sortWithinPartitions("rep", "part", "member")
     return storage.written(rows.mapInArrow(functools.partial(_overlap, percent=percent), "key long, rep long, similar boolean"))
 
 
-def _met(rows: pa.Table, percent: int) -> pa.Table:
-    """Pairs of a cell that differ in component and may be similar; those of side 0 with side 1 if it has two."""
-    key, n, place, of, side = (np.asarray(rows[c].combine_chunks()) for c in ("key", "n", "place", "class", "side"))
-    two = side.any()
-    out = []
-    left = np.flatnonzero(side == 0)
-    right = np.flatnonzero(side == 1) if two else left
-    for lo in range(0, len(left), 256):
-        i = left[lo : lo + 256][:, None]
-        j = right[None]
-        ok = (of[i] != of[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-        # If this is the first shingle they share, no more than the shorter rest is shared.
-        rest = np.minimum(n[i] - place[i], n[j] - place[j])
-        ok &= (100 + percent) * rest >= percent * (n[i] + n[j])
-        if not two:
-            ok &= i < j
-        a, b = np.nonzero(ok)
-        out.append((key[i[a, 0]], key[j[0, b]]))
-    a, b = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
-    return pa.table({"key": np.maximum(a, b), "rep": np.minimum(a, b)})
-
-
-def _rest(members: DataFrame, percent: int) -> DataFrame:
-    """(key, rep): pairs of a bucket in different components that the filters leave.
-
-    A bucket is cut into blocks of BLOCK members; a component larger than that
-    has blocks of its own, which do not meet each other.
-    """
-    total = members.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("m"))
-    total = storage.written(total.withColumn("own", F.when(F.col("m") > BLOCK, F.col("class"))))
-    small = total.where("own is null").groupBy("bucket").agg(F.sum("m").alias("rest"))
-    total = total.join(small, "bucket", "left")
-    size = F.when(F.col("own").isNull(), F.col("rest")).otherwise(F.col("m"))
-    total = total.select("bucket", "class", "own", F.ceil(size / BLOCK).alias("parts"))
-    rows = members.join(total, ["bucket", "class"]).withColumn("part", F.pmod(F.xxhash64("key"), "parts"))
-    rows = storage.written(rows.withColumn("block", F.xxhash64("own", F.col("own").isNull(), "part")))
-    blocks = storage.written(rows.groupBy("bucket", "own", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")))
-    a = blocks.select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("own", "block", "low", "high")))
-    b = blocks.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("own", "block", "low", "high")))
-    near = f"100 * high_a >= {percent} * low_b and 100 * high_b >= {percent} * low_a"
-    cells = a.join(b, "bucket").where(f"block_a <= block_b and (own_a is null or own_b is null or own_a <> own_b) and {near}")
-    cells = cells.withColumn("cell", F.xxhash64("bucket", "block_a", "block_b"))
-    dealt = cells.select("bucket", F.col("block_a").alias("block"), "cell", F.lit(0).alias("side")).unionByName(
-        cells.where("block_a <> block_b").select("bucket", F.col("block_b").alias("block"), "cell", F.lit(1).alias("side"))
-    )
-    met = rows.join(dealt, ["bucket", "block"]).select("cell", "side", "key", "n", "place", "class")
-
-    def pairs(cell: pa.Table) -> pa.Table:
-        return _met(cell, percent)
-
-    return met.groupBy("cell").applyInArrow(pairs, "key long, rep long").distinct()
+def _near(percent: int, n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles may be similar, if the first one they share is at the places i and j."""
+    fits = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+    return fits & ((100 + percent) * np.minimum(n - i, m - j) >= percent * (n + m))
+
+
+def _most(percent: int, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The most shingles that only one of two similar sets has."""
+    return (100 - percent) * (n + m) // (100 + percent)
 
 
 def _links(blocks: DataFrame, size: int, percent: int, words: int) -> DataFrame:
@@ -273,58 +228,18 @@ def _links(blocks: DataFrame, size: int, percent: int, words: int) -> DataFrame:
     codes = sent.groupBy("share").applyInArrow(_count, "share int, block long, codes binary")
     codes = codes.groupBy("block").agg(F.collect_list(F.struct("share", "codes")).alias("codes"))
     cut = functools.partial(_prefixes, size=size, bits=bits, percent=percent)
-    schema = "block long, key long, n long, l int, tokens array<long>, places array<int>"
-    prefixes = storage.written(blocks.join(codes, "block").mapInArrow(cut, schema))
+    schema = "block long, key long, n long, l int, tokens array<long>, places array<int>, bits binary"
+    prefixes = storage.written(blocks.hint("merge").join(codes, "block").mapInArrow(cut, schema))
     token = prefixes.select("key", "n", "block", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
-    token = token.select(F.col("t.tokens").alias("token"), F.col("t.places").alias("place"), "key", "n", "block")
-    shared = token.groupBy("token").agg(
-        F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", "key")).alias("y"),
-        F.min(F.struct("key", "place")).alias("first"),
-    )
-    # Of shingles with the same members the first is enough; it counts for all of them.
-    shared = shared.where("m > 1").groupBy("m", "x", "y").agg(F.min(F.struct("first.place", "token")).alias("t"), F.count(F.lit(1)).alias("weight"))
-    members = storage.written(token.join(shared.select(F.col("t.token").alias("token"), "weight"), "token").withColumnRenamed("token", "bucket"))
+    token = token.select(F.col("t.tokens").alias("bucket"), F.col("t.places").alias("place"), "key", "n", "block")
+    members = storage.written(token.join(meetings.without_copies(token), "bucket"))
     wanted = members.groupBy("block").agg(F.collect_set("key").alias("wanted"))
-    sets = storage.written(blocks.join(wanted, "block").mapInArrow(functools.partial(_sets, size=size), "key long, shingles binary"))
-    members = members.drop("block")
-    checked = found = roots = None
-    number = 0
-    while True:
-        now = members.withColumn("class", F.col("key"))
-        if roots is not None:
-            now = members.join(roots, "key", "left").withColumn("class", F.coalesce("root", "key")).drop("root")
-        mixed = now.groupBy("bucket").agg(
-            F.min("class").alias("low"), F.max("class").alias("high"),
-            F.min(F.struct(F.xxhash64("key", F.lit(number)).alias("h"), "key", "class")).alias("first"),
-        ).where("low < high")
-        now = storage.written(now.join(mixed.select("bucket", F.col("first.key").alias("rep"), F.col("first.class").alias("of")), "bucket"))
-        # The set that is first in most of its buckets, by shingles.
-        asks = now.where("class <> of").groupBy("key", "rep").agg(F.sum("weight").alias("w"))
-        asks = asks.groupBy("key").agg(F.max_by("rep", F.struct("w", "rep")).alias("rep"))
-        if checked is not None:
-            asks = asks.join(checked.select("key", "rep"), ["key", "rep"], "left_anti")
-        done = _verified(asks, prefixes, sets, percent)
-        asked, linked = done.agg(F.count(F.lit(1)), F.count_if("similar")).first()
-        checked = done if checked is None else checked.unionByName(done)
-        found = checked.where("similar").select("key", "rep")
-        if linked:
-            roots = components(found.select(F.col("key").alias("a"), F.col("rep").alias("b"))).withColumnRenamed("node", "key")
-            roots = storage.written(roots)
-        number += 1
-        # Go on while that links many; then all that is left, pair by pair.
-        if linked * 4 < asked or not asked:
-            break
-    now = now.drop("class", "rep", "of")
-    if roots is not None:
-        now = now.join(roots, "key", "left").withColumn("class", F.coalesce("root", "key")).drop("root")
-    else:
-        now = now.withColumn("class", F.col("key"))
-    mixed = now.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    now = storage.written(now.join(mixed.select("bucket"), "bucket", "left_semi"))
-    both = checked.select(F.greatest("key", "rep").alias("key"), F.least("key", "rep").alias("rep"))
-    pairs = _rest(now, percent).join(both.distinct(), ["key", "rep"], "left_anti")
-    more = _verified(pairs, prefixes, sets, percent)
-    return found.unionByName(more.where("similar").select("key", "rep"))
+    sets = blocks.hint("merge").join(wanted, "block").mapInArrow(functools.partial(_sets, size=size), "key long, shingles binary")
+    sets = storage.written(sets)
+    return meetings.linked(
+        members.drop("block"), prefixes.select("key", "bits"), lambda pairs: _verified(pairs, prefixes, sets, percent),
+        percent, functools.partial(_near, percent), functools.partial(_most, percent),
+    )
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -355,7 +270,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = WOR
     blocks = storage.written(one.mapInArrow(functools.partial(_pack, text="text"), "block long, size long, rows binary"))
     words = rows.agg(F.sum("n")).first()[0] or 0
     found = _links(blocks, size, percent, words)
-    roots = components(found.select(F.col("key").alias("a"), F.col("rep").alias("b")))
+    roots = meetings.components(found.select(F.col("key").alias("a"), F.col("rep").alias("b")))
 
     def names(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
