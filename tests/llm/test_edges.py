@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidepool.llm import chat, contamination, fingerprints, order_minhash, pieces, queries, repeats, secrets, toxicity, urls
+from tidepool.llm import chat, contamination, fingerprints, meetings, order_minhash, pieces, queries, repeats, secrets, toxicity, urls
 
 LONG = " ".join(f"word{i % 4001}" for i in range(60_000))
 COPY = " ".join(f"c{i}" for i in range(120))
@@ -196,7 +196,7 @@ def test_order_minhash(spark, docs, none):
 def test_components_join_everything(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
-    root = {r["node"]: r["root"] for r in order_minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = {r["node"]: r["root"] for r in meetings.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     parent = {}
 
     def find(x):

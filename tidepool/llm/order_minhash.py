@@ -4,19 +4,17 @@ A text is the sequence of its words. Its shingles carry a label for their
 number of occurrence. Each sketch takes the two shingles of least hash and
 keeps them in the order of the text, so that two texts agree with a chance that
 follows their edit similarity. Texts that agree in a sketch meet in a bucket.
-Every member is aligned with the least text of the bucket, then with the member
-that has most links, in a band as wide as the similarity allows. Links make
-classes; whatever members of different classes are left in a bucket are
-compared pair by pair, in blocks of bounded size.
+``meetings`` links them: first each text is aligned with the one that it meets
+most often, in a band as wide as the similarity allows, then with every text of
+a bucket in another class that sizes and the parity of words do not rule out.
 
-A bucket never becomes an array: its first member comes from a pre-aggregated
-value, and members join it row by row. Copies of a text are one text.
+A bucket never becomes an array, and only keys and numbers are moved until two
+texts are aligned. Copies of a text are one text.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm import storage
+from tidepool.llm import meetings, storage
 from tidepool.llm import words as W
 
 SKETCHES, KEPT = 96, 2
@@ -34,10 +32,6 @@ SIMILAR = 0.8
 KINDS = ((2, 1, 40), (3, 32, 1 << 62))
 # Members aligned with one text in one task, in bytes.
 GROUP_BYTES = 2 << 20
-# A block of members that are compared pair by pair, in bytes.
-BLOCK_BYTES = 1 << 19
-# Words of the grams that two similar texts must share in number.
-GRAM = 3
 _ODD = W.mix(np.arange(1, SKETCHES + 1, dtype=W.U) * W._M2) | W.U(1)
 _PLACE = W.U((1 << 24) - 1)
 
@@ -233,137 +227,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return sorted_.mapInArrow(functools.partial(_align, least=least), "key long, rep long, similar boolean")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node of each component of undirected edges (a, b).
-
-    Alternates stars of larger and of smaller neighbours; each round is written
-    to the shared folder, and only a count and a checksum reach the driver.
-    """
-
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    now = storage.written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before, after = None, state(now)
-    while before != after:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = storage.written(large)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            low.select("a", F.col("m").alias("b"))
-        )
-        now = storage.written(small.where("a <> b").distinct())
-        before, after = after, state(now)
-    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-
-
 def text_key(text: str = "text") -> F.Column:
     """Equal texts have equal keys; NULL is the empty text."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def _cross(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell: similar pairs of different classes, those of side 0 with side 1 if the cell has two.
-
-    A pair that meets in several buckets is compared in the least of them. Once a
-    pair links two classes, no further pair of them is compared in this cell.
-    """
-    kinds = [pa.int64(), pa.int64()]
+def _most(least: float, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The most edits between similar texts of n and m words."""
+    return ((1 - least) * np.maximum(n, m) + 1e-9).astype(np.int64)
 
-    def rows() -> Iterator[tuple]:
-        for part in W.parts(batches, "text"):
-            data, offsets = W.flat(part.column(part.schema.get_field_index("text")))
-            words = W.split(data, offsets, W.NOT_SPACE)
-            h = W.hashes(data, words.start, words.end)
-            names = ("cell", "bucket", "key", "class", "side", "buckets")
-            columns = [part.column(part.schema.get_field_index(n)).to_pylist() for n in names]
-            for i, row in enumerate(zip(*columns)):
-                yield *row, h[words.first[i] : words.first[i + 1]].copy()
-
-    for _, cell in itertools.groupby(rows(), lambda r: r[0]):
-        found = _similar(list(cell), least)
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found), kinds)], ["key", "rep"])
-
-
-def _similar(rows: list[tuple], least: float) -> list[tuple[int, int]]:
-    size = np.array([len(r[6]) for r in rows])
-    side = np.array([r[4] for r in rows])
-    two = side.any()
-    number: dict[int, int] = {}
-    of = np.array([number.setdefault(r[3], len(number)) for r in rows])  # classes, as linked so far
-    earlier = [{b for b in r[5] if b < r[1]} for r in rows]
-    sequence: list = [None] * len(rows)
-    grams: list = [None] * len(rows)
-
-    def gram(i: int) -> np.ndarray:
-        if grams[i] is None:
-            h = rows[i][6]
-            x = W.windows(h, np.arange(max(0, len(h) - GRAM + 1)), GRAM)
-            grams[i] = np.sort(_labelled(x, np.zeros(len(x), np.int64)))
-        return grams[i]
-
-    def words(i: int) -> list[int]:
-        if sequence[i] is None:
-            sequence[i] = rows[i][6].tolist()
-        return sequence[i]
-
-    out = []
-    for i in range(len(rows) - 1):
-        longer = np.maximum(size[i + 1 :], size[i])
-        most = ((1 - least) * longer + 1e-9).astype(np.int64)
-        near = (np.abs(size[i + 1 :] - size[i]) <= most) & (of[i + 1 :] != of[i])
-        if two:
-            near &= side[i + 1 :] != side[i]
-        bits = None
-        for j in (np.flatnonzero(near) + i + 1).tolist():
-            if of[i] == of[j] or not earlier[i].isdisjoint(earlier[j]):
-                continue
-            n, d = int(longer[j - i - 1]), int(most[j - i - 1])
-            shared = n - GRAM + 1 - GRAM * d  # each edit takes GRAM grams at most
-            if shared > 0:
-                a, b = gram(i), gram(j)
-                at = np.searchsorted(a, b)
-                if not len(a) or int((a[np.minimum(at, len(a) - 1)] == b).sum()) < shared:
-                    continue
-            bits = places(words(i)) if bits is None else bits
-            if distance(bits, len(words(i)), words(j), d) <= d:
-                out.append((rows[i][2], rows[j][2]))
-                of[of == of[j]] = of[i]
-    return out
 
+def _near(least: float, n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.abs(n - m) <= _most(least, n, m)
 
-def _remaining(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(key, rep): links between all members of a bucket that differ in class.
 
-    members: (bucket, key, size, class); texts: (key, text, buckets). A bucket is
-    cut into blocks by size. A class larger than a block has blocks of its own,
-    which are not compared with each other, so a large class costs its rows only
-    once for each block of the others.
-    """
-    total = members.groupBy("bucket", "class").agg(F.sum("size").alias("bytes"))
-    total = total.withColumn("own", F.when(F.col("bytes") > BLOCK_BYTES, F.col("class")))
-    total = storage.written(total)
-    rest = total.where("own is null").groupBy("bucket").agg(F.sum("bytes").alias("rest"))
-    total = total.join(rest, "bucket", "left")
-    size = F.when(F.col("own").isNull(), F.col("rest")).otherwise(F.col("bytes"))
-    total = total.select("bucket", "class", "own", F.greatest(F.ceil(size / BLOCK_BYTES), F.lit(1)).alias("parts"))
-    by = F.when(F.col("own").isNull(), F.col("class")).otherwise(F.col("key"))
-    rows = members.join(total, ["bucket", "class"]).withColumn("part", F.pmod(F.xxhash64(by), "parts"))
-    rows = storage.written(rows.select("bucket", "key", "class", "own", F.xxhash64("own", F.col("own").isNull(), "part").alias("block")))
-    blocks = rows.select("bucket", "own", "block").distinct()
-    a = blocks.select("bucket", F.col("own").alias("own_a"), F.col("block").alias("a"))
-    b = blocks.select("bucket", F.col("own").alias("own_b"), F.col("block").alias("b"))
-    cells = a.join(b, "bucket").where("a <= b and (own_a is null or own_b is null or own_a <> own_b)")
-    cells = cells.select("bucket", "a", "b", F.xxhash64("bucket", "a", "b").alias("cell"))
-    dealt = cells.select("bucket", F.col("a").alias("block"), "cell", F.lit(0).alias("side")).unionByName(
-        cells.where("a <> b").select("bucket", F.col("b").alias("block"), "cell", F.lit(1).alias("side"))
-    )
-    met = rows.join(dealt, ["bucket", "block"]).select("cell", "side", "bucket", "key", "class").join(texts, "key")
-    met = met.repartition("cell").sortWithinPartitions("cell")
-    return met.mapInArrow(functools.partial(_cross, least=least), "key long, rep long")
+def _apart(least: float, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The most words that only one of two similar texts has: an edit takes one and adds one."""
+    return 2 * _most(least, n, m)
 
 
 def links(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -371,7 +251,7 @@ def links(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
 
     Every link that is returned was aligned. Texts are found through common
     sketches. No two texts of a bucket are left in different classes unless they
-    were found not similar; within a class, not every link is returned.
+    are not similar; within a class, not every link is returned.
     """
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,62 +263,30 @@ def links(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
             column, keys = column.take(pa.array(once)), keys[once]
             text, found = sketches(column)
             has, count = np.unique(text, return_counts=True)
-            size = np.diff(W.flat(column)[1])[has]
+            data, offsets = W.flat(column)
+            words = W.split(data, offsets, W.NOT_SPACE)
+            bits = meetings.parities(words.text, W.hashes(data, words.start, words.end), len(keys))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[has]), pa.array(size, pa.int32()), W.lists_of(pa.array(found.view(np.int64)), count)],
-                ["key", "size", "sketch"],
+                [pa.array(keys[has]), pa.array(words.count[has]), bits.take(pa.array(has)), W.lists_of(pa.array(found.view(np.int64)), count)],
+                ["key", "n", "bits", "sketch"],
             )
 
-    sketched = docs.select("key", "text").mapInArrow(sketch, "key long, size int, sketch array<long>")
+    sketched = docs.select("key", "text").mapInArrow(sketch, "key long, n long, bits binary, sketch array<long>")
     sketched = storage.written(sketched.dropDuplicates(["key"]))
-    placed = sketched.select("key", "size", F.explode("sketch").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("key").alias("rep"), F.max("key").alias("last")).where("rep < last")
-    open_ = storage.written(placed.join(shared.select("bucket", "rep"), "bucket"))
-    # Of buckets with the same members one is enough.
-    alike = open_.groupBy("bucket").agg(
-        F.min("rep").alias("rep"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor("key").alias("y")
-    )
-    alike = alike.groupBy("rep", "n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
-    open_ = storage.written(open_.join(alike, "bucket", "left_semi"))
+    placed = sketched.select("key", "n", F.explode("sketch").alias("bucket"), F.lit(0).alias("place"))
+    members = storage.written(placed.join(meetings.without_copies(placed), "bucket"))
     texts = docs.groupBy("key").agg(F.first("text").alias("text"))
-    texts = storage.written(texts.join(open_.groupBy("key").agg(F.collect_list("bucket").alias("buckets")), "key"))
-    only = texts.select("key", "text")
-    pairs = open_.where("key <> rep").select("key", "rep", "size").distinct()
-    checked = storage.written(_verified(pairs, only, least))
-    found = checked.where("similar").select("key", "rep")
-    used = open_.where("key = rep").select("bucket", "key", F.lit(True).alias("used"))
-    while True:
-        roots = components(found.select(F.col("key").alias("a"), F.col("rep").alias("b")))
-        ends = found.select("key").unionByName(found.select(F.col("rep").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        known = roots.withColumnRenamed("node", "key").join(ends, "key")
-        rows = open_.select("bucket", "key", "size").join(known, "key", "left").join(used, ["bucket", "key"], "left")
-        free = F.when(F.col("used").isNull(), F.coalesce("n", F.lit(0))).alias("n")
-        rows = storage.written(rows.select("bucket", "key", "size", F.coalesce("root", "key").alias("class"), free))
-        first = rows.groupBy("bucket").agg(
-            F.min("class").alias("low"), F.max("class").alias("high"), F.max(F.when(F.col("n").isNotNull(), F.struct("n", "key", "class"))).alias("top")
-        )
-        # NULL where every member was the first one: all pairs are known.
-        first = first.where("low < high and top is not null").select("bucket", F.col("top.key").alias("rep"), F.col("top.class").alias("of"))
-        open_ = storage.written(rows.join(first, "bucket"))
-        used = storage.written(used.unionByName(first.select("bucket", F.col("rep").alias("key"), F.lit(True).alias("used"))))
-        pairs = open_.where("class <> of").select("key", "rep", "size").distinct()
-        pairs = pairs.join(checked.select("key", "rep"), ["key", "rep"], "left_anti")
-        now = storage.written(_verified(pairs, only, least))
-        checked = checked.unionByName(now)
-        found = checked.where("similar").select("key", "rep")
-        asked, linked = now.agg(F.count(F.lit(1)), F.count_if("similar")).first()
-        # Go on by first members while that links many; then all that is left, pair by pair.
-        if linked * 2 < asked or not asked:
-            break
-    if linked:
-        roots = components(found.select(F.col("key").alias("a"), F.col("rep").alias("b")))
-        open_ = open_.drop("class").join(roots.withColumnRenamed("node", "key"), "key", "left")
-        open_ = open_.withColumn("class", F.coalesce("root", "key"))
-    members = open_.select("bucket", "key", "size", "class")
-    mixed = members.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    members = storage.written(members.join(mixed.select("bucket"), "bucket", "left_semi"))
-    more = storage.written(_remaining(members, texts, least))
-    found = found.unionByName(more).select(F.greatest("key", "rep").alias("key"), F.least("key", "rep").alias("rep"))
+    texts = storage.written(texts.join(members.select("key").distinct(), "key", "left_semi"))
+    sizes = sketched.select("key", (F.col("n") * 6).alias("size"))
+
+    def check(pairs: DataFrame) -> DataFrame:
+        return storage.written(_verified(pairs.join(sizes, "key"), texts, least))
+
+    found = meetings.linked(
+        members, sketched.select("key", "bits"), check, int(100 * least),
+        functools.partial(_near, least), functools.partial(_apart, least),
+    )
+    found = found.select(F.greatest("key", "rep").alias("key"), F.least("key", "rep").alias("rep"))
     return storage.written(found.distinct())
 
 
@@ -446,7 +294,7 @@ def _classed(df: DataFrame, key: str, text: str, least: float) -> DataFrame:
     """(id, key, class, n_links) of each row, written to the shared folder."""
     docs = df.select(F.col(key).alias("id"), text_key(text).alias("key"), F.col(text).alias("text"))
     found = links(docs.select("key", "text"), least)
-    roots = components(found.select(F.col("key").alias("a"), F.col("rep").alias("b")))
+    roots = meetings.components(found.select(F.col("key").alias("a"), F.col("rep").alias("b")))
     ends = found.select("key").unionByName(found.select(F.col("rep").alias("key")))
     degree = ends.groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     known = roots.withColumnRenamed("node", "key").join(degree, "key", "full")
