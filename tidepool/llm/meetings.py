@@ -9,8 +9,10 @@ similar. Comparing all pairs of a bucket costs the square of its size, so:
   of thousands of near copies is done in a few rounds.
 - When few of the checks link, all pairs of a bucket that are still in different
   components are looked at, by numbers alone: sizes, places, and the parity of
-  the elements by hash, whose distance is at most that of the elements. Only the
-  pairs that could be similar are checked. No pair is left out.
+  the elements by hash, whose distance is at most that of the elements. First
+  each item is checked with the nearest of the others by parity, again while
+  that links many, so components at least halve. Then all pairs that could be
+  similar and are still in different components are checked. None is left out.
 
 Only keys and numbers are moved here; the check brings in texts or sets, once
 for each pair.
@@ -62,8 +64,11 @@ Most = Callable[[np.ndarray, np.ndarray], np.ndarray]
 Near = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def _pairs(cell: pa.Table, near: Near, most: Most) -> pa.Table:
-    """Pairs of a cell that differ in component and may be similar; those of side 0 with side 1 if it has two."""
+def _pairs(cell: pa.Table, near: Near, most: Most, nearest: bool) -> pa.Table:
+    """Pairs of a cell that differ in component and may be similar, with their distance by parity.
+
+    Those of side 0 with side 1 if it has two; with ``nearest`` only the best pair of each item.
+    """
     key, n, place, of, side = (np.asarray(cell[c].combine_chunks()) for c in ("key", "n", "place", "class", "side"))
     whole = [np.frombuffer(b, W.U) for b in cell["bits"].to_pylist()]
     words = SMALL_BITS // 64
@@ -72,7 +77,7 @@ def _pairs(cell: pa.Table, near: Near, most: Most) -> pa.Table:
     two = side.any()
     left = np.flatnonzero(side == 0)
     right = np.flatnonzero(side == 1) if two else left
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for lo in range(0, len(left), 256):
         i, j = left[lo : lo + 256][:, None], right[None]
         ok = (of[i] != of[j]) & near(n[i], n[j], place[i], place[j])
@@ -83,17 +88,27 @@ def _pairs(cell: pa.Table, near: Near, most: Most) -> pa.Table:
         for at in range(0, len(a), 1 << 16):
             p, q = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
             limit = most(n[p], n[q])
-            keep = np.bitwise_count(small[p] ^ small[q]).sum(axis=1, dtype=np.int64) <= limit
-            for k in np.flatnonzero(keep & large[p] & large[q]).tolist():
-                keep[k] = int(np.bitwise_count(whole[p[k]] ^ whole[q[k]]).sum()) <= limit[k]
-            out.append((key[p[keep]], key[q[keep]]))
-    a, b = (np.concatenate([o[k] for o in out]) for k in (0, 1))
-    return pa.table({"key": np.maximum(a, b), "rep": np.minimum(a, b)})
-
-
-def rest(members: DataFrame, percent: int, near: Near, most: Most) -> DataFrame:
+            apart = np.bitwise_count(small[p] ^ small[q]).sum(axis=1, dtype=np.int64)
+            for k in np.flatnonzero((apart <= limit) & large[p] & large[q]).tolist():
+                apart[k] = int(np.bitwise_count(whole[p[k]] ^ whole[q[k]]).sum())
+            keep = apart <= limit
+            p, q, apart = p[keep], q[keep], apart[keep]
+            if nearest and len(p):
+                chosen = np.zeros(len(p), bool)
+                for side_ in (p, q):
+                    order = np.lexsort((apart, side_))
+                    chosen[order[np.flatnonzero(np.diff(side_[order], prepend=-1))]] = True
+                p, q, apart = p[chosen], q[chosen], apart[chosen]
+            out.append((p, q, apart))
+    a, b, apart = (np.concatenate([o[k] for o in out]) for k in range(3))
+    return pa.table({"key": np.maximum(key[a], key[b]), "rep": np.minimum(key[a], key[b]), "apart": apart})
+
+
+def rest(members: DataFrame, percent: int, near: Near, most: Most, nearest: bool = False) -> DataFrame:
     """(key, rep): the pairs of a bucket in different components that may be similar.
 
+    With ``nearest``, one pair for each item that has any: that of least distance by parity.
+
     members: (bucket, key, n, place, class, bits). Sizes of similar items are
     within ``percent`` of each other. A bucket is cut into blocks; a component
     larger than a block has blocks of its own, which do not meet each other.
@@ -118,9 +133,14 @@ def rest(members: DataFrame, percent: int, near: Near, most: Most) -> DataFrame:
     met = rows.join(dealt, ["bucket", "block"]).select("cell", "side", "key", "n", "place", "class", "bits")
 
     def pairs(cell: pa.Table) -> pa.Table:
-        return _pairs(cell, near, most)
+        return _pairs(cell, near, most, nearest)
 
-    return met.groupBy("cell").applyInArrow(pairs, "key long, rep long").distinct()
+    found = met.groupBy("cell").applyInArrow(pairs, "key long, rep long, apart long")
+    if not nearest:
+        return found.select("key", "rep").distinct()
+    both = found.unionByName(found.select(F.col("rep").alias("key"), F.col("key").alias("rep"), "apart"))
+    best = both.groupBy("key").agg(F.min_by("rep", F.struct("apart", "rep")).alias("rep"))
+    return best.select(F.greatest("key", "rep").alias("key"), F.least("key", "rep").alias("rep")).distinct()
 
 
 def linked(
@@ -160,15 +180,30 @@ def linked(
         number += 1
         if good * WORTH < asked or not asked:
             break
-    now = now.drop("rep", "of")
-    if roots is not None:
+    members, before = now.select("bucket", "key", "n", "place"), []
+    while True:
+        now = members.withColumn("class", F.col("key"))
+        if roots is not None:
+            now = members.join(roots, "key", "left").withColumn("class", F.coalesce("root", "key")).drop("root")
+        mixed = now.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+        now = now.join(mixed.select("bucket"), "bucket", "left_semi")
+        now = storage.written(now.join(marks, "key"))
+        storage.discard(*before)
+        before = [now]
+        both = checked.select(F.greatest("key", "rep").alias("key"), F.least("key", "rep").alias("rep")).distinct()
+        done = check(rest(now, percent, near, most, nearest=True).join(both, ["key", "rep"], "left_anti"))
+        asked, good = done.agg(F.count(F.lit(1)), F.count_if("similar")).first()
+        checked = checked.unionByName(done)
+        found = checked.where("similar").select("key", "rep")
+        if good:
+            known = components(found.select(F.col("key").alias("a"), F.col("rep").alias("b")))
+            roots = storage.written(known.withColumnRenamed("node", "key"))
+        if good * WORTH < asked or not asked:
+            break
+    if good:
         now = now.drop("class").join(roots, "key", "left").withColumn("class", F.coalesce("root", "key")).drop("root")
-    mixed = now.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    now = now.join(mixed.select("bucket"), "bucket", "left_semi").select("bucket", "key", "n", "place", "class")
-    now = storage.written(now.join(marks, "key"))
-    storage.discard(*before)
-    both = checked.select(F.greatest("key", "rep").alias("key"), F.least("key", "rep").alias("rep"))
-    more = check(rest(now, percent, near, most).join(both.distinct(), ["key", "rep"], "left_anti"))
+    both = checked.select(F.greatest("key", "rep").alias("key"), F.least("key", "rep").alias("rep")).distinct()
+    more = check(rest(now, percent, near, most).join(both, ["key", "rep"], "left_anti"))
     return found.unionByName(more.where("similar").select("key", "rep"))
 
 
