@@ -11,7 +11,7 @@ import json
 import math
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import partial
 from typing import Any
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.columns import col, require
-from tidepool.operators import metrics, prepare, sampling
+from tidepool.operators import boosting, gradients, margins, metrics, prepare, sampling
 from tidepool.operators.neighbors import NeighborModel
 from tidepool.session import cached, in_parallel
 from tidepool.sources.files import check_features
@@ -59,7 +59,7 @@ DEFAULTS: dict[str, dict[str, Any]] = {
     "Logistic Regression": {"max_iter": 1000, "C": 1.0},
     "Random Forest": {"n_estimators": 100, "max_depth": None, "min_samples_split": 2},
     "Support Vector Machine": {"kernel": "rbf", "C": 1.0, "gamma": "scale", "max_iter": 1000},
-    "Support Vector Regression": {"kernel": "rbf", "C": 1.0, "gamma": "scale", "max_iter": 1000},
+    "Support Vector Regression": {"kernel": "rbf", "C": 1.0, "gamma": "scale", "epsilon": 0.1, "max_iter": 1000},
     "Decision Tree": {"max_depth": None, "min_samples_split": 2, "min_samples_leaf": 1},
     "K-Nearest Neighbors": {"n_neighbors": 5, "weights": "uniform"},
     "Naive Bayes": {},
@@ -275,13 +275,9 @@ def _estimator(
         if algorithm == "Naive Bayes":
             return C.NaiveBayes(**cols, **proba, modelType="gaussian")
         if algorithm == "Gradient Boosting":
-            one = dict(maxIter=p["n_estimators"], stepSize=p["learning_rate"], maxDepth=p["max_depth"], seed=seed)
-            if n_classes == 2:
-                return C.GBTClassifier(**cols, **proba, **one)
-            return C.OneVsRest(**cols, classifier=C.GBTClassifier(featuresCol=vector, labelCol=LABEL, **one))
-        if algorithm == "Support Vector Machine":
-            base = C.LinearSVC(maxIter=int(p["max_iter"]), featuresCol=vector, labelCol=LABEL, predictionCol=PREDICTION, regParam=p.get("reg", 0.0), standardization=False)
-            return base if n_classes == 2 else C.OneVsRest(**cols, classifier=base)
+            return C.GBTClassifier(
+                **cols, **proba, maxIter=p["n_estimators"], stepSize=p["learning_rate"], maxDepth=p["max_depth"], seed=seed
+            )
         if algorithm == "Neural Network":
             return C.MultilayerPerceptronClassifier(
                 **cols, **proba, layers=[n_inputs, int(p["hidden"]), n_classes],
@@ -303,16 +299,46 @@ def _estimator(
             return R.DecisionTreeRegressor(
                 **cols, maxDepth=_depth(p["max_depth"]), minInstancesPerNode=_leaf(p), seed=seed
             )
-        if algorithm in ("Gradient Boosting", "Neural Network"):
-            g = {**DEFAULTS["Gradient Boosting"], **p}
+        if algorithm == "Gradient Boosting":
             return R.GBTRegressor(
-                **cols, maxIter=g["n_estimators"], stepSize=g["learning_rate"], maxDepth=g["max_depth"], seed=seed
+                **cols, maxIter=p["n_estimators"], stepSize=p["learning_rate"], maxDepth=p["max_depth"], seed=seed
             )
-        if algorithm == "Support Vector Regression":
-            return R.LinearRegression(**cols, loss="huber", regParam=p.get("reg", 0.0), maxIter=int(p["max_iter"]))
     raise ValueError(f"'{algorithm}' is not available for {problem}")
 
 
+def _expressions(
+    algorithm: str, problem: str, params: dict[str, Any], n_classes: int, seed: int
+) -> Callable[[DataFrame, list[str]], list[MF.SQLTransformer]] | None:
+    """For a model that becomes a column expression, its fit on (rows, inputs)."""
+    p = params
+    if algorithm == "Support Vector Machine":
+        return lambda rows, inputs: margins.support_vectors(
+            rows, inputs, LABEL, n_classes, PREDICTION, "_probability", p["C"], int(p["max_iter"])
+        )
+    if algorithm == "Support Vector Regression":
+        return lambda rows, inputs: [
+            gradients.tube(rows, inputs, LABEL, PREDICTION, p["C"], p.get("epsilon", 0.1), int(p["max_iter"]))
+        ]
+    if algorithm == "Neural Network" and problem == "regression":
+        return lambda rows, inputs: [
+            gradients.network(rows, inputs, LABEL, PREDICTION, int(p["hidden"]), int(p["max_iter"]), seed=seed)
+        ]
+    if algorithm == "Gradient Boosting" and n_classes > 2:
+        return lambda rows, inputs: boosting.softmax(
+            rows, inputs, LABEL, n_classes, PREDICTION, "_probability",
+            p["n_estimators"], p["learning_rate"], p["max_depth"], seed,
+        )
+    return None
+
+
+def _component_stage(pca: Any, inputs: Sequence[str]) -> tuple[list[str], MF.SQLTransformer]:
+    """The components of a fitted PCA as columns."""
+    weights = pca.pc.toArray()
+    names = [f"_c{i}" for i in range(weights.shape[1])]
+    cells = [f"{gradients.weighted(weights[:, i], inputs, 0.0)} AS {c}" for i, c in enumerate(names)]
+    return names, MF.SQLTransformer(statement=f"SELECT *, {', '.join(cells)} FROM __THIS__")
+
+
 def fit(
     df: DataFrame,
     target: str,
@@ -412,19 +438,29 @@ def _fit_rows(
             gamma = 1.0 / (len(features) * spread) if spread > 0 else gamma
         inputs, more = _fourier_stage(inputs, gamma, fourier_size, seed)
         stages.append(more)
-    stages.append(MF.VectorAssembler(inputCols=inputs, outputCol=FEATURES, handleInvalid="error"))
-    stages += extra_stages
-    n_inputs, vector = len(inputs), FEATURES
-    if extra_stages:
-        n_inputs, vector = extra_stages[-1].getK(), extra_stages[-1].getOutputCol()
-    stages.append(
-        _estimator(algorithm, problem, settings, len(classes), n_inputs, seed, vector)
-    )
     data = rows.select(
         label_column(target, problem, classes).alias(LABEL),
         *[col(f) for f in dict.fromkeys(features)],
     )
-    model = Pipeline(stages=stages).fit(data)
+    assembler = MF.VectorAssembler(inputCols=inputs, outputCol=FEATURES, handleInvalid="error")
+    own_fit = _expressions(algorithm, problem, settings, len(classes), seed)
+    if own_fit:
+        columns = inputs
+        for extra in extra_stages:
+            front = Pipeline(stages=[*stages, assembler, extra]).fit(data)
+            columns, more = _component_stage(front.stages[-1], columns)
+            stages.append(more)
+        ready = PipelineModel(stages).transform(data).select(LABEL, *columns)
+        model = PipelineModel([*stages, *own_fit(ready, columns)])
+    else:
+        stages += [assembler, *extra_stages]
+        n_inputs, vector = len(inputs), FEATURES
+        if extra_stages:
+            n_inputs, vector = extra_stages[-1].getK(), extra_stages[-1].getOutputCol()
+        stages.append(
+            _estimator(algorithm, problem, settings, len(classes), n_inputs, seed, vector)
+        )
+        model = Pipeline(stages=stages).fit(data)
     return Trained(
         algorithm, problem, target, features, every, settings, model,
         inputs if not kernel else features, seen=seen,
