@@ -35,7 +35,7 @@ SMALL_BITS, LARGE_BITS, LARGE = 1024, 16384, 1500
 # Members of a block of a bucket.
 BLOCK = 1024
 # Rounds go on while one check in so many links.
-WORTH = 4
+WORTH = 10
 
 
 def parities(of: np.ndarray, x: np.ndarray, n: int) -> pa.Array:
@@ -104,24 +104,29 @@ def _pairs(cell: pa.Table, near: Near, most: Most, nearest: bool) -> pa.Table:
     return pa.table({"key": np.maximum(key[a], key[b]), "rep": np.minimum(key[a], key[b]), "apart": apart})
 
 
-def rest(members: DataFrame, percent: int, near: Near, most: Most, nearest: bool = False) -> DataFrame:
-    """(key, rep): the pairs of a bucket in different components that may be similar.
+def rest(
+    members: DataFrame, marks: DataFrame, percent: int, near: Near, most: Most, nearest: bool = False
+) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, rep): the pairs of a bucket in different components that may be similar; and the tables behind them.
 
     With ``nearest``, one pair for each item that has any: that of least distance by parity.
 
-    members: (bucket, key, n, place, class, bits). Sizes of similar items are
-    within ``percent`` of each other. A bucket is cut into blocks; a component
-    larger than a block has blocks of its own, which do not meet each other.
+    members: (bucket, key, n, place, class); marks: (key, bits). Sizes of similar
+    items are within ``percent`` of each other. A bucket is cut into blocks; a
+    component larger than a block has blocks of its own, which do not meet each
+    other.
     """
     total = members.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("m"))
     total = storage.written(total.withColumn("own", F.when(F.col("m") > BLOCK, F.col("class"))))
     small = total.where("own is null").groupBy("bucket").agg(F.sum("m").alias("rest"))
+    tables = [total]
     total = total.join(small, "bucket", "left")
     size = F.when(F.col("own").isNull(), F.col("rest")).otherwise(F.col("m"))
     total = total.select("bucket", "class", "own", F.ceil(size / BLOCK).alias("parts"))
     rows = members.join(total, ["bucket", "class"]).withColumn("part", F.pmod(F.xxhash64("key"), "parts"))
     rows = storage.written(rows.withColumn("block", F.xxhash64("own", F.col("own").isNull(), "part")))
     blocks = storage.written(rows.groupBy("bucket", "own", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")))
+    tables += [rows, blocks]
     a = blocks.select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("own", "block", "low", "high")))
     b = blocks.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("own", "block", "low", "high")))
     fits = f"100 * high_a >= {percent} * low_b and 100 * high_b >= {percent} * low_a"
@@ -130,17 +135,18 @@ def rest(members: DataFrame, percent: int, near: Near, most: Most, nearest: bool
     dealt = cells.select("bucket", F.col("block_a").alias("block"), "cell", F.lit(0).alias("side")).unionByName(
         cells.where("block_a <> block_b").select("bucket", F.col("block_b").alias("block"), "cell", F.lit(1).alias("side"))
     )
-    met = rows.join(dealt, ["bucket", "block"]).select("cell", "side", "key", "n", "place", "class", "bits")
+    met = rows.join(dealt, ["bucket", "block"]).select("cell", "side", "key", "n", "place", "class")
+    met = met.join(marks, "key")
 
     def pairs(cell: pa.Table) -> pa.Table:
         return _pairs(cell, near, most, nearest)
 
     found = met.groupBy("cell").applyInArrow(pairs, "key long, rep long, apart long")
     if not nearest:
-        return found.select("key", "rep").distinct()
+        return found.select("key", "rep").distinct(), tables
     both = found.unionByName(found.select(F.col("rep").alias("key"), F.col("key").alias("rep"), "apart"))
     best = both.groupBy("key").agg(F.min_by("rep", F.struct("apart", "rep")).alias("rep"))
-    return best.select(F.greatest("key", "rep").alias("key"), F.least("key", "rep").alias("rep")).distinct()
+    return best.select(F.greatest("key", "rep").alias("key"), F.least("key", "rep").alias("rep")).distinct(), tables
 
 
 def linked(
@@ -187,11 +193,13 @@ def linked(
             now = members.join(roots, "key", "left").withColumn("class", F.coalesce("root", "key")).drop("root")
         mixed = now.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
         now = now.join(mixed.select("bucket"), "bucket", "left_semi")
-        now = storage.written(now.join(marks, "key"))
+        now = storage.written(now)
         storage.discard(*before)
         before = [now]
         both = checked.select(F.greatest("key", "rep").alias("key"), F.least("key", "rep").alias("rep")).distinct()
-        done = check(rest(now, percent, near, most, nearest=True).join(both, ["key", "rep"], "left_anti"))
+        pairs, tables = rest(now, marks, percent, near, most, nearest=True)
+        done = check(pairs.join(both, ["key", "rep"], "left_anti"))
+        storage.discard(*tables)
         asked, good = done.agg(F.count(F.lit(1)), F.count_if("similar")).first()
         checked = checked.unionByName(done)
         found = checked.where("similar").select("key", "rep")
@@ -203,7 +211,9 @@ def linked(
     if good:
         now = now.drop("class").join(roots, "key", "left").withColumn("class", F.coalesce("root", "key")).drop("root")
     both = checked.select(F.greatest("key", "rep").alias("key"), F.least("key", "rep").alias("rep")).distinct()
-    more = check(rest(now, percent, near, most).join(both, ["key", "rep"], "left_anti"))
+    pairs, tables = rest(now, marks, percent, near, most)
+    more = check(pairs.join(both, ["key", "rep"], "left_anti"))
+    storage.discard(*tables, *before)
     return found.unionByName(more.where("similar").select("key", "rep"))
 
 

@@ -287,7 +287,9 @@ def links(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
         functools.partial(_near, least), functools.partial(_apart, least),
     )
     found = found.select(F.greatest("key", "rep").alias("key"), F.least("key", "rep").alias("rep"))
-    return storage.written(found.distinct())
+    found = storage.written(found.distinct())
+    storage.discard(sketched, members, texts)
+    return found
 
 
 def _classed(df: DataFrame, key: str, text: str, least: float) -> DataFrame:
