@@ -35,7 +35,7 @@ SMALL_BITS, LARGE_BITS, LARGE = 1024, 16384, 1500
 # Members of a block of a bucket.
 BLOCK = 1024
 # Rounds go on while one check in so many links.
-WORTH = 10
+WORTH = 4
 
 
 def parities(of: np.ndarray, x: np.ndarray, n: int) -> pa.Array:
