@@ -264,6 +264,69 @@ def _(spark, d):
     return _predicted(spark, d, "Support Vector Regression", "o_totalprice", None, "standard")
 
 
+# Separable classes: the sides are those of the feature, and the probabilities agree with them.
+@query(
+    "m9_support_vector_sides",
+    """select l_orderkey, l_linenumber, (l_linestatus = 'F')::int as "Predicted_done", (l_linestatus = 'F')::int as sure from lineitem""",
+)
+def _(spark, d):
+    rows = _flagged(spark, d).withColumn("done", F.col("final"))
+    model = models.fit(rows, "done", ["final"], "Support Vector Machine", params={"kernel": "linear", "max_iter": 100})
+    got = models.predict(model, rows)
+    return got.select("l_orderkey", "l_linenumber", "Predicted_done", (F.col("Probability_1") > 0.5).cast("int").alias("sure"))
+
+
+# Three classes as well: the class shares in each group decide.
+@query(
+    "m12_softmax_shares",
+    """with s as (select l_linestatus, count(*)::double as m from lineitem group by 1),
+            k as (select l_returnflag as k, ln(count(*)::double / (select count(*) from lineitem)) as f from lineitem group by 1),
+            c as (select l_linestatus, l_returnflag as k, count(*)::double as n from lineitem group by 1, 2),
+            p0 as (select s.l_linestatus, k.k, m, coalesce(n, 0) as n, f, exp(f) / sum(exp(f)) over (partition by s.l_linestatus) as p
+                   from s, k left join c on c.l_linestatus = s.l_linestatus and c.k = k.k),
+            f1 as (select l_linestatus, k, m, n, f + 0.1 * (2.0 / 3) * (n - m * p) / (m * p * (1 - p)) as f from p0),
+            p1 as (select *, exp(f) / sum(exp(f)) over (partition by l_linestatus) as p from f1),
+            f2 as (select l_linestatus, k, f + 0.1 * (2.0 / 3) * (n - m * p) / (m * p * (1 - p)) as f from p1),
+            p2 as (select l_linestatus, k, exp(f) / sum(exp(f)) over (partition by l_linestatus) as p from f2),
+            w as (select l_linestatus, round(max(p) filter (where k = 'A'), 6) as "Probability_A",
+                    round(max(p) filter (where k = 'N'), 6) as "Probability_N", round(max(p) filter (where k = 'R'), 6) as "Probability_R"
+                  from p2 group by 1)
+       select l_orderkey, l_linenumber, "Probability_A", "Probability_N", "Probability_R" from lineitem join w using (l_linestatus)""",
+)
+def _(spark, d):
+    rows = _flagged(spark, d)
+    params = {"n_estimators": 2, "max_depth": 1, "learning_rate": 0.1}
+    model = models.fit(rows, "l_returnflag", ["final"], "Gradient Boosting", params=params)
+    names = ["Probability_A", "Probability_N", "Probability_R"]
+    return _rounded(models.predict(model, rows).select("l_orderkey", "l_linenumber", *names), 6, *names)
+
+
+# On an exact line the flattest slope that keeps all rows inside the tube wins.
+@query(
+    "m10_tube_of_a_line",
+    """select l_orderkey, l_linenumber, true as as_flat_as_allowed from lineitem""",
+)
+def _(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_quantity") * 3 + 7).alias("y"))
+    params = {"kernel": "linear", "C": 1.0, "epsilon": 5.0}
+    model = models.fit(rows, "y", ["l_quantity"], "Support Vector Regression", "regression", params)
+    low, high = rows.agg(F.min("l_quantity"), F.max("l_quantity")).first()
+    middle = (low + high) / 2
+    want = 3 * middle + 7 + (3 - 2 * 5.0 / (high - low)) * (F.col("l_quantity") - middle)
+    near = F.abs(F.col("Predicted_y") - want) < 0.1
+    return models.predict(model, rows).select("l_orderkey", "l_linenumber", near.alias("as_flat_as_allowed"))
+
+
+@query("m14_network_values", """select l_orderkey, l_linenumber, true as near from lineitem""")
+def _(spark, d):
+    target = 2 * F.col("l_quantity") - 100 * F.col("l_discount")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", target.alias("y"))
+    params = {"hidden": 8, "max_iter": 200}
+    model = models.fit(rows, "y", ["l_quantity", "l_discount"], "Neural Network", "regression", params)
+    near = F.abs(F.col("Predicted_y") - F.col("y")) < 2
+    return models.predict(model, rows).select("l_orderkey", "l_linenumber", near.alias("near"))
+
+
 def _embedded(spark, d):
     cells = [F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(64)]
     return table(spark, d, "embeddings").select("vec_id", "label", *cells)
