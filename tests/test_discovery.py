@@ -82,6 +82,45 @@ def test_shared_context_equals_brute_force(spark, lines, tile, monkeypatch):
     assert {(r["item1"], r["item2"]): r["count"] for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("dense", [0, 10**9])
+def test_products_of_a_hot_context(spark, dense, monkeypatch):
+    monkeypatch.setattr(mining, "TILE", 16)
+    monkeypatch.setattr(mining, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(mining, "DENSE_PAIRS", dense)
+    rng = random.Random(3)
+    rows = [("hot", f"i{i:03d}") for i in range(100)] + [(f"t{rng.randrange(60)}", f"i{rng.randrange(100):03d}") for _ in range(900)]
+    sets = {}
+    for t, i in rows:
+        sets.setdefault(t, set()).add(i)
+    want = Counter(p for s in sets.values() for p in itertools.combinations(sorted(s), 2))
+    df = spark.createDataFrame(rows, "tx string, item string")
+    got = mining.shared_context(df, "tx", "item", 1)
+    assert {(r["item1"], r["item2"]): r["count"] for r in got.collect()} == want
+    assert mining.shared_context(df.filter("false"), "tx", "item").count() == 0
+
+
+def test_plan_of_products_does_not_grow(spark, lines, monkeypatch):
+    sizes = []
+    for tile in (2_048, 2):
+        monkeypatch.setattr(mining, "TILE", tile)
+        got = mining.shared_context(lines, "tx", "item", 1)
+        sizes.append(len(got._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+    assert sizes[0] == sizes[1]
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_whole_baskets_in_chunks(spark, large, request):
+    if large:
+        request.getfixturevalue("large_paths")
+    rows = [("hot", f"i{i}") for i in range(500)] + [(f"t{i % 40}", f"i{i}") for i in range(400)]
+    df = mining.pairs(spark.createDataFrame([*rows, *rows[:50], (None, "x"), ("t0", None)], "tx string, item string"), "tx", "item")
+    got = mining.basket_chunks(df, 20).collect()
+    assert Counter((r["tx"], i) for r in got for i in r["items"]) == Counter(rows)
+    assert all(r["items"] == sorted(r["items"]) and r["chunk"] < r["chunks"] for r in got)
+    assert {r["chunks"] for r in got if r["tx"] != "hot"} == {1} and {r["chunks"] for r in got if r["tx"] == "hot"} == {25}
+    assert max(len(r["items"]) for r in got) < 60
+
+
 @pytest.mark.parametrize("large", [False, True])
 def test_sequences_with_a_hot_key(spark, large, request):
     if large:

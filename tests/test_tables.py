@@ -2,6 +2,8 @@
 
 import datetime as dt
 import math
+import re
+from collections import Counter
 
 import pandas as pd
 import pytest
@@ -13,6 +15,7 @@ from tidepool.functions import predicates as P
 from tidepool.operators import (
     charts, encoders, filters, joins, numeric, prepare, profile, sampling,
 )
+from tidepool.operators.lookup import attach
 from tidepool.sources import files, typing
 from tidepool.sources.catalog import Catalog
 
@@ -247,6 +250,74 @@ def test_splits(spark):
     assert len(sizes) == 10 and max(s for s in sizes if s < 200) - min(sizes) <= 1
 
 
+@pytest.mark.parametrize("large", [False, True])
+def test_strata_are_exact(spark, large, request):
+    if large:
+        request.getfixturevalue("large_paths")
+    rows = [(i, None if i % 10 == 0 else "hot" if i % 3 else f"v{i % 50}") for i in range(900)] + [(1000, "one")]
+    df = spark.createDataFrame(rows, "id long, c string")
+    n = Counter(c for _, c in rows)
+    for share in (0.001, 0.3, 0.999):
+        train, test = sampling.stratified_split(df, "c", ["id"], share)
+        got = Counter(r["c"] for r in test.collect())
+        assert {c: got[c] for c in n} == {c: math.floor(v * share + 0.5) for c, v in n.items()}
+        assert sorted(r["id"] for r in train.unionAll(test).collect()) == [i for i, _ in rows]
+    folded = sampling.folds(df, 4, ["id"], label="c").collect()
+    sizes = Counter((r["c"], r["fold"]) for r in folded)
+    assert len(folded) == len(rows)
+    assert all(sizes[c, f] == v // 4 + (f < v % 4) for c, v in n.items() for f in range(4))
+
+
+def test_strata_neither_sort_nor_write_whole_rows(spark):
+    df = spark.range(500).select("id", (F.col("id") % 3).alias("c"), F.lit("wide").alias("w"))
+    plan = sampling.folds(df, 3, ["id"], label="c")._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "rangepartitioning" not in plan and "Range (0, 500" in plan
+    empty = sampling.stratified_split(df.filter("id < 0"), "c", ["id"])
+    assert [p.count() for p in empty] == [0, 0]
+
+
+def test_lookup_of_wide_values_of_hot_keys(spark, large_paths):
+    df = spark.range(600).select((F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id"))).alias("k"), "id")
+    table = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.repeat(F.lit("x"), F.lit(300)).alias("w"))
+    spark.conf.set("tidepool.broadcastBytes", "3000")
+    try:
+        got = attach(df, table, ["k"], rows="n").groupBy("k").agg(F.count("w").alias("rows"), F.max("n").alias("n"))
+        assert all(r["rows"] == r["n"] for r in got.collect()) and got.agg(F.sum("rows")).first()[0] == 600
+    finally:
+        spark.conf.unset("tidepool.broadcastBytes")
+
+
+@pytest.mark.parametrize("unicode", [False, True])
+def test_text_counts_like_patterns(spark, unicode):
+    texts = ["", " ", "a", " a  b\n", "A1 b2\tC3!", "\u00a0x\u2003y", "\u0661\u0662 \u00c4\u00e4", "..\x0b..\r\n", "Z" * 5000 + " 9", None]
+    flags = 0 if unicode else re.ASCII
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in text.add_features(df, "t", unicode=unicode).collect():
+        t = texts[r["i"]] or ""
+        assert r["t_word_count"] == len(re.findall(r"\S+", t, flags))
+        assert r["t_uppercase_count"] == len(re.findall("[A-Z]", t))
+        assert r["t_digit_count"] == len(re.findall(r"\d", t, flags))
+        assert r["t_special_chars"] == len(re.findall(r"[^a-zA-Z0-9\s]", t, flags))
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_one_hot_of_many_values(spark, large, request):
+    if large:
+        request.getfixturevalue("large_paths")
+    df = spark.range(100_000).select(F.concat(F.lit("v"), "id").alias("c")).unionAll(spark.sql("select null union all select 'v5'"))
+    index = encoders.one_hot_index(df, "c")
+    rows = encoders.one_hot_vector(df, "c", index)
+    places = {r["c"]: r["c_index"] for r in index.filter("c in ('v0', 'v5')").collect()}
+    for r in rows.filter("c in ('v0', 'v5') or c is null").collect():
+        assert r["c_onehot"].size == 100_001
+        assert list(r["c_onehot"].indices) == [places.get(r["c"], 100_000)]
+    other = encoders.one_hot_vector(spark.createDataFrame([("new", 1)], "c string, c_onehot int"), "c", index)
+    assert list(other.first()["c_onehot"].indices) == [100_000]
+    counts = {r["place"]: r["rows"] for r in encoders.vector_counts(rows, "c_onehot").collect()}
+    assert counts[places["v5"]] == 2 and sum(counts.values()) == 100_002
+    assert encoders.one_hot_vector(df.filter("false"), "c").count() == 0
+
+
 def test_bootstrap(spark):
     df = spark.range(20_000)
     with_repeats = sampling.bootstrap(df, ["id"], 1.0)

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from string import ascii_letters, ascii_uppercase, digits
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.columns import col, require
 
+# The blanks of the pattern \\s without Unicode.
+BLANKS = " \t\n\x0b\f\r"
+
 # The column suffix of each feature.
 SUFFIXES = {
     "length": "length",
@@ -29,22 +33,20 @@ def feature(name: str, kind: str, unicode: bool = False) -> Column:
     if kind == "char_count":
         return F.length(F.replace(text, F.lit(" "), F.lit("")))
     if kind == "word_count":
-        # Splitting also yields an empty piece at each blank end.
-        blank = flag + r"\s"
-        ends = sum(
-            (F.substring(text, at, 1).rlike(blank).cast("int") for at in (1, -1)), F.lit(0)
-        )
-        words = F.size(F.split(text, blank + "+")) - ends
-        return F.when(text == "", F.lit(0)).otherwise(words)
-    # What is left after removing all other characters, in whole runs.
-    others = {
-        "uppercase_count": "[^A-Z]+",
-        "digit_count": flag + r"\D+",
-        "special_char_count": flag + r"[a-zA-Z0-9\s]+",
-    }
+        # One letter is left of each word with the blanks around it.
+        words = F.length(F.regexp_replace(text, flag + r"\s*\S+\s*", "x"))
+        return F.when(text.rlike(flag + r"\S"), words).otherwise(F.lit(0))
+    if kind == "uppercase_count":
+        return F.length(text) - F.length(F.translate(text, ascii_uppercase, ""))
+    if kind == "digit_count" and not unicode:
+        return F.length(text) - F.length(F.translate(text, digits, ""))
+    if kind == "special_char_count" and not unicode:
+        return F.length(F.translate(text, ascii_letters + digits + BLANKS, ""))
+    # Unicode classes are too large to list: what is left after removing the others.
+    others = {"digit_count": r"\D+", "special_char_count": r"[a-zA-Z0-9\s]+"}
     if kind not in others:
         raise ValueError(f"Unknown text feature '{kind}'")
-    return F.length(F.regexp_replace(text, others[kind], ""))
+    return F.length(F.regexp_replace(text, flag + others[kind], ""))
 
 
 def add_features(

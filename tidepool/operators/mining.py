@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,12 +19,14 @@ from tidepool.operators.ordering import (
     shift_positions,
     with_position,
 )
-from tidepool.session import checkpoint
+from tidepool.session import checkpoint, shuffle_partitions
 
 METRICS = ("support", "confidence", "lift", "leverage", "conviction")
 MAX_RULE_LENGTH = 10
 # Items per tile of a co-occurrence count: a tile's counts fit in one task.
 TILE = 2_048
+# Items per array of a whole basket.
+CHUNK_ITEMS = 10_000
 
 
 def pairs(df: DataFrame, transaction: str, item: str) -> DataFrame:
@@ -62,13 +64,31 @@ def baskets(found: DataFrame, min_count: int) -> DataFrame:
 
     At most (pairs / min_count) items can be that frequent, which bounds both
     the table that is looked up and the longest basket, however hot a
-    transaction is. Whole baskets stay in the long form of ``pairs``.
+    transaction is. ``basket_chunks`` keeps the rare items too.
     """
     kept = attach(found, frequent_items(found, min_count), ["item"], rows="count")
     kept = kept.filter(F.col("count").isNotNull())
     return kept.groupBy("tx").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
+def basket_chunks(found: DataFrame, size: int = CHUNK_ITEMS) -> DataFrame:
+    """Whole baskets, rare items too: (tx, chunk, chunks, items), arrays sorted.
+
+    A transaction of at most ``size`` items is one row, chunk 0 of 1. A larger
+    one is dealt by hash of the item to chunks of about ``size`` items, so its
+    items are gathered by many tasks. ``found`` is (tx, item) without repeats.
+    """
+    if size < 1:
+        raise ValueError("size must be at least 1")
+    counts = found.groupBy("tx").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size)
+    held = attach(found, counts, ["tx"], rows="_n")
+    chunks = F.coalesce(F.ceil(F.col("_n") / size), F.lit(1)).cast("int")
+    held = held.select("tx", "item", chunks.alias("chunks"))
+    chunk = F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int")
+    dealt = held.groupBy("tx", chunk.alias("chunk"), "chunks")
+    return dealt.agg(F.array_sort(F.collect_list("item")).alias("items"))
+
+
 def least_count(min_support: float, n: int) -> int:
     """Fewest transactions that reach a support; safe from rounding."""
     guess = max(1, math.floor(min_support * n) - 1)
@@ -347,63 +367,88 @@ def shared_context(
 ) -> DataFrame:
     """(item1, item2, count): in how many contexts two values occur together.
 
-    Values too rare to reach ``min_count`` go first. The rest are numbered, and
-    each task multiplies the incidence matrix of its contexts with itself, a
-    tile of values at a time: only summed counts leave a task, never the pairs
-    of a context.
+    Values too rare to reach ``min_count`` go first. The rest are numbered and
+    cut into tiles of ``TILE`` codes, so a context is a row per tile it has
+    values of, however hot it is. Its rows meet in pairs of tiles, dealt to
+    tasks by tiles and a salt; a task multiplies the incidence matrices of one
+    pair of tiles after the other and sends only sums. The plan does not depend
+    on the number of values.
     """
     found = checkpoint(pairs(df, context, item))
-    frequent = frequent_items(found, min_count)
-    codes = with_position(frequent, ["item"], "code")
-    codes = checkpoint(codes)
-    n = codes.count()
+    codes = checkpoint(with_position(frequent_items(found, min_count), ["item"], "code"))
     coded = attach(found, codes, ["item"], rows="count").filter(F.col("code").isNotNull())
-    sets = checkpoint(
-        coded.groupBy("tx").agg(F.array_sort(F.collect_list("code")).alias("codes"))
-    )
-    out = None
-    for i in range(0, n, TILE):
-        for j in range(i, n, TILE):
-            part = _tile_counts(sets, i, j, min(TILE, n - i), min(TILE, n - j))
-            out = part if out is None else out.unionByName(part)
-    schema = "item1 string, item2 string, count long"
-    if out is None:
-        return df.sparkSession.createDataFrame([], schema)
-    sums = (
-        out.groupBy("a", "b").agg(F.sum("n").alias("count")).filter(F.col("count") >= min_count)
+    tile = TILE
+    coded = coded.withColumn("tile", F.floor(F.col("code") / tile).cast("long"))
+    held = checkpoint(
+        coded.groupBy("tx", "tile").agg(
+            F.array_sort(F.collect_list((F.col("code") - F.col("tile") * tile).cast("int"))).alias("codes")
+        )
     )
+    other = held.select("tx", F.col("tile").alias("tile2"), F.col("codes").alias("codes2"))
+    # A context in a single tile meets only itself, without a join.
+    met = held.join(other.filter(F.col("tile2") > 0), "tx").filter(F.col("tile") < F.col("tile2"))
+    same = held.select("*", F.col("tile").alias("tile2"), F.col("codes").alias("codes2"))
+    n = shuffle_partitions(df.sparkSession)
+    met = met.unionByName(same).withColumn("salt", F.pmod(F.xxhash64("tx"), F.lit(n)))
+    met = met.repartition(n, "tile", "tile2", "salt").sortWithinPartitions("tile", "tile2")
+    parts = met.select("tile", "tile2", "codes", "codes2").mapInPandas(_tile_counts(tile), "a long, b long, n long")
+    sums = parts.groupBy("a", "b").agg(F.sum("n").alias("count")).filter(F.col("count") >= min_count)
     first = codes.select(F.col("code").alias("a"), F.col("item").alias("item1"))
     second = codes.select(F.col("code").alias("b"), F.col("item").alias("item2"))
     named = sums.join(first, "a").join(second, "b").select("item1", "item2", "count")
     return named.orderBy(F.desc("count"), "item1", "item2").limit(top) if top else named
 
 
-def _tile_counts(sets: DataFrame, i: int, j: int, rows: int, cols: int) -> DataFrame:
-    """Pair counts for codes [i, i+rows) × [j, j+cols), one sum per partition."""
+# Rows with more pairs than this multiply as a dense matrix, others pair by pair.
+DENSE_PAIRS = 8_192
+# Contexts and pairs handled at once.
+CHUNK_ROWS, CHUNK_PAIRS = 1_000, 4_000_000
+
 
-    def inside(start: int, size: int) -> Column:
-        return F.filter("codes", lambda c: (c >= start) & (c < start + size))
+def _add_products(total: np.ndarray, x: list[np.ndarray], y: list[np.ndarray]) -> None:
+    """Add the pair counts of contexts with codes ``x`` and ``y`` to ``total``."""
+    nx, ny = np.array([len(c) for c in x]), np.array([len(c) for c in y])
+    if (nx * ny).sum() > DENSE_PAIRS * len(x):
+        wide = []
+        for lists, n in ((x, nx), (y, ny)):
+            m = np.zeros((len(lists), total.shape[0]), dtype=np.float32)
+            m[np.repeat(np.arange(len(lists)), n), np.concatenate(lists)] = 1.0
+            wide.append(m)
+        total += (wide[0].T @ wide[1]).astype(np.int64)
+        return
+    left, right = np.concatenate(x), np.concatenate(y)
+    times = np.repeat(ny, nx)  # each left code meets all right codes of its context
+    starts = np.repeat(np.repeat(np.cumsum(ny) - ny, nx), times)
+    inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    np.add.at(total, (np.repeat(left, times), right[starts + inside]), 1)
 
-    cut = sets.select(inside(i, rows).alias("x"), inside(j, cols).alias("y"))
-    cut = cut.filter((F.size("x") > 0) & (F.size("y") > 0))
 
-    def incidence(lists: pd.Series, start: int, size: int) -> np.ndarray:
-        out = np.zeros((len(lists), size), dtype=np.float32)
-        for r, codes in enumerate(lists):
-            out[r, np.asarray(codes) - start] = 1.0
-        return out
+def _tile_counts(tile: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Pair counts of rows sorted by pair of tiles: one matrix at a time."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((rows, cols), dtype=np.int64)
+        at, total = None, np.zeros((tile, tile), dtype=np.int64)
+
+        def sums() -> pd.DataFrame:
+            a, b = np.nonzero(np.triu(total, 1) if at[0] == at[1] else total)
+            return pd.DataFrame({"a": a + at[0] * tile, "b": b + at[1] * tile, "n": total[a, b]})
+
         for batch in batches:
-            for s in range(0, len(batch), 2_000):
-                part = batch.iloc[s : s + 2_000]
-                x = incidence(part["x"], i, rows)
-                y = x if i == j else incidence(part["y"], j, cols)
-                total += (x.T @ y).astype(np.int64)
-        if i == j:
-            total = np.triu(total, 1)
-        a, b = np.nonzero(total)
-        yield pd.DataFrame({"a": a + i, "b": b + j, "n": total[a, b]})
-
-    return cut.mapInPandas(count, "a long, b long, n long")
+            for key, rows in batch.groupby(["tile", "tile2"], sort=True):
+                if at is not None and key != at:
+                    yield sums()
+                    total[:] = 0
+                at = key
+                x, y = list(rows["codes"]), list(rows["codes2"])
+                s = 0
+                while s < len(x):
+                    e, pairs_held = s, 0
+                    while e < len(x) and e - s < CHUNK_ROWS and (e == s or pairs_held < CHUNK_PAIRS):
+                        pairs_held += len(x[e]) * len(y[e])
+                        e += 1
+                    _add_products(total, x[s:e], y[s:e])
+                    s = e
+        if at is not None:
+            yield sums()
+
+    return count

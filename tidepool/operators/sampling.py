@@ -4,16 +4,18 @@ so results do not depend on partitions and survive recomputation."""
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.columns import col, require
 from tidepool.operators.lookup import attach
-from tidepool.operators.ordering import with_position
+from tidepool.session import WINDOW_GROUP_ROWS, checkpoint, limit_of
 
 _STEPS = 1 << 30
+# Bits of a hash below each level of ranges.
+_SHIFTS = (52, 40, 28, 16, 4, 0)
 
 
 def row_hash(keys: Sequence[str], seed: int) -> Column:
@@ -56,25 +58,50 @@ def split(
     return df.filter(~is_test), df.filter(is_test)
 
 
-def _class_rank(df: DataFrame, label: str, keys: Sequence[str], seed: int) -> DataFrame:
-    """Add ``_rank``, the 0-based rank by hash within the class, and ``_rows``.
+def _class_parts(
+    df: DataFrame, label: str, keys: Sequence[str], seed: int, starts: Callable[[Column], list[Column]]
+) -> DataFrame:
+    """Add ``_part``: how many of the ranks ``starts(rows of the class)`` are not
+    above the row's own 0-based rank by hash within its class.
 
-    Global positions sorted by class first: a hot class spreads over tasks.
+    Whole rows are neither sorted nor written. The hash of each wanted rank is
+    found by counting ranges of hashes, each level within the ranges that the
+    one before it left, until one range of a class fits a window; then rows are
+    compared with the few hashes of their class. ``keys`` must be unique.
     """
-    placed = with_position(
-        df.withColumn("_h", row_hash(keys, seed)), [label, "_h", *keys], "_pos"
-    )
-    # NULL classes sort first and have their own start.
-    tag = F.struct(col(label).isNull(), col(label))
-    placed = placed.withColumn("_tag", tag)
-    starts = placed.groupBy("_tag").agg(
-        F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_rows")
-    )
-    return (
-        attach(placed, starts, ["_tag"], rows="_rows")
-        .withColumn("_rank", F.col("_pos") - F.col("_start"))
-        .drop("_h", "_pos", "_tag", "_start")
-    )
+    tag = F.struct(col(label).isNull().alias("n"), col(label).alias("v"))
+    place = F.struct(row_hash(keys, seed).alias("h"), *[col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    bound = limit_of(df.sparkSession, "windowGroupRows", WINDOW_GROUP_ROWS)
+    rows = df.select(tag.alias("_tag"), place.alias("_key"), F.lit(0).cast("long").alias("_in"))
+    sizes = targets = None
+    for shift in _SHIFTS:
+        rows = rows.withColumn("_at", F.shiftright(F.col("_key.h"), shift))
+        within = Window.partitionBy("_tag", "_in").orderBy("_at")
+        counts = rows.groupBy("_tag", "_in", "_at").agg(F.count(F.lit(1)).alias("_n"))
+        counts = checkpoint(counts.withColumn("_before", F.sum("_n").over(within) - F.col("_n")))
+        if targets is None:
+            sizes = checkpoint(counts.groupBy("_tag").agg(F.sum("_n").alias("_rows")))
+            ranks = F.array(*[r.cast("long") for r in starts(F.col("_rows"))])
+            targets = sizes.select("_tag", F.lit(0).cast("long").alias("_in"), F.posexplode(ranks).alias("_j", "_rank"))
+        inside = (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n"))
+        targets = checkpoint(
+            targets.drop("_n").join(counts, ["_tag", "_in"])
+            .filter(inside)
+            .select("_tag", F.col("_at").alias("_in"), "_j", (F.col("_rank") - F.col("_before")).alias("_rank"), "_n")
+        )
+        wanted = targets.groupBy("_tag", "_in").agg(F.max("_n").alias("_n"))
+        left = rows.select("_tag", "_key", F.col("_at").alias("_in"))
+        left = attach(left, wanted, ["_tag", "_in"], rows="_n").filter(F.col("_n").isNotNull())
+        rows = checkpoint(left.select("_tag", "_key", "_in"))
+        if (targets.agg(F.max("_n")).first()[0] or 0) <= bound:
+            break
+    within = Window.partitionBy("_tag", "_in").orderBy("_key")
+    placed = rows.withColumn("_rank", (F.row_number().over(within) - 1).cast("long"))
+    cuts = targets.join(placed, ["_tag", "_in", "_rank"]).groupBy("_tag").agg(F.collect_list("_key").alias("_cuts"))
+    table = sizes.join(cuts, "_tag", "left")
+    out = attach(df.withColumn("_tag", tag), table, ["_tag"], rows="_rows")
+    below = F.size(F.filter(F.col("_cuts"), lambda cut: cut <= place))
+    return out.withColumn("_part", F.greatest(F.coalesce(below, F.lit(0)), F.lit(0))).drop("_tag", "_rows", "_cuts")
 
 
 def stratified_split(
@@ -82,12 +109,9 @@ def stratified_split(
 ) -> tuple[DataFrame, DataFrame]:
     """(train, test) with the same share of every class, to the row."""
     require(df, [label, *keys])
-    ranked = _class_rank(df, label, keys, seed)
-    is_test = F.col("_rank") < F.round(F.col("_rows") * F.lit(test_size))
-    return (
-        ranked.filter(~is_test).drop("_rank", "_rows"),
-        ranked.filter(is_test).drop("_rank", "_rows"),
-    )
+    parts = _class_parts(df, label, keys, seed, lambda n: [F.round(n * F.lit(test_size))])
+    is_test = F.col("_part") == 0
+    return parts.filter(~is_test).drop("_part"), parts.filter(is_test).drop("_part")
 
 
 def folds(
@@ -103,10 +127,10 @@ def folds(
         raise ValueError("At least two folds")
     if label is None:
         return df.withColumn(name, F.pmod(row_hash(keys, seed), F.lit(k)).cast("int"))
-    ranked = _class_rank(df, label, keys, seed)
-    return ranked.withColumn(name, F.pmod(F.col("_rank"), F.lit(k)).cast("int")).drop(
-        "_rank", "_rows"
-    )
+    # The first (rows mod k) folds of a class hold one row more.
+    starts = lambda n: [F.floor(n / k) * j + F.least(F.pmod(n, F.lit(k)), F.lit(j)) for j in range(1, k)]
+    parts = _class_parts(df, label, keys, seed, starts)
+    return parts.withColumn(name, F.col("_part").cast("int")).drop("_part")
 
 
 def bootstrap(

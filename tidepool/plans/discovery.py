@@ -59,6 +59,33 @@ def _(spark, d):
     return found.select("tx", F.array_join("items", ",").alias("items"))
 
 
+@query(
+    "t1_whole_baskets",
+    """select l_orderkey as tx, 0 as chunk, array_to_string(list_sort(list(distinct l_suppkey::varchar)), ',') as items
+       from lineitem group by 1""",
+)
+def _(spark, d):
+    found = mining.basket_chunks(mining.pairs(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey"))
+    return found.select("tx", "chunk", F.array_join("items", ",").alias("items"))
+
+
+# Three transactions hold all part keys; each is in many arrays.
+@query(
+    "t1_hot_baskets",
+    """select l_returnflag as tx, count(distinct l_partkey) as items, sum(distinct l_partkey)::bigint as total, true as dealt
+       from lineitem group by 1""",
+)
+def _(spark, d):
+    found = mining.basket_chunks(mining.pairs(table(spark, d, "lineitem"), "l_returnflag", "l_partkey"), 50)
+    each = found.select("tx", "chunk", "chunks", F.explode("items").alias("item"))
+    sums = each.groupBy("tx").agg(
+        F.count(F.lit(1)).alias("items"),
+        F.sum(F.col("item").cast("long")).alias("total"),
+        (F.max("chunk") > 0).alias("dealt"),
+    )
+    return sums
+
+
 @query(
     "t2_onehot_baskets",
     """select tx, item from (

@@ -186,6 +186,17 @@ def _(spark, d):
     return encoders.one_hot(rows, "o_orderstatus").drop("o_orderstatus")
 
 
+@query(
+    "e22_one_hot_vector",
+    """select (rank - 1)::int as place, rows from (
+         select row_number() over (order by o_custkey) as rank, count(*) as rows from orders group by o_custkey)
+       union all select (select count(distinct o_custkey) from orders)::int, 0""",
+)
+def _(spark, d):
+    rows = encoders.one_hot_vector(table(spark, d, "orders").select("o_custkey"), "o_custkey")
+    return encoders.vector_counts(rows, "o_custkey_onehot")
+
+
 @query(
     "e23_label_encode",
     """select o_orderkey, o_orderpriority, code as o_orderpriority_label_encoded

@@ -479,6 +479,22 @@ def _(spark, d):
     return sampling.random_rows(table(spark, d, "orders"), 100, ["o_orderkey"])
 
 
+# What a random sample must be: of the asked size, of rows of the table, none twice.
+@query(
+    "r2_random_rows_sound",
+    """select least(100, count(*)) as rows, least(100, count(*)) as distinct_rows, least(100, count(*)) as known from orders""",
+)
+def _(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    got = sampling.random_rows(orders, 100, ["o_orderkey"])
+    every = orders.withColumn("is_known", F.lit(True))
+    return got.join(every, ["o_orderkey", "o_totalprice"], "left").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.countDistinct("o_orderkey").alias("distinct_rows"),
+        F.count("is_known").alias("known"),
+    )
+
+
 @query("r4_sort", "select s_suppkey, s_nationkey, s_acctbal from supplier")
 def _(spark, d):
     rows = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
@@ -502,6 +518,27 @@ def _(spark, d):
     )
 
 
+# Both parts together are the table, and no row is in both; the share is within four deviations.
+@query(
+    "r6_split_sound",
+    """select count(*) as rows, 1 as fewest, 1 as most, true as known, true as near_share from orders""",
+)
+def _(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey")
+    train, test = sampling.split(orders, ["o_orderkey"], 0.2)
+    drawn = orders.select("*", F.lit(1).alias("own"), F.lit(0).alias("part"), F.lit(0).alias("test"))
+    for part, is_test in ((train, 0), (test, 1)):
+        drawn = drawn.unionByName(part.select("*", F.lit(0).alias("own"), F.lit(1).alias("part"), F.lit(is_test).alias("test")))
+    per_row = drawn.groupBy("o_orderkey").agg(*[F.sum(c).cast("int").alias(c) for c in ("own", "part", "test")])
+    return per_row.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min("part").alias("fewest"),
+        F.max("part").alias("most"),
+        (F.min("own") == 1).alias("known"),
+        (F.abs(F.avg("test") - 0.2) < 4 * F.sqrt(F.lit(0.16) / F.count(F.lit(1)))).alias("near_share"),
+    )
+
+
 # The classes, not the chosen rows, are fixed by the rule: each class gives a fifth.
 @query(
     "r7_stratified_split",
@@ -535,6 +572,29 @@ def _(spark, d):
     return got.groupBy("o_orderstatus", "fold").agg(F.count(F.lit(1)).alias("rows"))
 
 
+# Without repeats a row is drawn once at most; with repeats the mean of draws is the share.
+@query(
+    "r9_bootstrap_sound",
+    """select true as once, true as near_share, true as near_mean, true as known""",
+)
+def _(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    once, many = (sampling.bootstrap(orders, ["o_orderkey"], 0.8, replace=r) for r in (False, True))
+    kinds = {"own": orders, "once": once, "many": many}
+    drawn = None
+    for kind, rows in kinds.items():
+        rows = rows.select("*", *[F.lit(int(k == kind)).alias(k) for k in kinds])
+        drawn = rows if drawn is None else drawn.unionByName(rows)
+    per_row = drawn.groupBy("o_orderkey", "o_totalprice").agg(*[F.sum(k).alias(k) for k in kinds])
+    near = lambda c, spread: F.abs(F.avg(c) - 0.8) < 4 * F.sqrt(F.lit(spread) / F.count(F.lit(1)))
+    return per_row.agg(
+        (F.max("once") == 1).alias("once"),
+        near("once", 0.16).alias("near_share"),
+        near("many", 0.8).alias("near_mean"),
+        ((F.min("own") == 1) & (F.max("own") == 1)).alias("known"),
+    )
+
+
 @query("r9_bootstrap")
 def _(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
