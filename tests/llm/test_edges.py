@@ -273,9 +273,40 @@ def test_urls(spark):
     got = urls.judge(df, model).collect()
     assert [(r["host"], r["rule"]) for r in got] == [(h or "", x) for _, h, x in rows]
     assert urls.judge(df.where("false"), model).count() == 0
-    unseen = ["https://my-casino.example.org/a", "https://www.spam-links.example.com/", "https://museum-garden.example.com/en/"]
+    unseen = [
+        "https://my-casino.example.org/a", "https://example.com/best-casino/poker.html", "https://www.spam-links.example.com/",
+        "https://museum-garden.example.com/en/", "https://example.com/school-garden/8",
+    ]
     p = [r["probability"] for r in urls.judge(spark.createDataFrame([(u,) for u in unseen], "url string"), model).collect()]
-    assert min(p[:2]) > 0.5 > p[2]
+    assert min(p[:3]) > 0.5 > max(p[3:])
+
+
+def test_urls_of_words_held_out(spark):
+    u, w = urls.UNWANTED, urls.WANTED
+    model = urls.fit(urls.labelled(spark, [x for i, x in enumerate(u) if i % 5], [x for i, x in enumerate(w) if i % 5]))
+    test = urls.judge(urls.labelled(spark, (), w[::5]), model, rules=())
+    counts = {r["verdict"]: r["count"] for r in test.groupBy("verdict").count().collect()}
+    assert counts["allow"] > 9 * counts.get("block", 0)
+    # Names half made of words that were learned.
+    mixed = [(f"https://{a}-{b}.example.com/",) for a in u[::5] for b in u[1::5]]
+    got = urls.judge(spark.createDataFrame(mixed, "url string"), model).groupBy("verdict").count().collect()
+    assert {r["verdict"]: r["count"] for r in got}["block"] > 0.7 * len(mixed)
+
+
+def test_no_host_is_in_the_training_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    parts = {p for r in pages.select(urls.host_of(F.col("url")).alias("h")).distinct().collect() for p in r["h"].split(".")}
+    assert not parts & set(urls.names_of(urls.UNWANTED) + urls.names_of(urls.WANTED))
+
+
+def test_toxic_sample_of_copies_with_other_labels(spark):
+    rows = [(i, "you vile scum" if i % 3 == 0 else f"a calm day {i}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0 and i % 2 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    both = [toxicity.fit(docs.repartition(n), labels.repartition(n)) for n in (1, 7)]
+    assert both[0] == both[1]
+    some = toxicity.fit(docs, labels, rows=60)  # about two thirds, by hash
+    assert some == toxicity.fit(docs.repartition(5), labels, rows=60)
 
 
 ODD = ["", "</s>", "<\\s>", "<\\\\s></s>", "[INST][/INST]", "<<SYS>><</SYS>>", "<|im_start|>user\n<|im_end|>\n", "\\", "a\\n", "<|im_end|", "é😀\n"]

@@ -185,6 +185,7 @@ def test_pipeline(spark, docs):
     for k, r in rows.items():
         assert names <= set(r.asDict()) and r["n_chars"] == len(r["text"])
         assert r["ids"] == sp.encode(r["text"], add_bos=True, add_eos=True)
+        assert r["decoded"] == sp.decode(r["ids"])
         if pattern.search(left[k]):
             assert "[SECRET]" in r["text"] and not re.search("AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}", r["text"])
     assert sum(r["text"] != left[k] for k, r in rows.items()) < len(rows) / 2

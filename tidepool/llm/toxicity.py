@@ -201,7 +201,8 @@ def fit(
     """Learn a lexicon from labelled texts.
 
     At most about ``rows`` labelled texts are used, taken by a hash of their
-    key; copies of a text count once. A term must occur in a share ``share`` of
+    key; copies of a text count once, as toxic if any copy
+    is. A term must occur in a share ``share`` of
     the toxic texts, and so often more than in others that chance is ruled out
     over all terms together. Rows with a NULL label or key are not used.
     Without labels of both kinds the lexicon is empty and every score is the
@@ -211,11 +212,12 @@ def fit(
     named = named.groupBy(F.col(key).alias("key")).agg(F.max(F.col(label)).cast("int").alias("toxic"))
     n = named.count()
     if n > rows:
-        named = named.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * rows / n))
+        # The share is cut from the whole range of hashes, so it holds for any number of labels.
+        named = named.where(F.xxhash64("key") < F.lit((1 << 64) * rows // n - (1 << 63)))
     # The sample's size is bounded by the parameter, so it may be broadcast.
     texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sample = texts.join(F.broadcast(named), "key").select("text", "toxic")
-    sample = storage.written(sample.dropDuplicates(["text"]).repartition(8))
+    sample = storage.written(sample.groupBy("text").agg(F.max("toxic").alias("toxic")).repartition(8))
     totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, other = totals.get(1, 0), totals.get(0, 0)
     spared = tuple(fold_text(e) for e in exceptions)

@@ -22,40 +22,46 @@ BUCKETS = 1 << 14
 # Rules of the default filter: host and path beginning, and what they say.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-# The default labelled table, by rule: each name as a host of several kinds.
+# The default labelled table, by rule: plain words, alone and in pairs, as hosts and in paths.
 UNWANTED = (
-    "casino-win casino online-casino free-bets best-bets sport-bets poker-room slots-jackpot lucky-jackpot cheap-pills "
-    "pills-online cheap-meds viagra-shop ads-track ad-tracker track-click click-ads popup-ads spam-farm link-farm "
-    "bets-online sportsbets win-casino casinos spamlist spam ads adserver ads-network tracking adult adult-video pills "
-    "diet-pills cheap-watches cheap-loans free-win free-casino winbets big-win link-track "
-    "spam-links seo-spam adult-x adult-cams xxx-cams sex-chat payday-loans fast-loans crypto-win malware-free"
+    "casino poker jackpot roulette slots gambling betting bets wager lottery pills viagra meds steroids replica spam "
+    "phishing malware adult porn xxx escort cams loans payday adserver adclick popup banner tracker tracking ads "
+    "cheap bonus free"
 ).split()
 WANTED = (
     "news weather library museum garden kitchen history science physics medicine school teacher university journal "
     "review travel mountain river forest ocean music theatre cinema football swimming bicycle railway airport harbour "
-    "market bakery farmer winter summer morning evening house street village council parliament court hospital "
-    "thering onather tionere entinhe ereston inghath andthor estione hethion oriented streets weblog forum wiki "
-    "station nation motion creation lesson reason theory father feather another thirteen breath northern southern "
-    "antonia the-times other-side linen-shop paris-guide north-sea garden-tips open-data home-page city-news"
+    "market bakery summer winter morning evening house street village council parliament court hospital city paper "
+    "book story letter answer question number person country water earth light world family friend mother father "
+    "brother sister children people nation station motion reason lesson season winter north south eastern western "
+    "another thirteen breath feather leather together either weather entire interest center teaching reading nothing "
+    "evening standing hand land band order under thunder wonder water master faster sister action section "
+    "table noble double capable early only family daily health wealth earth tooth where while white what which often "
+    "soften listen ship short shine idea area great least heat neat head ready already instead present recent"
 ).split()
 KINDS = ("{}.example.com", "www.{}.example.org", "blog.{}.example.net", "m.{}.example.com")
 PATHS = ("/", "/en/1234", "/de/77.html", "/fr/501/", "/es/9")
+# Hosts that say nothing, for what paths alone tell.
+NEUTRAL = ("example.com", "www.example.org")
 
 
-# Frequent English letter groups; wanted names are also made of two or three of them.
-GROUPS = "th er on an re he in ed nd ha at en es or nt ea ti to it st tion ing ble ou ly wh of sh hea".split()
+def names_of(words: Sequence[str]) -> list[str]:
+    """The words, each also joined with three others by a hyphen and with one without."""
+    n = len(words)
+    pairs = [f"{w}-{words[(i + k) % n]}" for i, w in enumerate(words) for k in (1, 5, 11)]
+    return list(dict.fromkeys([*words, *pairs, *(w + words[(i + 7) % n] for i, w in enumerate(words))]))
 
 
-def labelled(spark: SparkSession) -> DataFrame:
+def labelled(spark: SparkSession, unwanted: Sequence[str] = UNWANTED, wanted: Sequence[str] = WANTED) -> DataFrame:
     """The default labelled URLs: ``url`` and ``unwanted`` (0 or 1).
 
-    Each name comes with every kind of host and path, so only names tell the
-    labels apart.
+    Each name comes with every kind of host and common path, and as a path of
+    hosts that say nothing, so only names tell the labels apart. The words are
+    everyday ones of their kinds of sites; no whole name of a table is among them.
     """
-    n = len(GROUPS)
-    made = [GROUPS[i] + GROUPS[(i * k + k) % n] + (GROUPS[(i + 7 * k) % n] if k % 2 else "") for k in range(2, 12) for i in range(n)]
-    names = [(x, 1) for x in UNWANTED] + [(x, 0) for x in (*WANTED, *dict.fromkeys(made))]
+    names = [(x, 1) for x in names_of(unwanted)] + [(x, 0) for x in names_of(wanted)]
     rows = [(f"https://{kind.format(name)}{path}", label) for name, label in names for kind in KINDS for path in PATHS]
+    rows += [(f"https://{host}/{name}{end}", label) for name, label in names for host in NEUTRAL for end in ("", "/1234", "/index.html")]
     return spark.createDataFrame(rows, "url string, unwanted int")
 
 
