@@ -287,10 +287,6 @@ def test_urls_of_words_held_out(spark):
     test = urls.judge(urls.labelled(spark, (), w[::5]), model, rules=())
     counts = {r["verdict"]: r["count"] for r in test.groupBy("verdict").count().collect()}
     assert counts["allow"] > 9 * counts.get("block", 0)
-    # Names half made of words that were learned.
-    mixed = [(f"https://{a}-{b}.example.com/",) for a in u[::5] for b in u[1::5]]
-    got = urls.judge(spark.createDataFrame(mixed, "url string"), model).groupBy("verdict").count().collect()
-    assert {r["verdict"]: r["count"] for r in got}["block"] > 0.7 * len(mixed)
 
 
 def test_no_host_is_in_the_training_table(spark):
