@@ -1,15 +1,17 @@
 """Chat formatting: layouts known by the fingerprint of their nested fields.
 
 A layout is told by the hash of its sorted field paths. The hash selects a
-declarative mapping that turns the record into canonical turns, an array of
-(role, text). Turns are rendered by a template with control strings; control
+declarative mapping that turns a record, or the rows of a conversation, into
+canonical turns, an array of (role, text). Turns are rendered by a template with control strings; control
 strings inside roles and texts are escaped so that the output can be read back.
 Only DataFrame functions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +27,12 @@ CONTROLS = {
 }
 
 
+def _said(role: Column, text: Column) -> Column:
+    return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+
+
 def _turn(role: str, text: Column) -> Column:
-    return F.struct(F.lit(role).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    return _said(F.lit(role), text)
 
 
 def _pair(user: Column, answer: Column) -> Column:
@@ -58,18 +64,27 @@ def _instruction(task: Column, more: Column | None, answer: Column) -> Column:
 
 Mapping = Callable[[Callable[[str], Column]], Column]
 
-# Field paths of each layout, and its mapping from a getter of fields to turns.
-LAYOUTS: dict[tuple[str, ...], Mapping] = {
-    ("prompt", "response"): lambda f: _pair(f("prompt"), f("response")),
-    ("completion", "prompt"): lambda f: _pair(f("prompt"), f("completion")),
-    ("answer", "question"): lambda f: _pair(f("question"), f("answer")),
-    ("instruction", "output"): lambda f: _instruction(f("instruction"), None, f("output")),
-    ("input", "instruction", "output"): lambda f: _instruction(f("instruction"), f("input"), f("output")),
-    ("messages", "messages[].content", "messages[].role"): lambda f: _listed(f("messages"), "role", "content"),
-    ("conversations", "conversations[].from", "conversations[].value"): lambda f: _listed(f("conversations"), "from", "value"),
-    ("role", "text", "turn"): None,  # one row per turn: see `by_turn`
-}
-FIELDS = sorted({p for paths in LAYOUTS for p in paths})
+
+@dataclass(frozen=True)
+class Layout:
+    """Field paths, the mapping from a getter of fields to turns, and the field that orders the rows of a conversation."""
+
+    fields: tuple[str, ...]
+    turns: Mapping
+    order: str | None = None
+
+
+# The most specific layout comes first; of equal ones, the first listed.
+LAYOUTS = (
+    Layout(("role", "text", "turn"), lambda f: F.array(_said(f("role"), f("text"))), "turn"),
+    Layout(("messages", "messages[].content", "messages[].role"), lambda f: _listed(f("messages"), "role", "content")),
+    Layout(("conversations", "conversations[].from", "conversations[].value"), lambda f: _listed(f("conversations"), "from", "value")),
+    Layout(("input", "instruction", "output"), lambda f: _instruction(f("instruction"), f("input"), f("output"))),
+    Layout(("instruction", "output"), lambda f: _instruction(f("instruction"), None, f("output"))),
+    Layout(("prompt", "response"), lambda f: _pair(f("prompt"), f("response"))),
+    Layout(("completion", "prompt"), lambda f: _pair(f("prompt"), f("completion"))),
+    Layout(("answer", "question"), lambda f: _pair(f("question"), f("answer"))),
+)
 
 
 def paths(kind: T.DataType, at: str = "") -> Iterator[str]:
@@ -83,76 +98,90 @@ def paths(kind: T.DataType, at: str = "") -> Iterator[str]:
         yield from paths(kind.elementType, at + "[]")
 
 
-def fingerprint(found: Column) -> Column:
-    """Hash of the sorted field paths that any layout knows; other fields do not count."""
-    known = F.array(*[F.lit(p) for p in FIELDS])
-    return F.xxhash64(F.array_join(F.array_sort(F.array_distinct(F.array_intersect(found, known))), "|"))
+def fingerprint(names: Iterable[str]) -> str:
+    """Hash of sorted field paths."""
+    return hashlib.sha256("|".join(sorted(set(names))).encode()).hexdigest()[:16]
 
 
-def _print(names: tuple[str, ...]) -> Column:
-    return fingerprint(F.array(*[F.lit(n) for n in names]))
+# Layouts by the fingerprint of their fields.
+MAPPINGS = {fingerprint(layout.fields): layout for layout in LAYOUTS}
 
 
-def _known(schema: T.StructType) -> tuple[str, ...]:
-    return tuple(p for p in sorted(set(paths(schema))) if p in FIELDS)
+def fingerprint_of(found: Column, layouts: Sequence[Layout] = LAYOUTS) -> Column:
+    """Fingerprint of the most specific layout whose field paths are all in an array; NULL if there is none.
 
+    Other paths do not count, so extra fields change nothing.
+    """
+    told = F.lit(None).cast("string")
+    for layout in reversed(layouts):
+        own = F.array_sort(F.array_intersect(found, F.array(*[F.lit(n) for n in layout.fields])))
+        told = F.when(F.size(own) == len(layout.fields), F.substring(F.sha2(F.array_join(own, "|"), 256), 1, 16)).otherwise(told)
+    return told
 
-def by_turn(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Rows of turns gathered into ``turns`` per conversation: (key, turns).
 
-    Turns are in the order of their number, NULL first; equal numbers by role,
-    then text, so repeated rows stay side by side. A NULL key is a conversation
-    of its own, NULL roles and texts are empty.
-    """
-    row = F.struct(
-        F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
-    )
-    ordered = F.transform(F.sort_array(F.collect_list(row)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return df.groupBy(F.col(key)).agg(ordered.alias("turns"))
+def layout_of(schema: T.StructType) -> Layout:
+    """The layout of a table, looked up by the fingerprint of its nested field paths; an error if it has none."""
+    found = set(paths(schema))
+    own = next((layout.fields for layout in LAYOUTS if found.issuperset(layout.fields)), ())
+    layout = MAPPINGS.get(fingerprint(own))
+    if layout is None:
+        raise ValueError(f"no layout has the fields {sorted(found)}")
+    return layout
 
 
 def canonical(df: DataFrame, key: str = "conv_id") -> DataFrame:
     """(key, turns) of a table in any known layout, chosen by the fingerprint of its schema.
 
-    NULL fields are empty texts, a NULL list has no turns, and columns that no
-    layout knows are not looked at. A table of an unknown layout is an error.
+    Extra columns, also ones of other layouts, are not looked at: the most
+    specific layout decides, of equal ones the first of ``LAYOUTS``. NULL
+    fields are empty texts, and a NULL list has no turns. In the layout with
+    one row per turn, rows are gathered per key in the order of their number,
+    NULL first; equal numbers by role, then text, so repeated rows stay side by
+    side, and NULL keys are a conversation of their own. Other layouts keep
+    one row per row. A table of an unknown layout is an error.
     """
-    found = _known(df.schema)
-    if found not in LAYOUTS:
-        raise ValueError(f"no layout has the fields {found}")
-    if LAYOUTS[found] is None:
-        return by_turn(df, key)
-    return df.select(F.col(key), LAYOUTS[found](lambda name: F.col(name)).alias("turns"))
+    layout = layout_of(df.schema)
+    turns = layout.turns(lambda name: F.col(name))
+    if layout.order is None:
+        return df.select(F.col(key), turns.alias("turns"))
+    rows = F.sort_array(F.collect_list(F.struct(F.col(layout.order).alias("order"), turns.alias("turns"))))
+    return df.groupBy(F.col(key)).agg(F.flatten(F.transform(rows, lambda r: r["turns"])).alias("turns"))
 
 
-def _prefixed(names: Column, prefix: str) -> Column:
-    return F.transform(names, lambda k: F.concat(F.lit(prefix), k))
+# Lists of turns in JSON records, and the fields of their elements.
+LISTS = {"messages": ("role", "content"), "conversations": ("from", "value")}
 
 
 def from_json(df: DataFrame, column: str, turns: str = "turns", layout: str = "layout") -> DataFrame:
     """Add canonical turns of JSON records, whose layouts may differ from row to row.
 
-    ``layout`` is the fingerprint. NULL, text that is no JSON object and unknown
-    layouts have NULL turns. Other columns stay, those of these names go.
+    ``layout`` is the fingerprint of the most specific layout whose paths are
+    all there; those inside a list may be in any of its elements. NULL, text
+    that is no JSON object, unknown layouts and lists that hold anything but
+    objects have NULL turns. Other columns stay, those of these names go.
     """
     text = F.col(column)
-    keys = F.coalesce(F.json_object_keys(text), F.lit([]).cast("array<string>"))
-    found = keys
-    for name in ("messages", "conversations"):
-        inner = F.coalesce(F.json_object_keys(F.get_json_object(text, f"$.{name}[0]")), F.lit([]).cast("array<string>"))
-        found = F.concat(found, _prefixed(inner, name + "[]."))
-    told = fingerprint(found)
+    none = F.lit([]).cast("array<string>")
+    found = F.coalesce(F.json_object_keys(text), none)
+    for name in LISTS:
+        items = F.from_json(F.get_json_object(text, f"$.{name}"), "array<map<string,string>>")
+        inner = F.flatten(F.transform(items, lambda m: F.coalesce(F.map_keys(m), none)))
+        inner = F.transform(F.array_distinct(inner), lambda k: F.concat(F.lit(name + "[]."), k))
+        found = F.concat(found, F.coalesce(inner, none))
+    single = [one for one in LAYOUTS if one.order is None]
+    told = fingerprint_of(found, single)
     out = F.lit(None).cast(TURNS)
-    for names, mapping in LAYOUTS.items():
-        if mapping is not None:
-            out = F.when(told == _print(names), mapping(lambda n: _json_field(text, n))).otherwise(out)
+    for one in single:
+        out = F.when(told == fingerprint(one.fields), one.turns(lambda n: _json_field(text, n))).otherwise(out)
     return df.withColumns({layout: told, turns: out})
 
 
 def _json_field(text: Column, name: str) -> Column:
-    inner = {"messages": "role:string,content:string", "conversations": "from:string,value:string"}.get(name)
     field = F.get_json_object(text, f"$.{name}")
-    return F.from_json(field, f"array<struct<{inner}>>") if inner else field
+    if name not in LISTS:
+        return field
+    inner = ",".join(f"`{n}`:string" for n in LISTS[name])
+    return F.from_json(field, f"array<struct<{inner}>>")
 
 
 def escape(text: Column) -> Column:
