@@ -181,6 +181,34 @@ def test_pieces_equal_library(texts):
     assert [data[a:b].tobytes().decode() for a, b in zip(at[:-1], at[1:])] == [sp.decode(x) for x in sp.encode(texts)]
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet="aabbthe\u2581é中\0in<s>41=", max_size=120), max_size=4))
+def test_pieces_of_long_words_equal_library(texts):
+    import sentencepiece
+
+    path = queries.model_path()
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    model = pieces.model(path)
+    model._forget()  # ids of words met before would hide the merging
+    long, pieces.LONG = pieces.LONG, 2
+    try:
+        ids, n = model.encode(pa.array(texts, pa.string()))
+    finally:
+        pieces.LONG = long
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])][: len(texts)] == sp.encode(texts)
+
+
+def test_pieces_of_a_random_word():
+    import sentencepiece
+
+    path = queries.model_path()
+    rng = np.random.default_rng(5)
+    word = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 200_000))
+    texts = [word, "a" * 30_001, word[:5_000] + " " + word[5_000:9_000]]
+    ids, n = pieces.model(path).encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)
+
+
 def test_order_minhash(spark, docs, none):
     rows = order_minhash.classes(docs).collect()
     assert len(rows) == len(BASE)
@@ -348,6 +376,26 @@ def test_chat_layouts(spark):
     by = spark.sql("select * from values (1, 2, 'user', 'b'), (1, null, 'user', 'a'), (1, 2, 'user', 'b'), (null, 1, null, null) as t(conv_id, turn, role, text)")
     found = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in chat.canonical(by).collect()}
     assert found == {1: [("user", "a"), ("user", "b"), ("user", "b")], None: [("", "")]}
+    assert chat.canonical(by.where("false")).count() == 0
+    extra = by.selectExpr("*", "'p' as prompt", "'r' as response", "5 as input", "'x' as turns", "array(1) as messages")
+    assert {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in chat.canonical(extra).collect()} == found
+
+
+def test_chat_fingerprints(spark):
+    for layout in chat.LAYOUTS:
+        assert chat.MAPPINGS[chat.fingerprint(reversed(layout.fields))] is layout
+        more = [*reversed(layout.fields), "other", "prompt" if "prompt" not in layout.fields else "score"]
+        told = spark.range(1).select(chat.fingerprint_of(F.array(*[F.lit(n) for n in more]))).first()[0]
+        assert told == chat.fingerprint(layout.fields)
+    rows = [
+        '{"messages": [{"content": "a"}, {"role": "user"}, {"role": "gpt", "content": "c", "x": {"y": 1}}], "prompt": "p"}',
+        '{"prompt": "p", "response": "r", "instruction": "i", "input": "", "output": "o"}',
+        '{"messages": [{"role": "user", "content": "a"}, 5]}', '{"messages": []}', '{"messages": 7, "question": "q", "answer": "a"}', '{"messages": null, "role": "r", "text": "t", "turn": 1}',
+    ]
+    out = chat.from_json(spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, j string"), "j").collect()
+    got = {r["i"]: r["turns"] and [tuple(t) for t in r["turns"]] for r in out}
+    assert got[0] == [("", "a"), ("user", ""), ("assistant", "c")] and got[1] == [("user", "i"), ("assistant", "o")]
+    assert got[4] == [("user", "q"), ("assistant", "a")] and got[2] == got[3] == got[5] == None  # noqa: E711
 
 
 def test_pipeline_keeps_columns(spark, docs, none, tmp_path):

@@ -3,11 +3,13 @@
 For models of the merge kind with byte fallback, identity normalisation and a
 leading space mark, such as ``piece_bpe_32k.model``. All words of a part are
 merged together: flat symbol arrays, the best pair of each word by a segmented
-minimum of ranks, simultaneous merges, compaction, until no pair remains.
+minimum of ranks, simultaneous merges, compaction, until no pair remains. In
+very long words the rounds touch only merged places and their neighbours.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -21,6 +23,8 @@ from tidepool.llm import words as W
 MARK = 0x2581  # the space mark
 # Words whose ids a worker remembers before it starts anew.
 MEMORY = 300_000
+# Words of more symbols are merged with their pairs waiting by rank.
+LONG = 2048
 _NONE = np.int64(1) << 40
 
 
@@ -86,6 +90,62 @@ class Model:
     def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a.astype(W.U) << W.U(32)) | b.astype(W.U)
 
+    def _merge_long(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, symbol) that are left of long words.
+
+        Pairs wait by rank. Each round takes those of the least one, and only
+        merged symbols and their neighbours make new pairs.
+        """
+        n = len(sym)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        cut = np.flatnonzero(word[1:] != word[:-1])
+        after[np.append(cut, n - 1)] = -1
+        before[np.append(cut + 1, 0)] = -1
+        alive = np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def pairs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = at[alive[at] & (after[at] >= 0)]
+            at = at[(sym[at] >= 0) & (sym[after[at]] >= 0)]
+            to = self.pairs.get(self._key(sym[at], sym[after[at]]))
+            return at[to >= 0], to[to >= 0]
+
+        def wait(at: np.ndarray) -> None:
+            at, to = pairs(at)
+            rank = self.rank[to]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            edge = np.flatnonzero(np.diff(rank, prepend=-1, append=_NONE))
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                r = int(rank[lo])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(at[lo:hi])
+
+        wait(np.arange(n))
+        while ranks:
+            least = heapq.heappop(ranks)
+            at, to = pairs(np.unique(np.concatenate(waiting.pop(least))))
+            at, to = at[self.rank[to] == least], to[self.rank[to] == least]
+            if not len(at):
+                continue
+            first = np.concatenate([[True], word[at][1:] != word[at][:-1]])
+            run = np.flatnonzero(np.concatenate([[True], after[at[:-1]] != at[1:]]) | first)
+            place = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
+            merged = first | ((place % 2 == 0) & ~self.one_by_one[to])
+            take, later = at[merged], at[~merged]
+            gone = after[take]
+            sym[take] = to[merged]
+            alive[gone] = False
+            after[take] = after[gone]
+            linked = after[take] >= 0
+            before[after[take[linked]]] = take[linked]
+            left = before[take]
+            wait(np.unique(np.concatenate([take, left[left >= 0], later])))
+        return word[alive], sym[alive]
+
     def merge(self, points: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids per word) of words given as code points."""
         at = np.minimum(np.searchsorted(self.chars, points), len(self.chars) - 1)
@@ -93,6 +153,10 @@ class Model:
         sym = np.where(self.chars[at] == points, self.char_ids[at], -points - 1)
         word = np.repeat(np.arange(len(counts)), counts)
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        long = np.repeat(counts > LONG, counts)
+        if long.any():
+            done.append(self._merge_long(sym[long], word[long]))
+            sym, word = sym[~long], word[~long]
         while len(sym):
             open_ = (word[:-1] == word[1:]) & (sym[:-1] >= 0) & (sym[1:] >= 0)
             to = np.full(len(sym), -1, np.int64)
