@@ -864,3 +864,113 @@ def _(spark, d):
     rows = _votes(spark, d).withColumn("e", ensemble.hard_vote(votes, ["F", "O", "P"]))
     got = ensemble.compare_columns(rows, "o_orderstatus", ["a", "b", "c"], "e", "classification")
     return _rounded(got.select("model", "accuracy", "best_base", "improvement"), 6, "accuracy", "improvement")
+
+
+# Targets that one feature tells exactly: whatever is drawn, split or folded, the answer is known.
+_SIZE_SQL = "case when o_totalprice > 150000 then 'large' else 'small' end"
+_COST_SQL = "case when o_totalprice > 150000 then 350.0 else 250.0 end::double"
+
+
+def _told(spark, d):
+    """Orders with a yes-or-no feature, and a class and a value that it tells."""
+    rows = table(spark, d, "orders").withColumn("high", (F.col("o_totalprice") > 150000).cast("double"))
+    return rows.select(
+        "o_orderkey", "high", F.when(F.col("high") == 1, "large").otherwise("small").alias("size"),
+        (F.col("high") * 100 + 250).alias("cost"),
+    )
+
+
+def _said(model, rows, target="size"):
+    return models.predict(model, rows.drop(target)).select("o_orderkey", f"Predicted_{target}")
+
+
+@query("m6_forest_of_told_classes", f"""select o_orderkey, {_SIZE_SQL} as "Predicted_size" from orders""")
+def _(spark, d):
+    rows = _told(spark, d)
+    return _said(models.fit(rows, "size", ["high"], "Random Forest", keys=_KEY), rows)
+
+
+@query("m6_forest_of_told_values", f"""select o_orderkey, {_COST_SQL} as "Predicted_cost" from orders""")
+def _(spark, d):
+    rows = _told(spark, d)
+    model = models.fit(rows, "cost", ["high"], "Random Forest", problem="regression", keys=_KEY)
+    return _rounded(_said(model, rows, "cost"), 6, "Predicted_cost")
+
+
+@query(
+    "m16_train_told",
+    """select * from (values ('accuracy', 1.0::double), ('cv_mean', 1.0), ('cv_std', 0.0)) t(metric, value)
+       where (select count(*) from orders) > 0""",
+)
+def _(spark, d):
+    _, scores, _ = models.train(_told(spark, d), "size", ["high"], "Decision Tree", _KEY, folds=5)
+    return spark.createDataFrame(
+        [(k, float(scores[k])) for k in ("accuracy", "cv_mean", "cv_std")], "metric string, value double"
+    )
+
+
+@query("m17_batch_predict_told", f"""select o_orderkey, {_SIZE_SQL} as "Predicted_size" from orders""")
+def _(spark, d):
+    rows = _told(spark, d)
+    model, _, _ = models.train(rows, "size", ["high"], "Random Forest", _KEY)
+    return _said(model, rows)
+
+
+@query(
+    "m22_cross_validation_told",
+    """select unnest(range(5))::int as fold, 1.0::double as score, 1.0::double as mean, 0.0::double as std,
+              1.0::double as min, 1.0::double as max, 0.0::double as stability_pct from (select count(*) from orders)""",
+)
+def _(spark, d):
+    scores = models.cross_validate(_told(spark, d), "size", ["high"], "Logistic Regression", _KEY, 5)
+    return models.fold_table(spark, scores)
+
+
+@query("m28_build_told", f"""select o_orderkey, {_SIZE_SQL} as "Predicted_size" from orders""")
+def _(spark, d):
+    rows = _told(spark, d)
+    model, _, _ = automl.build(rows, "size", ["high"], "Decision Tree", _KEY)
+    return _said(model, rows)
+
+
+@query(
+    "m29_search_told",
+    """select '{''max_depth'': ' || unnest([2, 4, 6]) || '}' as params, 1.0::double as cv_mean, 0.0::double as cv_std
+       from (select count(*) from orders)""",
+)
+def _(spark, d):
+    _, tried = automl.search(_told(spark, d), "size", ["high"], "Decision Tree", _KEY, {"max_depth": [2, 4, 6]}, folds=5)
+    return automl.search_table(spark, tried)
+
+
+@query(
+    "c1_kmeans_planted",
+    """select c_custkey, min(c_custkey) over (partition by c_custkey % 3) as first_of_cluster from customer""",
+)
+def _(spark, d):
+    # Three groups far from each other: balances differ by ten thousands only within a million.
+    rows = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") + F.col("c_custkey") % 3 * 1_000_000).alias("x"))
+    found = cluster.cluster(rows, ["x"], 3)
+    first = found.groupBy("Cluster").agg(F.min("c_custkey").alias("first_of_cluster"))
+    return found.join(F.broadcast(first), "Cluster").select("c_custkey", "first_of_cluster")
+
+
+@query("b4_bagging_told", f"""select o_orderkey, {_SIZE_SQL} as "Predicted_size" from orders""")
+def _(spark, d):
+    rows = _told(spark, d)
+    return _said(ensemble.bagging(rows, "size", ["high"], "Decision Tree", _KEY), rows)
+
+
+@query("b7_stacking_told", f"""select o_orderkey, {_SIZE_SQL} as "Predicted_size" from orders""")
+def _(spark, d):
+    rows = _told(spark, d)
+    stack, _ = ensemble.stacking(rows, "size", ["high"], _BASES, ("Logistic Regression", {}), _KEY)
+    return _said(stack, rows)
+
+
+@query("b8_out_of_fold_told", f"select o_orderkey, {_COST_SQL} as first, {_COST_SQL} as second from orders")
+def _(spark, d):
+    bases = [("Linear Regression", {}), ("Decision Tree", {"max_depth": 3})]
+    held = ensemble.out_of_fold(_told(spark, d), "cost", ["high"], bases, _KEY, problem="regression")
+    first, second = [c for c in held.columns if c.startswith("meta_")]
+    return held.select("o_orderkey", F.round(first, 4).alias("first"), F.round(second, 4).alias("second"))
