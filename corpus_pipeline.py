@@ -37,8 +37,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Add the ids of every text, their number, and the text that they decode to."""
-    encoded = pieces.encode(docs, queries.model_path())
-    encoded = pieces.decode(encoded, queries.model_path())
+    encoded = pieces.round_trip(docs, queries.model_path())
     return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
 
 

@@ -167,6 +167,27 @@ def test_pieces(docs, none):
     assert pieces.decode(pieces.encode(none, path), path).count() == 0
 
 
+def test_pieces_in_parts(spark):
+    """Encoding and decoding share a worker, and one large batch is not decoded at once."""
+    path = queries.model_path()
+    texts = [None, "", "the one " * 40, "é中 \n", "a" * 500, None, "of the " * 300, " x"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    trip = pieces.round_trip(df, path)
+    assert trip._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert [(list(r["ids"]), r["decoded"]) for r in trip.collect()] == [
+        (list(r["ids"]), r["decoded"]) for r in pieces.decode(pieces.encode(df, path), path).collect()
+    ]
+    ids = [None, *([r["ids"] for r in trip.collect()]), []]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32()))], ["ids"])
+    most, pieces.PART_IDS = pieces.PART_IDS, 100
+    try:
+        out = list(pieces.decode_batches([batch], path, "ids", "decoded"))
+    finally:
+        pieces.PART_IDS = most
+    assert len(out) > 3 and all(b.num_rows == 1 or sum(map(len, filter(None, b["ids"].to_pylist()))) <= 100 for b in out)
+    assert [t for b in out for t in b["decoded"].to_pylist()] == ["", *(t or "" for t in texts), ""]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text(alphabet="ab the\n\t\u2581é中😀\0<s>/0x41=", max_size=60), max_size=5))
 def test_pieces_equal_library(texts):

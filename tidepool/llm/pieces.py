@@ -25,6 +25,8 @@ MARK = 0x2581  # the space mark
 MEMORY = 300_000
 # Words of more symbols are merged with their pairs waiting by rank.
 LONG = 2048
+# Text encoded at a time, in bytes, and ids decoded at a time: a task needs some tens of megabytes.
+PART_BYTES, PART_IDS = 1 << 20, 1 << 18
 _NONE = np.int64(1) << 40
 
 
@@ -282,21 +284,26 @@ def _framed(m: Model, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray,
 
 
 def encode_batches(batches: Iterable[pa.RecordBatch], path: str, text: str, ids: str) -> Iterator[pa.RecordBatch]:
-    """Batches with a column of ids, in parts of a few megabytes of text."""
+    """Batches with a column of ids, in parts of a megabyte of text."""
     m = model(path)
-    for part in W.parts(batches, text):
+    for part in W.parts(batches, text, PART_BYTES):
         out, n = _framed(m, *m.encode(part.column(part.schema.get_field_index(text))))
         yield W.with_column(part, ids, W.lists_of(pa.array(out.astype(np.int32)), n))
 
 
 def decode_batches(batches: Iterable[pa.RecordBatch], path: str, ids: str, text: str) -> Iterator[pa.RecordBatch]:
-    """Batches with a column of the texts of lists of ids."""
+    """Batches with a column of the texts of lists of ids, in parts of so many ids, or of one row."""
     m = model(path)
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(ids))
-        counts = np.asarray(column.value_lengths().fill_null(0), np.int64)
-        flat = np.asarray(column.flatten().fill_null(0), np.int64)
-        yield W.with_column(batch, text, W.texts_of(*m.decode(flat, counts)))
+        counts = np.asarray(batch.column(batch.schema.get_field_index(ids)).value_lengths().fill_null(0), np.int64)
+        at = W.bounds(counts)
+        lo = 0
+        while lo < len(counts):
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + PART_IDS, side="right")) - 1)
+            part = batch.slice(lo, hi - lo)
+            flat = np.asarray(part.column(part.schema.get_field_index(ids)).flatten().fill_null(0), np.int64)
+            yield W.with_column(part, text, W.texts_of(*m.decode(flat, counts[lo:hi])))
+            lo = hi
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -318,3 +325,9 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     """
     schema = W.with_field(df.schema, text, T.StringType())
     return df.mapInArrow(lambda batches: decode_batches(batches, path, ids, text), schema)
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one worker, which holds one model and one part at a time."""
+    schema = W.with_field(W.with_field(df.schema, ids, T.ArrayType(T.IntegerType())), decoded, T.StringType())
+    return df.mapInArrow(lambda batches: decode_batches(encode_batches(batches, path, text, ids), path, ids, decoded), schema)
