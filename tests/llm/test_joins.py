@@ -9,10 +9,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidepool.llm import hard_negatives, jaccard_join, meetings, phrases
+from tidepool.llm import hard_negatives, jaccard_join, meetings, order_minhash, phrases
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -249,3 +250,69 @@ def test_chosen_prefixes_cover_what_is_required():
     l, length = jaccard_join.chosen(n, start, count, 85)
     required = -(-85 * n // 100)
     assert (l >= 1).all() and (l <= required).all() and (length == n - required + l).all() and (l > 1).any()
+
+
+def test_pairs_apart_in_their_words_are_not_aligned(spark, monkeypatch):
+    """Texts of a common passage whose own words come in even numbers: the parity of words alone tells nothing."""
+    asked = []
+    verified = order_minhash._verified
+
+    def counted(pairs, texts, least):
+        pairs = pairs.localCheckpoint()
+        asked.append(pairs.count())
+        return verified(pairs, texts, least)
+
+    monkeypatch.setattr(order_minhash, "_verified", counted)
+    passage = " ".join(f"w{i}" for i in range(40))
+    docs = [(i, f"{passage} " + f"own{i} " * 60) for i in range(40)]
+    near = " ".join(f"v{i}" for i in range(60))
+    docs += [(40, near), (41, near.replace("v7 ", "x ").replace("v30 ", "y "))]
+    df = spark.createDataFrame(docs, "key long, text string")
+    found = [tuple(r) for r in order_minhash.links(df, 0.8).collect()]
+    assert found == [(41, 40)] and sum(asked) < 200
+
+
+def test_a_pair_of_many_buckets_is_made_once(spark):
+    rng = np.random.default_rng(3)
+    n, buckets = 30, 12
+    rows = [(b, k) for b in range(buckets) for k in range(n) if rng.random() < 0.7]
+    of = {k: [b for b, x in rows if x == k] for k in range(n)}
+    bits = meetings.parities(np.repeat(np.arange(n), 5), np.tile(np.arange(5, dtype=np.uint64), n), n).to_pylist()
+    made = {True: [], False: []}
+    for b in range(buckets):
+        keys = [k for x, k in rows if x == b]
+        cell = {
+            "key": keys, "n": [5] * len(keys), "place": [0] * len(keys), "class": keys, "side": [0] * len(keys),
+            "bits": [bits[k] for k in keys], "bucket": [b] * len(keys),
+        }
+        for once in made:
+            more = {"buckets": [rng.permutation(of[k]).tolist() for k in keys]} if once else {}
+            out = meetings._pairs(pa.table(cell | more), lambda n, m, i, j: n == m, lambda n, m: 0 * n, False)
+            made[once] += zip(out["key"].to_pylist(), out["rep"].to_pylist())
+    assert len(made[True]) == len(set(made[True])) < len(made[False]) and set(made[True]) == set(made[False])
+
+
+def test_parities_of_all_sizes():
+    rng = np.random.default_rng(4)
+    size = np.array([0, 3, 300, 1, 700, 5000, 1500, 0, 9000])
+    of, x = np.repeat(np.arange(len(size)), size), rng.integers(0, 2**63, size.sum()).astype(np.uint64)
+    for i, b in enumerate(meetings.parities(of, x, len(size)).to_pylist()):
+        wide = len(b) * 8
+        cell = np.bincount((x[of == i] % wide).astype(int), minlength=wide) & 1
+        assert np.array_equal(np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little"), cell)
+        assert wide == min(max(1024, 1 << int(4 * size[i] - 1).bit_length()), 16384)
+
+
+@pytest.mark.parametrize("at_a_time", [1 << 19, 20])
+def test_components_equal_brute_force(spark, monkeypatch, at_a_time):
+    monkeypatch.setattr(meetings, "EDGES", at_a_time)
+    rng = np.random.default_rng(6)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 150, (90, 2))] + [(200 + i, 201 + i) for i in range(40)] + [(5, 5)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    rows = meetings.components(df).collect()
+    assert len(rows) == len({r["node"] for r in rows})
+    assert {r["node"]: r["root"] for r in rows} == {k: v for k, v in root.items() if k != v}

@@ -232,7 +232,9 @@ def _links(blocks: DataFrame, size: int, percent: int, words: int) -> DataFrame:
     prefixes = storage.written(blocks.hint("merge").join(codes, "block").mapInArrow(cut, schema))
     token = prefixes.select("key", "n", "block", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
     token = token.select(F.col("t.tokens").alias("bucket"), F.col("t.places").alias("place"), "key", "n", "block")
+    storage.forget(prefixes)
     members = storage.written(token.join(meetings.without_copies(token), "bucket"))
+    storage.forget(members)
     wanted = members.groupBy("block").agg(F.collect_set("key").alias("wanted"))
     sets = blocks.hint("merge").join(wanted, "block").mapInArrow(functools.partial(_sets, size=size), "key long, shingles binary")
     sets = storage.written(sets)

@@ -20,7 +20,7 @@ for each pair.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,33 +30,33 @@ from pyspark.sql import functions as F
 from tidepool.llm import storage
 from tidepool.llm import words as W
 
-# Bits of the parity of an item of few elements, and of one with more than LARGE.
-SMALL_BITS, LARGE_BITS, LARGE = 1024, 16384, 1500
+# Least and most bits of the parity of an item, a power of two near SPREAD times its elements.
+SMALL_BITS, LARGE_BITS, SPREAD = 1024, 16384, 4
 # Members of a block of a bucket.
 BLOCK = 1024
-# Rounds go on while one check in so many links.
-WORTH = 4
+# Edges joined in a task at a time.
+EDGES = 1 << 19
+# Rounds go on while one check in so many links, and those of nearest items while one in NEAREST does.
+WORTH, NEAREST = 4, 2
 
 
 def parities(of: np.ndarray, x: np.ndarray, n: int) -> pa.Array:
     """For each of ``n`` items the parity of its elements' hashes; ``of`` tells the item of each element, in order."""
     size = np.bincount(of, minlength=n)
-    edge = W.bounds(size)
-    out: list[bytes] = []
-    step = 512
-    for lo in range(0, n, step):
-        some = slice(edge[lo], edge[min(lo + step, n)])
-        items = np.arange(lo, min(lo + step, n))
-        low = (x[some] & W.U(SMALL_BITS - 1)).astype(np.int64)
-        cell = np.bincount((of[some] - lo) * SMALL_BITS + low, minlength=len(items) * SMALL_BITS) & 1
-        small = np.packbits(cell.astype(np.uint8).reshape(-1, SMALL_BITS), axis=1, bitorder="little")
-        for i in items.tolist():
-            if size[i] <= LARGE:
-                out.append(small[i - lo].tobytes())
-            else:
-                own = (x[edge[i] : edge[i + 1]] & W.U(LARGE_BITS - 1)).astype(np.int64)
-                odd = (np.bincount(own, minlength=LARGE_BITS) & 1).astype(np.uint8)
-                out.append(np.packbits(odd, bitorder="little").tobytes())
+    edge = W.bounds(size)[:-1]
+    bits = np.clip(2 ** np.ceil(np.log2(np.maximum(SPREAD * size, 1))), SMALL_BITS, LARGE_BITS).astype(np.int64)
+    out = np.empty(n, object)
+    for wide in np.unique(bits).tolist():
+        items = np.flatnonzero(bits == wide)
+        step = (512 * SMALL_BITS) // wide
+        for lo in range(0, len(items), step):
+            some = items[lo : lo + step]
+            low = (x[W.spread(edge[some], size[some])] & W.U(wide - 1)).astype(np.int64)
+            cell = np.repeat(np.arange(len(some)) * wide, size[some]) + low
+            odd = np.bincount(cell, minlength=len(some) * wide) & 1
+            packed = np.packbits(odd.astype(np.uint8).reshape(-1, wide), axis=1, bitorder="little")
+            for i, own in zip(some.tolist(), packed):
+                out[i] = own.tobytes()
     return pa.array(out, pa.binary())
 
 
@@ -64,16 +64,58 @@ Most = Callable[[np.ndarray, np.ndarray], np.ndarray]
 Near = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
+def _folded(whole: list[np.ndarray], wide: int) -> np.ndarray:
+    """Parities as rows of ``wide`` bits; narrower ones become rows of zeros."""
+    words = wide // 64
+    none = np.zeros(words, W.U)
+    return np.stack([np.bitwise_xor.reduce(b.reshape(-1, words), axis=0) if len(b) >= words else none for b in whole])
+
+
+def _earlier(cell: pa.Table) -> np.ndarray | None:
+    """For each row of a cell a set, as bits, of its item's buckets before this one; those of one row are left out."""
+    if "buckets" not in cell.column_names:
+        return None
+    lists = cell["buckets"].combine_chunks()
+    value, row = np.asarray(lists.flatten()), np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+    row, value = row[value < cell["bucket"][0].as_py()], value[value < cell["bucket"][0].as_py()]
+    _, bit, count = np.unique(value, return_inverse=True, return_counts=True)
+    shared = count > 1
+    row, bit = row[shared[bit]], (np.cumsum(shared) - 1)[bit[shared[bit]]]
+    out = np.zeros((len(lists), -(-int(shared.sum()) // 64)), W.U)
+    np.bitwise_or.at(out, (row, bit >> 6), W.U(1) << (bit & 63).astype(W.U))
+    return out
+
+
+def _met(before: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether the items p and q have an earlier bucket in common, too."""
+    out = np.zeros(len(p), bool)
+    step = max(1, (1 << 20) // max(1, before.shape[1]))
+    for lo in range(0, len(p), step):
+        out[lo : lo + step] = (before[p[lo : lo + step]] & before[q[lo : lo + step]]).any(axis=1)
+    return out
+
+
+def _nearest(p: np.ndarray, q: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Which pairs are the best of one of their items."""
+    chosen = np.zeros(len(p), bool)
+    for side in (p, q):
+        order = np.lexsort((apart, side))
+        chosen[order[np.flatnonzero(np.diff(side[order], prepend=-1))]] = True
+    return chosen
+
+
 def _pairs(cell: pa.Table, near: Near, most: Most, nearest: bool) -> pa.Table:
     """Pairs of a cell that differ in component and may be similar, with their distance by parity.
 
     Those of side 0 with side 1 if it has two; with ``nearest`` only the best pair of each item.
+    Pairs that meet in an earlier bucket are left to it, if the rows tell these.
     """
     key, n, place, of, side = (np.asarray(cell[c].combine_chunks()) for c in ("key", "n", "place", "class", "side"))
     whole = [np.frombuffer(b, W.U) for b in cell["bits"].to_pylist()]
-    words = SMALL_BITS // 64
-    small = np.stack([np.bitwise_xor.reduce(b.reshape(-1, words), axis=0) for b in whole])
-    large = np.array([len(b) > words for b in whole])
+    width = np.array([len(b) * 64 for b in whole])
+    small = _folded(whole, SMALL_BITS)
+    folded: dict[int, np.ndarray] = {}
+    before = _earlier(cell)
     two = side.any()
     left = np.flatnonzero(side == 0)
     right = np.flatnonzero(side == 1) if two else left
@@ -89,27 +131,37 @@ def _pairs(cell: pa.Table, near: Near, most: Most, nearest: bool) -> pa.Table:
             p, q = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
             limit = most(n[p], n[q])
             apart = np.bitwise_count(small[p] ^ small[q]).sum(axis=1, dtype=np.int64)
-            for k in np.flatnonzero((apart <= limit) & large[p] & large[q]).tolist():
-                apart[k] = int(np.bitwise_count(whole[p[k]] ^ whole[q[k]]).sum())
-            keep = apart <= limit
+            both = np.where(apart <= limit, np.minimum(width[p], width[q]), 0)
+            for wide in np.unique(both[both > SMALL_BITS]).tolist():
+                if wide not in folded:
+                    folded[wide] = _folded(whole, wide)
+                rows, some = folded[wide], np.flatnonzero(both == wide)
+                for k in range(0, len(some), 4096):
+                    few = some[k : k + 4096]
+                    apart[few] = np.bitwise_count(rows[p[few]] ^ rows[q[few]]).sum(axis=1, dtype=np.int64)
+            keep = np.flatnonzero(apart <= limit)
+            if before is not None:
+                keep = keep[~_met(before, p[keep], q[keep])]
             p, q, apart = p[keep], q[keep], apart[keep]
             if nearest and len(p):
-                chosen = np.zeros(len(p), bool)
-                for side_ in (p, q):
-                    order = np.lexsort((apart, side_))
-                    chosen[order[np.flatnonzero(np.diff(side_[order], prepend=-1))]] = True
+                chosen = _nearest(p, q, apart)
                 p, q, apart = p[chosen], q[chosen], apart[chosen]
             out.append((p, q, apart))
     a, b, apart = (np.concatenate([o[k] for o in out]) for k in range(3))
+    if nearest and len(a):
+        chosen = _nearest(a, b, apart)
+        a, b, apart = a[chosen], b[chosen], apart[chosen]
     return pa.table({"key": np.maximum(key[a], key[b]), "rep": np.minimum(key[a], key[b]), "apart": apart})
 
 
 def rest(
-    members: DataFrame, marks: DataFrame, percent: int, near: Near, most: Most, nearest: bool = False
+    members: DataFrame, marks: DataFrame, percent: int, near: Near, most: Most, nearest: bool = False, once: bool = False
 ) -> tuple[DataFrame, list[DataFrame]]:
     """(key, rep): the pairs of a bucket in different components that may be similar; and the tables behind them.
 
-    With ``nearest``, one pair for each item that has any: that of least distance by parity.
+    With ``nearest``, one pair for each item that has any: that of least distance by parity. With ``once``, a
+    pair is made only in the least bucket that has both; each row then takes along its item's other buckets, so
+    there should be few.
 
     members: (bucket, key, n, place, class); marks: (key, bits). Sizes of similar
     items are within ``percent`` of each other. A bucket is cut into blocks; a
@@ -135,7 +187,9 @@ def rest(
     dealt = cells.select("bucket", F.col("block_a").alias("block"), "cell", F.lit(0).alias("side")).unionByName(
         cells.where("block_a <> block_b").select("bucket", F.col("block_b").alias("block"), "cell", F.lit(1).alias("side"))
     )
-    met = rows.join(dealt, ["bucket", "block"]).select("cell", "side", "key", "n", "place", "class")
+    met = rows.join(dealt, ["bucket", "block"]).select("cell", "bucket", "side", "key", "n", "place", "class")
+    if once:
+        marks = marks.join(members.groupBy("key").agg(F.collect_list("bucket").alias("buckets")), "key")
     met = met.join(marks, "key")
 
     def pairs(cell: pa.Table) -> pa.Table:
@@ -150,13 +204,15 @@ def rest(
 
 
 def linked(
-    members: DataFrame, marks: DataFrame, check: Callable[[DataFrame], DataFrame], percent: int, near: Near, most: Most
+    members: DataFrame, marks: DataFrame, check: Callable[[DataFrame], DataFrame], percent: int, near: Near, most: Most,
+    once: bool = False,
 ) -> DataFrame:
     """(key, rep): links that were checked, enough of them to connect each component.
 
     members: (bucket, key, n, place, weight), several to a bucket; marks: (key,
     bits), see ``parities``. ``check`` takes pairs (key, rep) and returns a
     written table (key, rep, similar), which may lack pairs that cannot be.
+    ``once`` as for ``rest``.
     """
     checked = found = roots = None
     number, before = 0, []
@@ -177,6 +233,7 @@ def linked(
         if checked is not None:
             asks = asks.join(checked.select("key", "rep"), ["key", "rep"], "left_anti")
         done = check(asks)
+        storage.forget(done)
         asked, good = done.agg(F.count(F.lit(1)), F.count_if("similar")).first()
         checked = done if checked is None else checked.unionByName(done)
         found = checked.where("similar").select("key", "rep")
@@ -197,39 +254,74 @@ def linked(
         storage.discard(*before)
         before = [now]
         both = checked.select(F.greatest("key", "rep").alias("key"), F.least("key", "rep").alias("rep")).distinct()
-        pairs, tables = rest(now, marks, percent, near, most, nearest=True)
+        pairs, tables = rest(now, marks, percent, near, most, nearest=True, once=once)
         done = check(pairs.join(both, ["key", "rep"], "left_anti"))
+        del pairs
         storage.discard(*tables)
+        storage.forget(done)
         asked, good = done.agg(F.count(F.lit(1)), F.count_if("similar")).first()
         checked = checked.unionByName(done)
         found = checked.where("similar").select("key", "rep")
         if good:
             known = components(found.select(F.col("key").alias("a"), F.col("rep").alias("b")))
             roots = storage.written(known.withColumnRenamed("node", "key"))
-        if good * WORTH < asked or not asked:
+        if good * NEAREST < asked or not asked:
             break
     if good:
         now = now.drop("class").join(roots, "key", "left").withColumn("class", F.coalesce("root", "key")).drop("root")
     both = checked.select(F.greatest("key", "rep").alias("key"), F.least("key", "rep").alias("rep")).distinct()
-    pairs, tables = rest(now, marks, percent, near, most)
+    pairs, tables = rest(now, marks, percent, near, most, once=once)
     more = check(pairs.join(both, ["key", "rep"], "left_anti"))
     storage.discard(*tables, *before)
     return found.unionByName(more.where("similar").select("key", "rep"))
 
 
+def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): each node of some edges at a time, and the least of its component among them."""
+
+    def star(edges: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ends = [np.concatenate([np.asarray(e.column(i)) for e in edges]) for i in range(2)]
+        node, at = np.unique(np.concatenate(ends), return_inverse=True)
+        a, b = np.split(at, 2)
+        least = np.arange(len(node))
+        while (least[a] != least[b]).any():
+            np.minimum.at(least, np.maximum(least[a], least[b]), np.minimum(least[a], least[b]))
+            while (least[least] != least).any():
+                least = least[least]
+        own = np.flatnonzero(least != np.arange(len(node)))
+        return pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[least[own]])], ["a", "b"])
+
+    waiting, rows = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        rows += batch.num_rows
+        if rows >= EDGES:
+            yield star(waiting)
+            waiting, rows = [], 0
+    if waiting:
+        yield star(waiting)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each component of undirected edges (a, b).
 
-    Alternates stars of larger and of smaller neighbours; each round is written
-    to the shared folder, and only a count and a checksum reach the driver.
+    Tasks of at most EDGES edges first join those that they read. Unless one
+    task held them all, stars of larger and of smaller neighbours then alternate
+    until each node has one edge, to a node that has none to a smaller one; each
+    round is written to the shared folder, and only a count reaches the driver.
     """
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def unfinished(e: DataFrame) -> bool:
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            e.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+        )
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return ends.where("up + down > 1 and up > 0").count() > 0
 
-    now = storage.written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before, after = None, state(now)
-    while before != after:
+    now = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
+    tasks = -(-now.count() // EDGES)
+    now = storage.written(now.coalesce(max(tasks, 1)).mapInArrow(_stars, "a long, b long"))
+    while tasks > 1 and unfinished(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -240,8 +332,7 @@ def components(edges: DataFrame) -> DataFrame:
         )
         old, now = now, storage.written(small.where("a <> b").distinct())
         storage.discard(old, large)
-        before, after = after, state(now)
-    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def without_copies(postings: DataFrame) -> DataFrame:

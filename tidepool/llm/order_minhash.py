@@ -242,8 +242,11 @@ def _near(least: float, n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarr
 
 
 def _apart(least: float, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """The most words that only one of two similar texts has: an edit takes one and adds one."""
-    return 2 * _most(least, n, m)
+    """The most words that only one of two similar texts has, each as often as it has more of it.
+
+    Neither text has more such words than edits, and the longer one has as many more as it is longer.
+    """
+    return 2 * _most(least, n, m) - np.abs(n - m)
 
 
 def links(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -265,7 +268,8 @@ def links(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
             has, count = np.unique(text, return_counts=True)
             data, offsets = W.flat(column)
             words = W.split(data, offsets, W.NOT_SPACE)
-            bits = meetings.parities(words.text, W.hashes(data, words.start, words.end), len(keys))
+            h = W.hashes(data, words.start, words.end)
+            bits = meetings.parities(words.text, _labelled(h, words.text), len(keys))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[has]), pa.array(words.count[has]), bits.take(pa.array(has)), W.lists_of(pa.array(found.view(np.int64)), count)],
                 ["key", "n", "bits", "sketch"],
@@ -273,8 +277,10 @@ def links(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
 
     sketched = docs.select("key", "text").mapInArrow(sketch, "key long, n long, bits binary, sketch array<long>")
     sketched = storage.written(sketched.dropDuplicates(["key"]))
+    storage.forget(sketched)
     placed = sketched.select("key", "n", F.explode("sketch").alias("bucket"), F.lit(0).alias("place"))
     members = storage.written(placed.join(meetings.without_copies(placed), "bucket"))
+    storage.forget(members)
     texts = docs.groupBy("key").agg(F.first("text").alias("text"))
     texts = storage.written(texts.join(members.select("key").distinct(), "key", "left_semi"))
     sizes = sketched.select("key", (F.col("n") * 6).alias("size"))
@@ -284,7 +290,7 @@ def links(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
 
     found = meetings.linked(
         members, sketched.select("key", "bits"), check, int(100 * least),
-        functools.partial(_near, least), functools.partial(_apart, least),
+        functools.partial(_near, least), functools.partial(_apart, least), once=True,
     )
     found = found.select(F.greatest("key", "rep").alias("key"), F.least("key", "rep").alias("rep"))
     found = storage.written(found.distinct())

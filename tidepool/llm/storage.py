@@ -34,3 +34,8 @@ def discard(*tables: DataFrame) -> None:
         context = table.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(table._written_to)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Let Spark delete shuffle files of finished writes now: it does when the driver's memory is next collected."""
+    df.sparkSession.sparkContext._jvm.System.gc()
