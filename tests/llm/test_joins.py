@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidepool.llm import hard_negatives, jaccard_join, meetings, order_minhash, phrases
+from tidepool.llm import hard_negatives, jaccard_join, meetings, order_minhash, phrases, storage
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -316,3 +316,72 @@ def test_components_equal_brute_force(spark, monkeypatch, at_a_time):
     rows = meetings.components(df).collect()
     assert len(rows) == len({r["node"] for r in rows})
     assert {r["node"]: r["root"] for r in rows} == {k: v for k, v in root.items() if k != v}
+
+
+def test_buckets_are_compared_once(spark, monkeypatch):
+    """Rounds of nearest items use the pairs of the first comparison again; only buckets of too many pairs come back."""
+    passes, rest = [], meetings.rest
+
+    def counted(members, *args, **kw):
+        passes.append(members.select("bucket").distinct().count())
+        return rest(members, *args, **kw)
+
+    monkeypatch.setattr(meetings, "rest", counted)
+    buckets, n = 40, 6
+    rows = [(b, b * n + i, 10 + i, 0, 1) for b in range(buckets) for i in range(n)]  # in each bucket a chain of sizes
+    members = spark.createDataFrame(rows, "bucket long, key long, n long, place int, weight long")
+    even = meetings.parities(np.zeros(0, np.int64), np.zeros(0, np.uint64), buckets * n).to_pylist()
+    marks = spark.createDataFrame([(k, b) for k, b in enumerate(even)], "key long, bits binary")
+
+    def check(pairs):
+        close = F.abs(F.col("key") - F.col("rep")) == 1
+        return storage.written(pairs.select("key", "rep", close.alias("similar")))
+
+    found = meetings.linked(members, marks, check, 80, lambda a, b, i, j: np.abs(a - b) <= 3, lambda a, b: 0 * a)
+    pairs = {tuple(sorted(r)) for r in found.collect()}
+    assert pairs == {(b * n + i, b * n + i + 1) for b in range(buckets) for i in range(n - 1)}
+    assert len(passes) == 1 and passes[0] <= buckets
+
+
+@pytest.mark.parametrize("few", [1, 8])
+def test_blocks_of_too_many_pairs_lose_none(spark, monkeypatch, few):
+    monkeypatch.setattr(meetings, "FEW", few)
+    monkeypatch.setattr(meetings, "PACK", 4)
+    rng = np.random.default_rng(8)
+    n = 60
+    rows = [(b, k, 50 + k % 9, 0, 1) for b in range(5) for k in range(n) if rng.random() < 0.6]
+    members = spark.createDataFrame(rows, "bucket long, key long, n long, place int, weight long")
+    even = meetings.parities(np.zeros(0, np.int64), np.zeros(0, np.uint64), n).to_pylist()
+    marks = spark.createDataFrame([(k, b) for k, b in enumerate(even)], "key long, bits binary")
+    linked = {tuple(sorted(p)) for p in rng.integers(0, n, (40, 2)).tolist()}
+    listed = spark.createDataFrame([(b, a) for a, b in linked], "key long, rep long").withColumn("similar", F.lit(True))
+
+    def check(pairs):
+        pairs = pairs.select(F.greatest("key", "rep").alias("key"), F.least("key", "rep").alias("rep"))
+        return storage.written(pairs.join(listed, ["key", "rep"], "left").fillna(False))
+
+    found = meetings.linked(members, marks, check, 80, lambda a, b, i, j: a > 0, lambda a, b: 0 * a, once=True)
+    of = {k: {b for b, x, *_ in rows if x == k} for k in range(n)}
+    meet = {(a, b) for a, b in linked if a != b and of[a] & of[b]}
+    assert {tuple(sorted(r)) for r in found.collect()} <= meet
+
+    def roots(pairs):
+        root = {k: k for k in range(n)}
+        for _ in root:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert roots(meet) == roots({tuple(sorted(r)) for r in found.collect()})
+
+
+def test_only_rows_near_in_size_to_another_class_are_compared(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(b), k, int(n), 0, k % 3) for k, (b, n) in enumerate(zip(rng.integers(0, 60, 200), rng.integers(0, 400, 200)))]
+    kept = meetings._mixed(spark.createDataFrame(rows, "bucket long, key long, n long, place int, class long"), 80)
+    kept = {r["key"] for r in kept.collect()}
+    near = {
+        k for b, k, n, _, c in rows for b2, _, m, _, c2 in rows
+        if b == b2 and c != c2 and abs(n - m) <= order_minhash._most(0.8, np.int64(n), np.int64(m))
+    }
+    assert near <= kept and len(kept) < len(rows)

@@ -9,10 +9,13 @@ similar. Comparing all pairs of a bucket costs the square of its size, so:
   of thousands of near copies is done in a few rounds.
 - When few of the checks link, all pairs of a bucket that are still in different
   components are looked at, by numbers alone: sizes, places, and the parity of
-  the elements by hash, whose distance is at most that of the elements. First
-  each item is checked with the nearest of the others by parity, again while
-  that links many, so components at least halve. Then all pairs that could be
-  similar and are still in different components are checked. None is left out.
+  the elements by hash, whose distance is at most that of the elements. This is
+  done once; only the pairs that could be similar are kept, and a block of a
+  bucket that has more than FEW of them for each row gives the nearest ones and
+  is looked at again later. If the pairs are many, each item is checked with the
+  nearest of the others first, again while that links many, so components at
+  least halve. Then all that are left between components are checked. None is
+  left out.
 
 Only keys and numbers are moved here; the check brings in texts or sets, once
 for each pair.
@@ -20,6 +23,7 @@ for each pair.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -32,8 +36,12 @@ from tidepool.llm import words as W
 
 # Least and most bits of the parity of an item, a power of two near SPREAD times its elements.
 SMALL_BITS, LARGE_BITS, SPREAD = 1024, 16384, 4
-# Members of a block of a bucket.
-BLOCK = 1024
+# Members of a block of a bucket; buckets of at most PACK members are compared many at a time, about PACKED rows.
+BLOCK, PACK, PACKED = 1024, 32, 512
+# Pairs for each row of a block that are kept at once.
+FEW = 8
+# Bands of sizes that similar items are at most apart.
+BANDS = 2
 # Edges joined in a task at a time.
 EDGES = 1 << 19
 # Rounds go on while one check in so many links, and those of nearest items while one in NEAREST does.
@@ -72,12 +80,13 @@ def _folded(whole: list[np.ndarray], wide: int) -> np.ndarray:
 
 
 def _earlier(cell: pa.Table) -> np.ndarray | None:
-    """For each row of a cell a set, as bits, of its item's buckets before this one; those of one row are left out."""
+    """For each row of a cell a set, as bits, of its item's buckets before its own; those of one row are left out."""
     if "buckets" not in cell.column_names:
         return None
-    lists = cell["buckets"].combine_chunks()
+    lists, own = cell["buckets"].combine_chunks(), np.asarray(cell["bucket"].combine_chunks())
     value, row = np.asarray(lists.flatten()), np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
-    row, value = row[value < cell["bucket"][0].as_py()], value[value < cell["bucket"][0].as_py()]
+    first = value < own[row]
+    row, value = row[first], value[first]
     _, bit, count = np.unique(value, return_inverse=True, return_counts=True)
     shared = count > 1
     row, bit = row[shared[bit]], (np.cumsum(shared) - 1)[bit[shared[bit]]]
@@ -104,13 +113,16 @@ def _nearest(p: np.ndarray, q: np.ndarray, apart: np.ndarray) -> np.ndarray:
     return chosen
 
 
-def _pairs(cell: pa.Table, near: Near, most: Most, nearest: bool) -> pa.Table:
-    """Pairs of a cell that differ in component and may be similar, with their distance by parity.
+def _pairs(cell: pa.Table, near: Near, most: Most, few: int) -> pa.Table:
+    """Pairs of a bucket that differ in component and may be similar, with their distance by parity.
 
-    Those of side 0 with side 1 if it has two; with ``nearest`` only the best pair of each item.
-    Pairs that meet in an earlier bucket are left to it, if the rows tell these.
+    Those of side 0 with side 1 if the cell has two. Pairs that meet in an earlier bucket are left to it, if the
+    rows tell these. If there are more than ``few`` for each row, only the best pair of each item, with the bucket,
+    as the sign that there are more; the cell has one bucket then. With 0 or if it has several, all pairs.
     """
-    key, n, place, of, side = (np.asarray(cell[c].combine_chunks()) for c in ("key", "n", "place", "class", "side"))
+    names = ("key", "n", "place", "class", "side", "bucket")
+    key, n, place, of, side, bucket = (np.asarray(cell[c].combine_chunks()) for c in names)
+    several = (bucket != bucket[0]).any()
     whole = [np.frombuffer(b, W.U) for b in cell["bits"].to_pylist()]
     width = np.array([len(b) * 64 for b in whole])
     small = _folded(whole, SMALL_BITS)
@@ -125,6 +137,8 @@ def _pairs(cell: pa.Table, near: Near, most: Most, nearest: bool) -> pa.Table:
         ok = (of[i] != of[j]) & near(n[i], n[j], place[i], place[j])
         if not two:
             ok &= i < j
+        if several:
+            ok &= bucket[i] == bucket[j]
         a, b = np.nonzero(ok)
         a, b = i[a, 0], j[0, b]
         for at in range(0, len(a), 1 << 16):
@@ -137,45 +151,64 @@ def _pairs(cell: pa.Table, near: Near, most: Most, nearest: bool) -> pa.Table:
                     folded[wide] = _folded(whole, wide)
                 rows, some = folded[wide], np.flatnonzero(both == wide)
                 for k in range(0, len(some), 4096):
-                    few = some[k : k + 4096]
-                    apart[few] = np.bitwise_count(rows[p[few]] ^ rows[q[few]]).sum(axis=1, dtype=np.int64)
+                    at_once = some[k : k + 4096]
+                    apart[at_once] = np.bitwise_count(rows[p[at_once]] ^ rows[q[at_once]]).sum(axis=1, dtype=np.int64)
             keep = np.flatnonzero(apart <= limit)
             if before is not None:
                 keep = keep[~_met(before, p[keep], q[keep])]
-            p, q, apart = p[keep], q[keep], apart[keep]
-            if nearest and len(p):
-                chosen = _nearest(p, q, apart)
-                p, q, apart = p[chosen], q[chosen], apart[chosen]
-            out.append((p, q, apart))
+            out.append((p[keep], q[keep], apart[keep]))
     a, b, apart = (np.concatenate([o[k] for o in out]) for k in range(3))
-    if nearest and len(a):
+    more = bool(few) and not several and len(a) > few * len(key)
+    if more:
         chosen = _nearest(a, b, apart)
         a, b, apart = a[chosen], b[chosen], apart[chosen]
-    return pa.table({"key": np.maximum(key[a], key[b]), "rep": np.minimum(key[a], key[b]), "apart": apart})
+    sign = pa.array(bucket[a]) if more else pa.nulls(len(a), pa.int64())
+    return pa.table({"key": np.maximum(key[a], key[b]), "rep": np.minimum(key[a], key[b]), "apart": apart, "more": sign})
+
+
+def _mixed(members: DataFrame, percent: int) -> DataFrame:
+    """The rows of (bucket, key, n, place, class) whose bucket has another class that is near in size.
+
+    Sizes within ``percent`` of each other are at most BANDS bands apart. Only one row for each band of a
+    bucket and its neighbours is dealt, so a large bucket is counted in many tasks.
+    """
+    wide = math.log(100 / percent) / BANDS * (1 + 1e-9)
+    members = members.withColumn("band", F.floor(F.log(F.greatest("n", F.lit(1))) / wide).cast("int"))
+    bands = members.groupBy("bucket", "band").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    around = F.explode(F.sequence(F.col("band") - BANDS, F.col("band") + BANDS)).alias("band")
+    near = bands.select("bucket", around, "low", "high").groupBy("bucket", "band")
+    near = near.agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
+    return members.join(near.select("bucket", "band"), ["bucket", "band"], "left_semi").drop("band")
 
 
 def rest(
-    members: DataFrame, marks: DataFrame, percent: int, near: Near, most: Most, nearest: bool = False, once: bool = False
+    members: DataFrame, marks: DataFrame, percent: int, near: Near, most: Most, few: int = 0, once: bool = False
 ) -> tuple[DataFrame, list[DataFrame]]:
-    """(key, rep): the pairs of a bucket in different components that may be similar; and the tables behind them.
+    """(key, rep, apart, more): pairs of a bucket in different components that may be similar; and the tables behind them.
 
-    With ``nearest``, one pair for each item that has any: that of least distance by parity. With ``once``, a
-    pair is made only in the least bucket that has both; each row then takes along its item's other buckets, so
-    there should be few.
+    All pairs; with ``few``, a block of a bucket that has more than so many for each row gives the nearest of each
+    item only, and ``more`` is its bucket. ``apart`` is the distance by parity. With ``once``, a pair is made only in
+    the least bucket that has both; each row then takes along its item's other buckets, so there should be few.
 
     members: (bucket, key, n, place, class); marks: (key, bits). Sizes of similar
-    items are within ``percent`` of each other. A bucket is cut into blocks; a
-    component larger than a block has blocks of its own, which do not meet each
-    other.
+    items are within ``percent`` of each other. Buckets of at most PACK members are
+    compared whole, many in one cell. Others are cut into blocks; a component larger
+    than a block has blocks of its own, which do not meet each other.
     """
     total = members.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("m"))
     total = storage.written(total.withColumn("own", F.when(F.col("m") > BLOCK, F.col("class"))))
-    small = total.where("own is null").groupBy("bucket").agg(F.sum("m").alias("rest"))
     tables = [total]
-    total = total.join(small, "bucket", "left")
+    whole = total.groupBy("bucket").agg(
+        F.sum("m").alias("all"), F.sum(F.when(F.col("own").isNull(), F.col("m")).otherwise(0)).alias("rest")
+    )
+    small = whole.where(F.col("all") <= PACK)
+    packs = (small.agg(F.sum("all")).first()[0] or 0) // PACKED + 1
+    packed = members.join(small.select("bucket"), "bucket").withColumn("cell", F.pmod(F.xxhash64("bucket"), F.lit(packs)))
+    packed = packed.select("cell", "bucket", F.lit(0).alias("side"), "key", "n", "place", "class")
+    total = total.join(whole.where(F.col("all") > PACK), "bucket")
     size = F.when(F.col("own").isNull(), F.col("rest")).otherwise(F.col("m"))
-    total = total.select("bucket", "class", "own", F.ceil(size / BLOCK).alias("parts"))
-    rows = members.join(total, ["bucket", "class"]).withColumn("part", F.pmod(F.xxhash64("key"), "parts"))
+    parts = total.select("bucket", "class", "own", F.ceil(size / BLOCK).alias("parts"))
+    rows = members.join(parts, ["bucket", "class"]).withColumn("part", F.pmod(F.xxhash64("key"), "parts"))
     rows = storage.written(rows.withColumn("block", F.xxhash64("own", F.col("own").isNull(), "part")))
     blocks = storage.written(rows.groupBy("bucket", "own", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")))
     tables += [rows, blocks]
@@ -188,19 +221,22 @@ def rest(
         cells.where("block_a <> block_b").select("bucket", F.col("block_b").alias("block"), "cell", F.lit(1).alias("side"))
     )
     met = rows.join(dealt, ["bucket", "block"]).select("cell", "bucket", "side", "key", "n", "place", "class")
+    met = met.withColumn("packed", F.lit(False)).unionByName(packed.withColumn("packed", F.lit(True)))
     if once:
         marks = marks.join(members.groupBy("key").agg(F.collect_list("bucket").alias("buckets")), "key")
     met = met.join(marks, "key")
 
     def pairs(cell: pa.Table) -> pa.Table:
-        return _pairs(cell, near, most, nearest)
+        return _pairs(cell, near, most, 0 if cell["packed"][0].as_py() else few)
 
-    found = met.groupBy("cell").applyInArrow(pairs, "key long, rep long, apart long")
-    if not nearest:
-        return found.select("key", "rep").distinct(), tables
-    both = found.unionByName(found.select(F.col("rep").alias("key"), F.col("key").alias("rep"), "apart"))
+    return met.groupBy("packed", "cell").applyInArrow(pairs, "key long, rep long, apart long, more long"), tables
+
+
+def _nearest_of_each(pairs: DataFrame) -> DataFrame:
+    """(key, rep): of pairs (key, rep, apart), one for each item: that of least distance."""
+    both = pairs.select("key", "rep", "apart").unionByName(pairs.select(F.col("rep").alias("key"), F.col("key").alias("rep"), "apart"))
     best = both.groupBy("key").agg(F.min_by("rep", F.struct("apart", "rep")).alias("rep"))
-    return best.select(F.greatest("key", "rep").alias("key"), F.least("key", "rep").alias("rep")).distinct(), tables
+    return best.select(F.greatest("key", "rep").alias("key"), F.least("key", "rep").alias("rep")).distinct()
 
 
 def linked(
@@ -212,14 +248,19 @@ def linked(
     members: (bucket, key, n, place, weight), several to a bucket; marks: (key,
     bits), see ``parities``. ``check`` takes pairs (key, rep) and returns a
     written table (key, rep, similar), which may lack pairs that cannot be.
-    ``once`` as for ``rest``.
+    ``once`` as for ``rest``. Pairs by numbers that are no more than those of the
+    greatest round are checked at once.
     """
     checked = found = roots = None
-    number, before = 0, []
+    number, before, easy = 0, [], 0
+
+    def classed(rows: DataFrame) -> DataFrame:
+        if roots is None:
+            return rows.withColumn("class", F.col("key"))
+        return rows.join(roots, "key", "left").withColumn("class", F.coalesce("root", "key")).drop("root")
+
     while True:
-        now = members.withColumn("class", F.col("key"))
-        if roots is not None:
-            now = members.join(roots, "key", "left").withColumn("class", F.coalesce("root", "key")).drop("root")
+        now = classed(members)
         first = now.groupBy("bucket").agg(
             F.min("class").alias("low"), F.max("class").alias("high"),
             F.min(F.struct(F.xxhash64("key", F.lit(number)).alias("h"), "key", "class")).alias("first"),
@@ -235,6 +276,7 @@ def linked(
         done = check(asks)
         storage.forget(done)
         asked, good = done.agg(F.count(F.lit(1)), F.count_if("similar")).first()
+        easy = max(easy, asked)
         checked = done if checked is None else checked.unionByName(done)
         found = checked.where("similar").select("key", "rep")
         if good:
@@ -243,21 +285,36 @@ def linked(
         number += 1
         if good * WORTH < asked or not asked:
             break
-    members, before = now.select("bucket", "key", "n", "place"), []
-    while True:
-        now = members.withColumn("class", F.col("key"))
-        if roots is not None:
-            now = members.join(roots, "key", "left").withColumn("class", F.coalesce("root", "key")).drop("root")
-        mixed = now.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-        now = now.join(mixed.select("bucket"), "bucket", "left_semi")
-        now = storage.written(now)
-        storage.discard(*before)
-        before = [now]
+
+    def unknown(pairs: DataFrame) -> DataFrame:
+        """Those of distinct pairs (key, rep, apart) that were not checked and are between components."""
         both = checked.select(F.greatest("key", "rep").alias("key"), F.least("key", "rep").alias("rep")).distinct()
-        pairs, tables = rest(now, marks, percent, near, most, nearest=True, once=once)
-        done = check(pairs.join(both, ["key", "rep"], "left_anti"))
-        del pairs
-        storage.discard(*tables)
+        pairs = classed(pairs.join(both, ["key", "rep"], "left_anti")).withColumnRenamed("class", "of")
+        pairs = classed(pairs.withColumnsRenamed({"key": "other", "rep": "key"})).where("class <> of")
+        return pairs.select(F.col("other").alias("key"), F.col("key").alias("rep"), "apart")
+
+    members, waiting, old, last = now.select("bucket", "key", "n", "place"), None, [], False
+    while True:
+        # Pairs of all buckets; later of those that had too many to keep, and at last all of these.
+        if members is not None:
+            now = storage.written(_mixed(classed(members), percent) if waiting is None else classed(members))
+            storage.discard(*before)
+            pairs, tables = rest(now, marks, percent, near, most, few=0 if last else FEW, once=once)
+            pairs = storage.written(pairs)
+            storage.discard(*tables)
+            before = [now, pairs]
+            again = pairs.where("more is not null").select(F.col("more").alias("bucket")).distinct()
+            members = None if again.isEmpty() else now.drop("class").join(again, "bucket", "left_semi")
+            pairs = pairs.groupBy("key", "rep").agg(F.min("apart").alias("apart"))
+            waiting = pairs if waiting is None else waiting.unionByName(pairs).dropDuplicates(["key", "rep"])
+        waiting = storage.written(unknown(waiting))
+        storage.discard(*old)
+        old = [waiting]
+        if members is None and (last or waiting.count() <= easy):
+            break
+        asks = storage.written(_nearest_of_each(waiting))
+        old.append(asks)
+        done = check(asks)
         storage.forget(done)
         asked, good = done.agg(F.count(F.lit(1)), F.count_if("similar")).first()
         checked = checked.unionByName(done)
@@ -265,14 +322,10 @@ def linked(
         if good:
             known = components(found.select(F.col("key").alias("a"), F.col("rep").alias("b")))
             roots = storage.written(known.withColumnRenamed("node", "key"))
-        if good * NEAREST < asked or not asked:
-            break
-    if good:
-        now = now.drop("class").join(roots, "key", "left").withColumn("class", F.coalesce("root", "key")).drop("root")
-    both = checked.select(F.greatest("key", "rep").alias("key"), F.least("key", "rep").alias("rep")).distinct()
-    pairs, tables = rest(now, marks, percent, near, most, once=once)
-    more = check(pairs.join(both, ["key", "rep"], "left_anti"))
-    storage.discard(*tables, *before)
+        waiting = waiting.join(asks, ["key", "rep"], "left_anti")
+        last = good * NEAREST < asked or not asked
+    more = check(waiting.select("key", "rep"))
+    storage.discard(*old, *before)
     return found.unionByName(more.where("similar").select("key", "rep"))
 
 
