@@ -127,3 +127,16 @@ def test_large_scores_keep_finite_probabilities(spark):
     row = spark.range(1).selectExpr(f"{boosting.probabilities(['800D', '-800D', '799D'])} as p").first()["p"]
     assert math.isclose(sum(row), 1) and row[0] == pytest.approx(1 / (1 + math.exp(-1)))
     assert F is not None
+
+
+def test_passes_follow_rows_and_halves_share_one(spark, monkeypatch):
+    """Tasks follow the number of rows, not of blocks, and failed lengths of a step do not take a pass each."""
+    monkeypatch.setattr(gradients, "PASS_ROWS", 500)
+    seen = []
+    monkeypatch.setattr(gradients, "_added", lambda sums, real=gradients._added: (seen.append(sums.getNumPartitions()), real(sums))[1])
+    rows = spark.range(0, 4000, 1, 2).selectExpr("cast(id % 50 as double) as x", "3D * (id % 50) + 7 as y")
+    stage = gradients.tube(rows, ["x"], "y", "p", c=1.0, epsilon=5.0)
+    cores = spark.sparkContext.defaultParallelism
+    assert set(seen) == {cores * math.ceil(8 / cores)} and len(seen) < 200
+    slope = stage.transform(spark.createDataFrame([(0.0,), (1.0,)], "x double")).toPandas()["p"].diff().iloc[1]
+    assert slope == pytest.approx(3 - 10 / 49, abs=2e-3)
