@@ -184,10 +184,17 @@ def spreads(rows: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, n
 def _network(weights: np.ndarray, x: np.ndarray, y: np.ndarray, hidden: int) -> tuple[float, np.ndarray]:
     d = x.shape[1]
     first, shift, last = weights[: hidden * d].reshape(hidden, d), weights[hidden * d : hidden * (d + 1)], weights[hidden * (d + 1) :]
-    h = np.tanh(x @ first.T + shift)
-    error = h @ last[:-1] + last[-1] - y
-    back = error[:, None] * last[:-1] * (1 - h * h)
-    gradient = [(back.T @ x).ravel(), back.sum(axis=0), h.T @ error, [error.sum()]]
+    h = first @ x.T  # a unit a row
+    h += shift[:, None]
+    np.tanh(h, out=h)
+    error = last[:-1] @ h
+    error += last[-1] - y
+    out = h @ error
+    h *= h
+    np.subtract(1, h, out=h)
+    h *= error
+    pull = last[:-1]
+    gradient = [(pull[:, None] * (h @ x)).ravel(), pull * h.sum(axis=1), out, [error.sum()]]
     return 0.5 * float(error @ error), np.concatenate(gradient)
 
 
