@@ -140,3 +140,22 @@ def test_passes_follow_rows_and_halves_share_one(spark, monkeypatch):
     assert set(seen) == {cores * math.ceil(8 / cores)} and len(seen) < 200
     slope = stage.transform(spark.createDataFrame([(0.0,), (1.0,)], "x double")).toPandas()["p"].diff().iloc[1]
     assert slope == pytest.approx(3 - 10 / 49, abs=2e-3)
+
+
+def test_boosting_takes_a_pass_a_level_and_splits_like_a_tree(spark, monkeypatch):
+    passes = []
+    monkeypatch.setattr(boosting, "_added", lambda sums, real=gradients._added: (passes.append(1), real(sums))[1], raising=False)
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(600, 2)), 1)
+    y = rng.integers(0, 3, 600) * (x[:, 0] > 0.3)
+    rows = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y)], "a double, b double, y double").coalesce(2)
+    stages = boosting.softmax(rows, ["a", "b"], "y", 3, "p", "q", rounds=1, depth=3)
+    assert len(passes) == 3
+    first = (y == 0).mean()
+    residual = rows.withColumn("r", F.col("y").eqNullSafe(0.0).cast("double") - first)
+    data = boosting.MF.VectorAssembler(inputCols=["a", "b"], outputCol="v").transform(residual)
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    want = DecisionTreeRegressor(featuresCol="v", labelCol="r", maxDepth=3, predictionCol="leaf").fit(data).transform(data)
+    got = stages[0].transform(want).select("leaf", "_s0").distinct().toPandas()
+    assert len(got) == got["leaf"].nunique() > 4
