@@ -266,3 +266,22 @@ def test_anomalies_need_rows_and_features(spark):
         anomaly.prepared(df, ["a", "b"])
     with pytest.raises(ValueError):
         anomaly.prepared(df, ["a"])
+
+
+@pytest.mark.parametrize("few", [1, 3, 256])
+def test_small_contexts_list_their_pairs(spark, few, monkeypatch):
+    """Contexts of few values take no matrix of tiles; both ways count alike."""
+    monkeypatch.setattr(mining, "FEW", few)
+    monkeypatch.setattr(mining, "CHUNK_PAIRS", 20)
+    if few == 256:
+        monkeypatch.setattr(mining, "_tile_counts", None)
+    baskets = {t: {(t * 7 + i * i) % 11 for i in range(t % 7)} for t in range(60)}
+    rows = [(t, str(i)) for t, values in baskets.items() for i in values] + [(None, "1"), (3, None)]
+    want = {}
+    for values in baskets.values():
+        for a in values:
+            for b in values:
+                if str(a) < str(b):
+                    want[str(a), str(b)] = want.get((str(a), str(b)), 0) + 1
+    got = mining.shared_context(spark.createDataFrame(rows, "tx long, item string"), "tx", "item", 2)
+    assert {(r[0], r[1]): r[2] for r in got.collect()} == {k: n for k, n in want.items() if n >= 2}

@@ -25,6 +25,8 @@ METRICS = ("support", "confidence", "lift", "leverage", "conviction")
 MAX_RULE_LENGTH = 10
 # Items per tile of a co-occurrence count: a tile's counts fit in one task.
 TILE = 2_048
+# A context of so many values lists its pairs.
+FEW = 256
 # Items per array of a whole basket.
 CHUNK_ITEMS = 10_000
 
@@ -367,16 +369,55 @@ def shared_context(
 ) -> DataFrame:
     """(item1, item2, count): in how many contexts two values occur together.
 
-    Values too rare to reach ``min_count`` go first. The rest are numbered and
-    cut into tiles of ``TILE`` codes, so a context is a row per tile it has
-    values of, however hot it is. Its rows meet in pairs of tiles, dealt to
-    tasks by tiles and a salt; a task multiplies the incidence matrices of one
-    pair of tiles after the other and sends only sums. The plan does not depend
-    on the number of values.
+    Values too rare to reach ``min_count`` go first, the rest are numbered. A
+    context of up to ``FEW`` values is one row; tasks list its pairs, add up
+    equal ones and send the sums. Values of larger contexts are cut into tiles
+    of ``TILE`` codes, so such a context is a row per tile it has values of,
+    however hot it is. Its rows meet in pairs of tiles, dealt to tasks by tiles
+    and a salt; a task multiplies the incidence matrices of one pair of tiles
+    after the other and sends only sums. The plan does not depend on the number
+    of values.
     """
     found = checkpoint(pairs(df, context, item))
     codes = checkpoint(with_position(frequent_items(found, min_count), ["item"], "code"))
-    coded = attach(found, codes, ["item"], rows="count").filter(F.col("code").isNotNull())
+    coded = attach(found, codes, ["item"], rows="count").filter(F.col("code").isNotNull()).select("tx", "code")
+    large = checkpoint(coded.groupBy("tx").agg(F.count(F.lit(1)).alias("_values")).filter(F.col("_values") > FEW))
+    few, parts = coded, None
+    if large.take(1):
+        sized = attach(coded, large, ["tx"], rows="_values")
+        few = sized.filter(F.col("_values").isNull())
+        parts = _tiled(sized.filter(F.col("_values").isNotNull()), shuffle_partitions(df.sparkSession))
+    lists = few.groupBy("tx").agg(F.array_sort(F.collect_list("code")).alias("codes")).filter(F.size("codes") > 1)
+    listed = lists.select("codes").mapInPandas(_listed_counts, "a long, b long, n long")
+    parts = listed if parts is None else parts.unionByName(listed)
+    sums = parts.groupBy("a", "b").agg(F.sum("n").alias("count")).filter(F.col("count") >= min_count)
+    first = codes.select(F.col("code").alias("a"), F.col("item").alias("item1"))
+    second = codes.select(F.col("code").alias("b"), F.col("item").alias("item2"))
+    named = sums.join(first, "a").join(second, "b").select("item1", "item2", "count")
+    return named.orderBy(F.desc("count"), "item1", "item2").limit(top) if top else named
+
+
+def _listed_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pair counts of contexts with few values, some contexts at a time."""
+    for batch in batches:
+        sizes = batch["codes"].map(len).to_numpy()
+        ends = np.cumsum(sizes * (sizes - 1) // 2)
+        starts = np.flatnonzero(np.diff(ends // CHUNK_PAIRS, prepend=0))
+        for some in np.split(np.arange(len(batch)), starts):
+            if not len(some):
+                continue
+            n = sizes[some]
+            flat = np.concatenate(batch["codes"].iloc[some].to_list())
+            at = np.arange(len(flat))
+            after = np.repeat(np.cumsum(n), n) - at - 1  # values behind each one in its context
+            left = np.repeat(at, after)
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(after) - after, after)
+            pair, count = np.unique(flat[left] * np.int64(2**31) + flat[right], return_counts=True)
+            yield pd.DataFrame({"a": pair >> 31, "b": pair & (2**31 - 1), "n": count})
+
+
+def _tiled(coded: DataFrame, n: int) -> DataFrame:
+    """Pair counts (a, b, n) of contexts of any size, in parts."""
     tile = TILE
     coded = coded.withColumn("tile", F.floor(F.col("code") / tile).cast("long"))
     held = checkpoint(
@@ -388,15 +429,9 @@ def shared_context(
     # A context in a single tile meets only itself, without a join.
     met = held.join(other.filter(F.col("tile2") > 0), "tx").filter(F.col("tile") < F.col("tile2"))
     same = held.select("*", F.col("tile").alias("tile2"), F.col("codes").alias("codes2"))
-    n = shuffle_partitions(df.sparkSession)
     met = met.unionByName(same).withColumn("salt", F.pmod(F.xxhash64("tx"), F.lit(n)))
     met = met.repartition(n, "tile", "tile2", "salt").sortWithinPartitions("tile", "tile2")
-    parts = met.select("tile", "tile2", "codes", "codes2").mapInPandas(_tile_counts(tile), "a long, b long, n long")
-    sums = parts.groupBy("a", "b").agg(F.sum("n").alias("count")).filter(F.col("count") >= min_count)
-    first = codes.select(F.col("code").alias("a"), F.col("item").alias("item1"))
-    second = codes.select(F.col("code").alias("b"), F.col("item").alias("item2"))
-    named = sums.join(first, "a").join(second, "b").select("item1", "item2", "count")
-    return named.orderBy(F.desc("count"), "item1", "item2").limit(top) if top else named
+    return met.select("tile", "tile2", "codes", "codes2").mapInPandas(_tile_counts(tile), "a long, b long, n long")
 
 
 # Rows with more pairs than this multiply as a dense matrix, others pair by pair.
