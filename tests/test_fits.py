@@ -159,3 +159,31 @@ def test_boosting_takes_a_pass_a_level_and_splits_like_a_tree(spark, monkeypatch
     want = DecisionTreeRegressor(featuresCol="v", labelCol="r", maxDepth=3, predictionCol="leaf").fit(data).transform(data)
     got = stages[0].transform(want).select("leaf", "_s0").distinct().toPandas()
     assert len(got) == got["leaf"].nunique() > 4
+
+
+def test_cosine_columns_are_made_in_the_tasks(clouds, monkeypatch):
+    """What is kept for the passes are the inputs, not the columns of the kernel, and blocks come one by one."""
+    kept = []
+    real = gradients._sum
+
+    def summed(blocks, loss, weights, lift=None):
+        y, x = blocks.first()
+        kept.append((lift, len(x) // len(y)))
+        return real(blocks, loss, weights, lift)
+
+    monkeypatch.setattr(gradients, "_sum", summed)
+    m = models.fit(clouds, "a", ["a", "b"], "Support Vector Regression", problem="regression", params={"max_iter": 20}, scaling="standard")
+    assert kept and all(lift is not None and columns == 2 for lift, columns in kept)
+    assert models.evaluate(m, clouds)["r2"] > 0.9
+    x = np.random.default_rng(0).normal(size=(500, 3)) * 50
+    waves = gradients.Waves(["a", "b", "c"], x[:64], x[64:128, 0], 0.25)
+    np.testing.assert_allclose(waves(x), 0.25 * np.cos(x @ x[:64].T + x[64:128, 0]), atol=1e-11)
+
+
+def test_hinge_fits_take_few_passes(clouds, monkeypatch):
+    """Folds share the passes of the whole model, and hundreds of steps are not needed."""
+    passes = []
+    monkeypatch.setattr(gradients, "_added", lambda sums, real=gradients._added: (passes.append(1), real(sums))[1])
+    m = models.fit(clouds, "d", ["a", "b"], "Support Vector Machine", params={"kernel": "linear", "C": 1.0}, scaling="standard")
+    assert 3 < len(passes) < 400
+    assert models.evaluate(m, clouds)["accuracy"] > 0.95

@@ -13,7 +13,7 @@ import functools
 import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -56,11 +56,46 @@ def _pack(batches: Iterable[pa.RecordBatch], middle: np.ndarray, width: np.ndarr
             )
 
 
-def _step(blocks: Iterable[tuple], loss: Loss, weights: Sequence[np.ndarray]) -> Iterator[np.ndarray]:
+@dataclass
+class Waves:
+    """Cosine columns of an RBF kernel, made from ``inputs`` where they are needed: kept rows hold the inputs only."""
+
+    inputs: list[str]
+    weights: np.ndarray
+    shifts: np.ndarray
+    factor: float
+    middle: np.ndarray | float = 0.0
+    width: np.ndarray | float = 1.0
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        turns = (x @ self.weights.T + self.shifts) / (2 * math.pi)
+        return (self.factor * _cosine_of_turns(turns) - self.middle) / self.width
+
+
+# Taylor's series of the sine, which a quarter of a turn needs to full precision.
+_SINE = [(-1.0) ** i * (2 * math.pi) ** (2 * i + 1) / math.factorial(2 * i + 1) for i in range(12)]
+
+
+def _cosine_of_turns(turns: np.ndarray) -> np.ndarray:
+    """cos(2 pi ``turns``) in a few sweeps, which takes a third of the time of the library's; ``turns`` is used up."""
+    turns -= np.rint(turns)
+    np.abs(turns, out=turns)
+    np.subtract(0.25, turns, out=turns)
+    square = turns * turns
+    out = np.full_like(square, _SINE[-1])
+    for c in reversed(_SINE[:-1]):
+        out *= square
+        out += c
+    out *= turns
+    return out
+
+
+def _step(blocks: Iterable[tuple], loss: Loss, weights: Sequence[np.ndarray], lift: Waves | None = None) -> Iterator[np.ndarray]:
     total = None
     for y, x in blocks:
         target = np.frombuffer(y, np.float64)
         data = np.frombuffer(x, np.float64).reshape(len(target), -1)
+        data = lift(data) if lift else data
         for i, w in enumerate(weights):
             value, gradient = loss(w, data, target)
             total = np.zeros((len(weights), len(gradient) + 1)) if total is None else total
@@ -76,9 +111,11 @@ def _added(sums: RDD) -> np.ndarray:
     return np.sum(sums.collect(), axis=0)
 
 
-def _sum(blocks: RDD, loss: Loss, weights: Sequence[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+def _sum(
+    blocks: RDD, loss: Loss, weights: Sequence[np.ndarray], lift: Waves | None = None
+) -> list[tuple[float, np.ndarray]]:
     """(loss, gradient) for each of a few weights, in one pass."""
-    total = _added(blocks.mapPartitions(functools.partial(_step, loss=loss, weights=weights)))
+    total = _added(blocks.mapPartitions(functools.partial(_step, loss=loss, weights=weights, lift=lift)))
     return [(float(t[0]), t[1:]) for t in total]
 
 
@@ -156,16 +193,17 @@ def minimise(
 
 def trained(
     rows: DataFrame, inputs: Sequence[str], label: str, n: int, middle: np.ndarray, width: np.ndarray,
-    fit: Callable[[Callable], np.ndarray],
+    fit: Callable[[Callable], np.ndarray], lift: Waves | None = None,
 ) -> np.ndarray:
     """Weights from ``fit``, which gets a function from (loss, a few weights) to summed losses and gradients over ``rows``.
 
-    Losses see ``n`` rows less ``middle``, divided by ``width``; both hold the target first.
+    Losses see ``n`` rows less ``middle``, divided by ``width``; both hold the target first. With ``lift``, ``inputs`` are
+    kept and losses see what it makes of them.
     """
     table = rows.select(F.col(label).cast("double"), *[F.col(c).cast("double") for c in inputs])
     packed = table.mapInArrow(functools.partial(_pack, middle=middle, width=width), "y binary, x binary")
     with held(packed, n) as blocks:
-        return fit(functools.partial(_sum, blocks))
+        return fit(functools.partial(_sum, blocks, lift=lift))
 
 
 def spreads(rows: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -234,43 +272,6 @@ def network(
     return MF.SQLTransformer(statement=f"SELECT *, {text} AS {output} FROM __THIS__")
 
 
-# Losses with a corner
-
-
-@dataclass
-class Waves:
-    """Cosine columns of an RBF kernel, made from ``inputs`` where they are needed: kept rows hold the inputs only."""
-
-    inputs: list[str]
-    weights: np.ndarray
-    shifts: np.ndarray
-    factor: float
-    middle: np.ndarray | float = 0.0
-    width: np.ndarray | float = 1.0
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        turns = (x @ self.weights.T + self.shifts) / (2 * math.pi)
-        return (self.factor * _cosine_of_turns(turns) - self.middle) / self.width
-
-
-# Taylor's series of the sine, which a quarter of a turn needs to full precision.
-_SINE = [(-1.0) ** i * (2 * math.pi) ** (2 * i + 1) / math.factorial(2 * i + 1) for i in range(12)]
-
-
-def _cosine_of_turns(turns: np.ndarray) -> np.ndarray:
-    """cos(2 pi ``turns``) in a few sweeps, which takes a third of the time of the library's; ``turns`` is used up."""
-    turns -= np.rint(turns)
-    np.abs(turns, out=turns)
-    np.subtract(0.25, turns, out=turns)
-    square = turns * turns
-    out = np.full_like(square, _SINE[-1])
-    for c in reversed(_SINE[:-1]):
-        out *= square
-        out += c
-    out *= turns
-    return out
-
-
 def _rounded(out: np.ndarray, soft: float) -> tuple[float, np.ndarray]:
     """The sum of what is ``out``, squares up to ``soft`` and a line from there, and ``out`` up to ``soft``."""
     out = np.maximum(out, 0)
@@ -291,12 +292,14 @@ def _tube(weights: np.ndarray, x: np.ndarray, y: np.ndarray, epsilon: float, sof
 
 
 def tube(
-    rows: DataFrame, inputs: Sequence[str], label: str, output: str, c: float = 1.0, epsilon: float = 0.1, steps: int = 1000
+    rows: DataFrame, inputs: Sequence[str], label: str, output: str, c: float = 1.0, epsilon: float = 0.1, steps: int = 1000,
+    lift: Waves | None = None,
 ) -> MF.SQLTransformer:
     """Support vector regression: half the squared weights plus ``c`` times what lies outside ``epsilon``.
 
     Errors up to ``epsilon`` cost nothing. The loss beyond is linear, with a
-    corner that is rounded less and less from one fit to the next.
+    corner that is rounded less and less from one fit to the next. ``lift`` says
+    how ``inputs`` come from fewer columns, which are kept in their place.
     """
     n, middle, width = spreads(rows, [label, *inputs])
     scale = np.append(width[1:], 1.0)  # weights are of inputs of mean 0 and deviation 1
@@ -316,7 +319,11 @@ def tube(
             w = minimise(whole, w, steps)
         return w
 
-    w = trained(rows, inputs, label, n, middle, np.append(1.0, width[1:]), fit)
+    if lift:
+        lift, kept = replace(lift, middle=middle[1:], width=width[1:]), lift.inputs
+        w = trained(rows, kept, label, n, np.append(middle[0], np.zeros(len(kept))), np.ones(len(kept) + 1), fit, lift)
+    else:
+        w = trained(rows, inputs, label, n, middle, np.append(1.0, width[1:]), fit)
     slope = w[:-1] / scale[:-1]
     text = weighted(slope, inputs, w[-1] + middle[0] - float(slope @ middle[1:]))
     return MF.SQLTransformer(statement=f"SELECT *, {text} AS {output} FROM __THIS__")

@@ -221,8 +221,8 @@ def _input_stage(
 
 def _fourier_stage(
     inputs: Sequence[str], gamma: float, size: int, seed: int
-) -> tuple[list[str], MF.SQLTransformer]:
-    """Random Fourier features of an RBF kernel as plain cosine columns."""
+) -> tuple[gradients.Waves, list[str], MF.SQLTransformer]:
+    """Random Fourier features of an RBF kernel as plain cosine columns, and as a function on blocks."""
     rng = np.random.default_rng(seed)
     weights = rng.normal(0.0, math.sqrt(2 * gamma), (size, len(inputs)))
     shifts = rng.uniform(0.0, 2 * math.pi, size)
@@ -231,7 +231,8 @@ def _fourier_stage(
         terms = " + ".join(f"{_sql(w)} * {c}" for w, c in zip(weights[i], inputs))
         names.append(f"_r{i}")
         cells.append(f"{_sql(math.sqrt(2 / size))} * cos({terms} + {_sql(shifts[i])}) AS _r{i}")
-    return names, MF.SQLTransformer(statement=f"SELECT *, {', '.join(cells)} FROM __THIS__")
+    waves = gradients.Waves(list(inputs), weights, shifts, math.sqrt(2 / size))
+    return waves, names, MF.SQLTransformer(statement=f"SELECT *, {', '.join(cells)} FROM __THIS__")
 
 
 def _depth(value: int | None) -> int:
@@ -308,23 +309,23 @@ def _estimator(
 
 def _expressions(
     algorithm: str, problem: str, params: dict[str, Any], n_classes: int, seed: int
-) -> Callable[[DataFrame, list[str]], list[MF.SQLTransformer]] | None:
-    """For a model that becomes a column expression, its fit on (rows, inputs)."""
+) -> Callable[[DataFrame, list[str], gradients.Waves | None], list[MF.SQLTransformer]] | None:
+    """For a model that becomes a column expression, its fit on (rows, inputs, what makes them)."""
     p = params
     if algorithm == "Support Vector Machine":
-        return lambda rows, inputs: margins.support_vectors(
-            rows, inputs, LABEL, n_classes, PREDICTION, "_probability", p["C"], int(p["max_iter"])
+        return lambda rows, inputs, lift: margins.support_vectors(
+            rows, inputs, LABEL, n_classes, PREDICTION, "_probability", p["C"], int(p["max_iter"]), lift
         )
     if algorithm == "Support Vector Regression":
-        return lambda rows, inputs: [
-            gradients.tube(rows, inputs, LABEL, PREDICTION, p["C"], p.get("epsilon", 0.1), int(p["max_iter"]))
+        return lambda rows, inputs, lift: [
+            gradients.tube(rows, inputs, LABEL, PREDICTION, p["C"], p.get("epsilon", 0.1), int(p["max_iter"]), lift)
         ]
     if algorithm == "Neural Network" and problem == "regression":
-        return lambda rows, inputs: [
+        return lambda rows, inputs, lift: [
             gradients.network(rows, inputs, LABEL, PREDICTION, int(p["hidden"]), int(p["max_iter"]), seed=seed)
         ]
     if algorithm == "Gradient Boosting" and n_classes > 2:
-        return lambda rows, inputs: boosting.softmax(
+        return lambda rows, inputs, lift: boosting.softmax(
             rows, inputs, LABEL, n_classes, PREDICTION, "_probability",
             p["n_estimators"], p["learning_rate"], p["max_depth"], seed,
         )
@@ -425,6 +426,7 @@ def _fit_rows(
         return Trained(algorithm, problem, target, features, every, settings, model, features, seen=seen)
     inputs, stage = _input_stage(features, fill, widths)
     stages: list[Any] = [stage]
+    lift = None
     if kernel:
         gamma = 1.0 / len(features)
         if settings.get("gamma", "scale") == "scale":
@@ -436,7 +438,7 @@ def _fit_rows(
             mean = sum(row[0::2]) / len(features)
             spread = sum(row[1::2]) / len(features) - mean * mean
             gamma = 1.0 / (len(features) * spread) if spread > 0 else gamma
-        inputs, more = _fourier_stage(inputs, gamma, fourier_size, seed)
+        lift, inputs, more = _fourier_stage(inputs, gamma, fourier_size, seed)
         stages.append(more)
     data = rows.select(
         label_column(target, problem, classes).alias(LABEL),
@@ -450,8 +452,9 @@ def _fit_rows(
             front = Pipeline(stages=[*stages, assembler, extra]).fit(data)
             columns, more = _component_stage(front.stages[-1], columns)
             stages.append(more)
-        ready = PipelineModel(stages).transform(data).select(LABEL, *columns)
-        model = PipelineModel([*stages, *own_fit(ready, columns)])
+        lift = None if extra_stages else lift
+        ready = PipelineModel(stages).transform(data).select(LABEL, *columns, *(lift.inputs if lift else []))
+        model = PipelineModel([*stages, *own_fit(ready, columns, lift)])
     else:
         stages += [assembler, *extra_stages]
         n_inputs, vector = len(inputs), FEATURES
